@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, sharding
+from . import byte_bpe, decontaminate, fingerprints, sharding, toxicity
 from .common import table
 
 
@@ -18,10 +18,14 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {
-    "op2_fingerprints": op2_fingerprints,
-    "op3_sharding": op3_sharding,
-    "op4_decontaminate": op4_decontaminate,
-}
+def op6_toxicity(spark, sf_dir):
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_byte_bpe(spark, sf_dir):
+    return byte_bpe.op9(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_sharding, op4_decontaminate, op6_toxicity, op9_byte_bpe)}
 
 ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}

@@ -98,12 +98,24 @@ def words(texts: pa.Array, is_word: np.ndarray) -> Words:
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(len(data))
-    running = np.empty(len(data) + 1, U64)
+    return Words(data, starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, offsets))
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of ``values[starts[i]:ends[i]]`` for each i, from one running polynomial over all values."""
+    up, down = _power_tables(len(values))
+    running = np.empty(len(values) + 1, U64)
     running[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=running[1:])
-    hashes = mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U64))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=running[1:])
+    return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def gather(first: np.ndarray, values: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``pick`` of lists laid end to end (list p is ``values[first[p]:first[p + 1]]``), laid out alike."""
+    sizes = first[pick + 1] - first[pick]
+    out_first = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(first[pick] - out_first[:-1], sizes) + np.arange(out_first[-1])
+    return out_first, values[at]
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
