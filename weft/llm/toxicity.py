@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -48,8 +49,10 @@ HELD_OUT = 2
 #: Labelled rows that the weights are fitted to, at most; which ones is decided by a hash of doc_id.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
-#: Toxic training rows without a known term from which further terms are looked for, and the rows a new term needs.
-RESIDUAL_ROWS = 20
+#: Word stems that are looked for in toxic training rows without a known term: their lengths, the rows that must have
+#: one (and the share of those rows), and the share of the training rows with it that must be toxic.
+STEM_LENGTHS, STEM_ROWS, STEM_SHARE, STEM_PRECISION = (4, 5, 6), 4, 0.005, 0.8
+MOST_STEMS = 2_000
 
 
 @lru_cache(maxsize=1)
@@ -80,9 +83,10 @@ def _inside_word() -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Term -> weight, exception phrases and the coefficients of the score."""
+    """Term -> weight, stem of words -> weight, exception phrases and the coefficients of the score."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, 4.0))
+    stems: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=lambda: list(EXCEPTION_PHRASES))
     coefficients: tuple[float, float, float] = (-3.0, 2.0, 0.5)
 
@@ -90,10 +94,12 @@ class Lexicon:
         import ahocorasick
 
         found = ahocorasick.Automaton()
+        for stem, weight in self.stems.items():
+            found.add_word(stem, (len(stem), weight, True))
         for term, weight in self.weights.items():
-            found.add_word(term, (len(term), weight))
+            found.add_word(term, (len(term), weight, False))
         for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+            found.add_word(phrase, (len(phrase), None, False))
         found.make_automaton()
         return found
 
@@ -124,16 +130,17 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
         n_words = np.diff(np.append(0, np.cumsum(begins & ~blank[:-1]))[own]) if len(points) else np.zeros(len(part), int)
         matches: list[list[tuple[int, int, float]]] = [[] for _ in range(len(part))]
         hits = [
-            (end + 1 - length, end + 1, weight) for end, (length, weight) in automaton.iter(folded.tobytes().decode("latin-1"))
+            (end + 1 - length, end + 1, weight, stem)
+            for end, (length, weight, stem) in automaton.iter(folded.tobytes().decode("latin-1"))
         ]
         if hits:
             inside = _inside_word()
             rows = np.searchsorted(own, [h[0] for h in hits], "right") - 1
             covers: dict[int, list[tuple[int, int]]] = {}
             whole = []
-            for row, (start, end, weight) in zip(rows.tolist(), hits):
+            for row, (start, end, weight, stem) in zip(rows.tolist(), hits):
                 low, high = own[row], own[row + 1]
-                if end > high or start > low and inside[points[start - 1]] or end < high and inside[points[end]]:
+                if end > high or start > low and inside[points[start - 1]] or not stem and end < high and inside[points[end]]:
                     continue
                 if weight is None:
                     covers.setdefault(row, []).append((start, end))
@@ -190,8 +197,8 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexicon:
     """Lexicon with weights and coefficients fitted to at most ``rows`` labelled rows that are not held out.
 
-    A term's weight is its smoothed log odds between toxic and clean rows. If enough toxic rows have no known term, words
-    that mark them are added. Rows with a null label or doc_id are not used; with no toxic or no clean rows the starting
+    A term's weight is its smoothed log odds between toxic and clean rows. Stems of words that mark the toxic rows
+    without a known term are added. Rows with a null label or doc_id are not used; with no toxic or no clean rows the starting
     lexicon is returned.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
@@ -212,21 +219,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexico
     seen = {term for term, _ in counts}
     weights = {t: max(0.0, odds(counts.get((t, 1), 0), counts.get((t, 0), 0))) if t in seen else 1.0 for t in SEED_TERMS}
     missed = found.filter("toxic = 1 AND size(toxicity.matches) = 0")
-    n_missed = missed.count()
-    if n_missed >= RESIDUAL_ROWS:
-        word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-        in_missed = missed.select(word).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= max(RESIDUAL_ROWS / 2, 0.05 * n_missed))
-        in_good = found.filter("toxic = 0").select(word).groupBy("word").agg(F.count("*").alias("m"))
-        for r in in_missed.join(in_good, "word", "left").na.fill(0).orderBy(F.desc("n"), "word").limit(500).collect():
-            folded = _folding()[np.frombuffer(r.word.encode("utf-32-le"), np.uint32)].tobytes().decode("latin-1")
-            if len(r.word) > 2 and (r.n + 0.5) / (n_missed + 1) > 20 * (r.m + 0.5) / (good + 1):
-                weights[folded] = odds(r.n, r.m)
-    lexicon = Lexicon(weights={t: w for t, w in weights.items() if w > 0})
+    stems = {s: odds(n, m) for s, n, m in _stems(missed, found.filter("toxic = 0"))}
+    lexicon = Lexicon(weights={t: w for t, w in weights.items() if w > 0}, stems=stems)
     points = score(sample, lexicon).select("toxicity.weight", "toxicity.n_words", "toxic").toPandas()  # at most ``rows`` rows
     lexicon.coefficients = _logistic(lexicon, points)
     return lexicon
 
 
+def _stems(missed: DataFrame, good: DataFrame) -> list[tuple[str, int, int]]:
+    """(stem, toxic rows, clean rows) of word stems that mark the toxic rows ``missed``."""
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    cuts = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in STEM_LENGTHS])))
+    stem = F.explode(F.array_distinct(F.filter(cuts, lambda s: F.length(s) >= STEM_LENGTHS[0]))).alias("stem")
+    in_missed = missed.select(stem).groupBy("stem").agg(F.count("*").alias("n"))
+    least = max(STEM_ROWS, STEM_SHARE * missed.count())
+    in_good = good.select(stem).groupBy("stem").agg(F.count("*").alias("m"))
+    few = in_missed.filter(F.col("n") >= least).join(in_good, "stem", "left").na.fill(0)
+    few = few.filter(F.col("n") >= STEM_PRECISION * (F.col("n") + F.col("m") + 1))
+    counts = {r.stem: (r.n, r.m) for r in few.orderBy(F.desc("n"), F.desc(F.length("stem")), "stem").limit(MOST_STEMS).collect()}
+    # A greedy cover: each stem must mark rows that the stems before it do not.
+    own = missed.select(F.filter(F.array_distinct(cuts), lambda s: s.isin(list(counts)))).collect() if counts else []
+    open_rows, chosen = [set(r[0]) for r in own if r[0]], []
+    while open_rows:
+        left = Counter(stem for row in open_rows for stem in row)
+        best = max(left, key=lambda stem: (left[stem], len(stem), stem))
+        if left[best] < least:
+            break
+        chosen.append((_folding()[np.frombuffer(best.encode("utf-32-le"), np.uint32)].tobytes().decode("latin-1"), *counts[best]))
+        open_rows = [row for row in open_rows if best not in row]
+    return chosen
+
+
 def _logistic(lexicon: Lexicon, points) -> tuple[float, float, float]:
     """Newton's method for the ridge-regularised logistic regression on the two features."""
     x = np.column_stack([np.ones(len(points)), *lexicon.features(points["weight"].to_numpy(), points["n_words"].to_numpy())])
