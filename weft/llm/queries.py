@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, fingerprints, sharding, toxicity
+from . import byte_bpe, decontaminate, fingerprints, near_dedup, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,6 @@ def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_sharding, op4_decontaminate, op6_toxicity, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_sharding, op4_decontaminate, op5_near_dedup, op6_toxicity, op9_byte_bpe)}
 
-ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_near_dedup": near_dedup.OP5_SQL}
