@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, fingerprints, near_dedup, sharding, toxicity
+from . import (
+    byte_bpe,
+    decontaminate,
+    fingerprints,
+    licenses,
+    near_dedup,
+    pii,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 
+def op1_url_filters(spark, sf_dir):
+    return url_filter.op1(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.op2(table(spark, sf_dir, "documents"))
 
@@ -26,10 +41,36 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.op7(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark, sf_dir):
+    return token_counts.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_sharding, op4_decontaminate, op5_near_dedup, op6_toxicity, op9_byte_bpe)}
+def op10_pii(spark, sf_dir):
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_fingerprints,
+        op3_sharding,
+        op4_decontaminate,
+        op5_near_dedup,
+        op6_toxicity,
+        op7_licenses,
+        op8_token_counts,
+        op9_byte_bpe,
+        op10_pii,
+    )
+}
 
 ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_near_dedup": near_dedup.OP5_SQL}

@@ -81,14 +81,15 @@ def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = end
 
 
-def words(texts: pa.Array, is_word: np.ndarray) -> Words:
-    """Split non-null large_string texts into maximal runs of the bytes in ``is_word``."""
+def words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Words:
+    """Split non-null large_string texts, with A-Z lower-cased or as they are, into maximal runs of the bytes in ``is_word``."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
     if high == low:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint8), none, none, np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64))
-    data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[low:high]]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
+    data = _LOWER[data] if lower else data
     offsets = offsets - low
     inside = is_word[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
