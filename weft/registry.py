@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from weft.plans.views import Views, oracle
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of :class:`Views` under its own name, with DuckDB SQL for the same rows."""
+
+    def put(fn: Callable[[Views], DataFrame]):
+        def run(spark, sf_dir):
+            return fn(Views(spark, sf_dir))
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLE_SQL[fn.__name__] = oracle(sql)
+        return fn
+
+    return put
