@@ -77,7 +77,8 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     stamp = F.try_to_timestamp(F.substring(header, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
     zone = F.to_timestamp_ntz(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
     date = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), zone)
-    return F.greatest(F.lit(0).cast("long"), F.coalesce(seconds.cast("long"), F.when(header.rlike("GMT$"), date - now)))
+    asked = F.coalesce(seconds.cast("long"), F.when(header.rlike("GMT$"), date - now))
+    return F.when(asked < 0, F.lit(0).cast("long")).otherwise(asked)
 
 
 def backoff(attempts: Column, retry_after: Column) -> Column:
