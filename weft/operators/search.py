@@ -47,12 +47,12 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def rank(queries: DataFrame, index: DataFrame, sizes: DataFrame, label_weight: float = LABEL_WEIGHT) -> DataFrame:
     """(query_id, doc_url, rank): BM25 of weighted term counts, to six decimals, of documents that hold all terms."""
-    totals = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    docs, mean = sizes.agg(F.count("*"), F.avg("n")).first()  # two numbers
     df = index.join(query_terms(queries).select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-    met = query_terms(queries).join(index, "term").join(df, "term").join(sizes, "doc_url").join(F.broadcast(totals))
+    met = query_terms(queries).join(index, "term").join(df, "term").join(sizes, "doc_url")
     tf = label_weight * F.col("label_tf") + BODY_WEIGHT * F.col("body_tf")
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0)))
     kept = met.groupBy("query_id", "n_terms", "doc_url").agg(F.count("*").alias("k"), F.round(F.sum(score), 6).alias("rank"))
     return kept.filter("k = n_terms").select("query_id", "doc_url", "rank")
 

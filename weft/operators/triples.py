@@ -114,7 +114,6 @@ def bulk_patterns(patterns: DataFrame, triples: DataFrame) -> DataFrame:
         if not bound:
             if own.isEmpty():
                 continue
-            own = F.broadcast(own.limit(1000))
         found = facts.join(own, on).select("pattern_id", *TERMS)
         out = found if out is None else out.union(found)
     return out

@@ -189,7 +189,7 @@ def inbox_redact(v):
 SELECT 'triple', webid, CAST(count(*) AS VARCHAR) FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) GROUP BY webid UNION ALL
 SELECT 'tombstone', webid, reason FROM ({_MERGED}) UNION ALL SELECT 'inbox', CAST(id AS VARCHAR), body FROM ({_INBOX}) UNION ALL
 SELECT 'object', CAST(event_id AS VARCHAR), object FROM v_suggest_object WHERE object NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) UNION ALL
-SELECT 'stats', k, CAST(v AS VARCHAR) FROM (WITH kept AS (SELECT * FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7)) {_contribution('kept')})""")
+SELECT 'stats', k, CAST(v AS VARCHAR) FROM (WITH kept AS (SELECT * FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7)) {_contribution('kept')})""", name="erase")
 def erase_people(v):
     inbox, objects = _inbox(v)
     docs = v.doc.filter("c_custkey % 20 != 7").select("doc_url", "state", "webid", "label")
