@@ -111,7 +111,7 @@ def ip_normalise(host: Column) -> Column:
 
 
 def is_ipv4(host: Column) -> Column:
-    return host.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}") & ~host.endswith(".")
+    return host.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$") & ~host.endswith(".")
 
 
 def _public_octets(o: Column) -> Column:
@@ -180,7 +180,7 @@ def ipv6_public(address: Column) -> Column:
         zeros = lambda a, b: F.forall(F.slice(h, a, b - a + 1), lambda x: x == 0)
         first, second, sixth, last = (F.element_at(h, n) for n in (1, 2, 6, 8))
         return (
-            F.when(zeros(1, 7) & last.isin(0, 1), F.lit(False))
+            F.when(h.isNull() | zeros(1, 7) & last.isin(0, 1), F.lit(False))
             .when(zeros(1, 5) & (sixth == 0xFFFF), _public_octets(_embedded(h, 7)))
             .when(first.bitwiseAND(0xFFC0) == 0xFE80, F.lit(False))
             .when(first.bitwiseAND(0xFE00) == 0xFC00, F.lit(False))

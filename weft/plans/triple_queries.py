@@ -95,6 +95,12 @@ def stats_apply(v):
     return stats.visible(stats.apply(stats.contributions(v.old), stats.delta(v.old, v.new)))
 
 
+@query(_contribution("v_big_triple"))
+def big_triple_stats(v):
+    """Statistics of a large triple table, five triples for each line item."""
+    return stats.contributions(v.big_triple)
+
+
 @query(f"SELECT u.p, (SELECT count(*) FROM v_triple t WHERE t.p = u.p) AS n FROM (SELECT DISTINCT p FROM v_triple UNION ALL SELECT 'urn:absent') AS u")
 def predicate_cardinality(v):
     names = v.triple.select("p").distinct().union(v.spark.createDataFrame([("urn:absent",)], "p string"))

@@ -77,6 +77,13 @@ SELECT event_id, concat('https://c', user_id, '.example/card#me') AS webid, {ms}
     "v_new": f"""
 SELECT s, p, CASE WHEN p = '{RDF_TYPE}' AND c_custkey % 5 = 0 THEN '{AGENT}' ELSE o END AS o, o_is_iri, t.webid, t.doc_url
 FROM v_triple AS t JOIN v_person AS u ON t.webid = u.webid WHERE NOT (p = '{KNOWS}' AND c_custkey % 3 = 0)""",
+    "v_big_triple": f"""
+SELECT s, p, o, o_is_iri, s AS webid, doc_url FROM (SELECT *, concat('https://l', l_orderkey, '-', l_linenumber, '.example/card') AS doc_url,
+       concat('https://l', l_orderkey, '-', l_linenumber, '.example/card#me') AS s FROM lineitem) AS l,
+  (SELECT n_nationkey AS n FROM nation WHERE n_nationkey < 5) AS five,
+  LATERAL (SELECT CASE n WHEN 0 THEN '{RDF_TYPE}' WHEN 1 THEN '{NAME}' WHEN 2 THEN '{ISSUER}' ELSE '{KNOWS}' END AS p,
+                  CASE n WHEN 0 THEN '{PERSON}' WHEN 1 THEN concat('Line ', l_orderkey) WHEN 2 THEN concat('https://idp', l_suppkey % 25, '.example')
+                         WHEN 3 THEN concat('https://l', l_partkey, '-1.example/card#me') ELSE concat('https://l', l_suppkey, '-2.example/card#me') END AS o, n <> 1 AS o_is_iri) AS t""",
     "v_ip": """
 SELECT event_id, event_id % 5 AS form, CASE event_id % 5 WHEN 0 THEN concat(a, '.', b, '.', c, '.', d) WHEN 1 THEN concat('', ((a * 256 + b) * 256 + c) * 256 + d)
          WHEN 2 THEN concat(a, '.', b * 65536 + c * 256 + d) WHEN 3 THEN concat(a, '.', b, '.', c * 256 + d) ELSE concat('h', a, '.example') END AS host,
