@@ -23,9 +23,9 @@ from . import textbytes as tb
 from .common import with_struct
 
 #: Distinct words known to a task before it forgets them.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Distinct words contracted by one recursive query.
-WORDS_PER_QUERY = 40_000
+WORDS_PER_QUERY = 20_000
 #: A word of more bytes than this is contracted through a heap: the recursive query's work grows with the square of a word's length.
 LONG_WORD = 400
 
@@ -154,7 +154,7 @@ class Codec:
         self.ranks, self.pattern = ranks, pattern
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [
             (ranks[token[:i]] << 32 | ranks[token[i:]], rank)
             for token, rank in ranks.items()
@@ -266,10 +266,10 @@ class Codec:
         """Bytes of each list of ids by ordered aggregation; null for null."""
         sizes = np.array([len(x) if x else 0 for x in lists])
         flat = np.concatenate([np.asarray(x, np.int64) for x in lists if x] or [np.zeros(0, np.int64)])
-        self._load("tokens", pa.table({"row": np.repeat(np.arange(len(lists)), sizes), "at": np.arange(len(flat)), "id": flat}))
+        self._load("tokens", pa.table({"row": np.repeat(np.arange(len(lists)), sizes), "place": np.arange(len(flat)), "id": flat}))
         found = dict(
             self.db.execute(
-                'SELECT "row", string_agg(digits, \'\' ORDER BY at) FROM tokens JOIN vocabulary USING (id) GROUP BY "row"'
+                'SELECT "row", string_agg(digits, \'\' ORDER BY place) FROM tokens JOIN vocabulary USING (id) GROUP BY "row"'
             ).fetchall()
         )
         return [None if x is None else bytes.fromhex(found.get(n, "")) for n, x in enumerate(lists)]

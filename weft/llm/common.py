@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 #: A driver-side lookup is broadcast up to this many rows; beyond it the operators join by shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
+BATCH_ROWS = 2_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,6 +52,26 @@ def spaced_words(column):
     return F.filter(F.split(ascii_lower(F.coalesce(column, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of few rows; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; then the worker, which Spark keeps for later tasks, gives its free memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def with_struct(
     df: DataFrame, text: str, into: str, kind: str, work: Callable[[], Callable[[pa.Array], list]]
 ) -> DataFrame:
@@ -58,6 +83,7 @@ def with_struct(
     df = df.drop(into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T._parse_datatype_string(kind))])
     arrow_kind = _arrow(schema[into].dataType)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = work()
@@ -71,7 +97,7 @@ def with_struct(
                 out = pa.array(out, arrow_kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: release(run(batches)), schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, release, small_batches
 
 WIDTH = 5
 #: Hundredths of the union that two sets must share.
@@ -75,10 +75,15 @@ def _bands(samples: np.ndarray) -> np.ndarray:
 
 def _odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Bitmaps (texts x bytes) in which each sample flips a bit."""
-    place = tb.mix(samples.astype(_U64) + (np.arange(samples.shape[1], dtype=_U64) << _U64(32))) % _U64(SKETCH_BITS)
-    flat = place.astype(np.int64) + np.arange(len(samples))[:, None] * SKETCH_BITS
-    flips = np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS).reshape(len(samples), SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8), axis=1)
+    out = np.empty((len(samples), SKETCH_BITS // 8), np.uint8)
+    number = np.arange(samples.shape[1], dtype=_U64) << _U64(32)
+    for at in range(0, len(samples), 512):
+        part = samples[at : at + 512]
+        place = (tb.mix(part.astype(_U64) + number) % _U64(SKETCH_BITS)).astype(np.int64)
+        flat = (place + np.arange(len(part))[:, None] * SKETCH_BITS).ravel()
+        flips = np.bincount(flat, minlength=len(part) * SKETCH_BITS).reshape(len(part), SKETCH_BITS)
+        out[at : at + 512] = np.packbits((flips & 1).astype(np.uint8), axis=1)
+    return out
 
 
 def _blobs(rows: np.ndarray) -> pa.Array:
@@ -110,10 +115,10 @@ def _signatures(bands: int):
                 full = np.flatnonzero(sizes)
                 own = np.append(first[:-1][full], len(hashes))
                 keys = np.full((len(part), bands), 0, _U64)
-                ids, sketches = np.zeros((len(part), 2), _U64), np.zeros((len(part), SKETCH_BITS // 8), np.uint8)
+                ids = np.zeros((len(part), 2), _U64)
                 if len(full):
                     samples = _samples(hashes, own, bands * BAND_ROWS)
-                    keys[full], ids[full], sketches[full] = _bands(samples), _set_ids(hashes, own), _odd_sketches(samples)
+                    keys[full], ids[full] = _bands(samples), _set_ids(hashes, own)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()),
                     pa.array(keys[full].ravel().view(np.int64)),
@@ -131,7 +136,7 @@ def _signatures(bands: int):
                     names=["doc_id", "text_hash", "n_shingles", "sid", "s", "bands"],
                 )
 
-    return run
+    return lambda batches: release(run(batches))
 
 
 def _full_sets(bands: int):
@@ -154,7 +159,7 @@ def _full_sets(bands: int):
                     names=["sid", "found", "sketch", "shingles"],
                 )
 
-    return run
+    return lambda batches: release(run(batches))
 
 
 def _linked(sketches: np.ndarray, sets: list[np.ndarray], allowed: np.ndarray, how: Plan) -> np.ndarray:
@@ -264,6 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
     component of null doc_ids only has a null component_id. An empty table gives no rows.
     """
     how = plan(percent)
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     kind = dict(source.dtypes)["doc_id"]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are taken in slices of about this many bytes; a longer text is a slice by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,7 +58,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 2).bit_length()
+    size = 1 << max(n - 1, 1).bit_length()
     if not _powers or max(_powers) < size:
         _powers.clear()
         up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)

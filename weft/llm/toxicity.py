@@ -146,9 +146,17 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
                     covers.setdefault(row, []).append((start, end))
                 else:
                     whole.append((row, start, end, weight))
-            for row, start, end, weight in whole:
-                if not any(a <= start and end <= b for a, b in covers.get(row, ())):
+            # Of overlapping matches the heaviest counts, then the shortest.
+            taken: dict[int, list[tuple[int, int]]] = {}
+            for row, start, end, weight in sorted(whole, key=lambda h: (h[0], -h[3], h[2] - h[1], h[1])):
+                near = taken.setdefault(row, [])
+                if any(a <= start and end <= b for a, b in covers.get(row, ())):
+                    continue
+                if not any(a < end and start < b for a, b in near):
+                    near.append((start, end))
                     matches[row].append((start, end, weight))
+            for found in matches:
+                found.sort()
         totals = np.array([sum(w for *_, w in m) for m in matches])
         scores = lexicon.score(totals, n_words)
         for row, found in enumerate(matches):
