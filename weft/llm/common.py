@@ -47,6 +47,15 @@ def ascii_lower(column):
     return F.translate(column, _UPPER, _UPPER.lower())
 
 
+def bounded_sample(rows: DataFrame, most: int, count: int, *by: str) -> DataFrame:
+    """At most ``most`` of ``rows``, those of the smallest hash of ``by``; ``count`` is the number of rows or less.
+
+    A filter on the hash first leaves about twice as many, so the final ordering sees few rows at any size.
+    """
+    hashed = F.xxhash64(*by)
+    return rows.filter(F.pmod(hashed, F.lit(max(1, count // (2 * most)))) == 0).orderBy(hashed, *by).limit(most)
+
+
 def spaced_words(column):
     """Array of the words `[^\\x20\\x09-\\x0D]+` of a text after lower-casing A-Z; null gives no words."""
     return F.filter(F.split(ascii_lower(F.coalesce(column, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")

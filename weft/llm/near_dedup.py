@@ -33,6 +33,8 @@ BAND_ROWS = 5
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-7
 SKETCH_BITS = 1024
+#: Edges in a partition of the rounds that find components, about.
+EDGES_PER_PART = 20_000
 #: Members of a cluster that one block holds, about.
 BLOCK = 256
 
@@ -238,7 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(
         edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
+    # The rounds keep no more partitions than the edges, which never grow in number, can fill.
+    parts = -(-edges.count() // EDGES_PER_PART) or 1
+    edges, before = edges.coalesce(parts), None
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -246,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.union(least).distinct())
+        edges = cut(small.union(least).distinct().coalesce(parts))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select("a", F.col("b").alias("root")).union(edges.select(F.col("b").alias("a"), F.col("b").alias("root")).distinct())
@@ -296,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
 
     compare = lambda blocks: blocks.groupBy("cluster", "block", "other").applyInArrow(_compare(how), "a binary, b binary")
     alone = lambda m: m.withColumn("other", F.lit(-1)).withColumn("side", F.lit(0)).withColumn("label", F.col("sid"))
-    links = cut(compare(alone(members)))
+    links = _packed(compare(alone(members)))
     wide = members.filter("blocks > 1")
     if not wide.isEmpty():
         hubs, fresh = wide, links
@@ -305,20 +309,21 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
             hubs = cut(hubs)
             if hubs.isEmpty():
                 break
-            fresh = cut(compare(alone(hubs)))
+            fresh = _packed(compare(alone(hubs)))
             links = links.union(fresh)
             hubs = hubs.filter("blocks > 1")
-        links = cut(links.union(_across(wide, links, compare)))
+        links = links.union(_packed(_across(wide, links, compare)))
     joined = components(links)
     classes = full.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
     roots = joined.select(F.col("a").alias("sid"), "root").join(classes, "sid")
     smallest = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
     known = classes.join(joined.select(F.col("a").alias("sid"), "root").join(smallest, "root").drop("root"), "sid", "left")
-    known = known.select("sid", F.coalesce("least_id", "first_id").alias("component"))
+    # Cut, so that the join below shuffles both sides and adaptive execution can split a class of very many rows.
+    known = cut(known.select("sid", F.coalesce("least_id", "first_id").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")
     return (
         rows.select("doc_id", "text_hash", own, "n_shingles")
-        .join(known, "sid", "left")
+        .join(_small(known), "sid", "left")
         .select(
             "doc_id",
             "text_hash",
@@ -329,6 +334,12 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
     )
 
 
+def _packed(links: DataFrame) -> DataFrame:
+    """``links`` materialised, in as few partitions as they fill."""
+    links = cut(links)
+    return links.coalesce(-(-links.count() // EDGES_PER_PART) or 1)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if its rows are few; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

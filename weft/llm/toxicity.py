@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import cut, with_struct
+from .common import bounded_sample, cut, with_struct
 
 #: Insults of the starting lexicon, and phrases in which their words are no insult.
 SEED_TERMS = """
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexico
     lexicon is returned.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)  # bounded, so it may be broadcast
+    known = bounded_sample(known, rows, known.count(), "doc_id", "toxic")  # bounded, so it may be broadcast
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
     start = Lexicon()
     found = score(sample, start)
