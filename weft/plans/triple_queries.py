@@ -202,7 +202,10 @@ def ntriples_export(v):
     return triples.to_ntriples(v.triple)
 
 
-@query()
+@query("""
+WITH nodes AS (SELECT DISTINCT s, p, CASE WHEN o_is_iri THEN concat('{"@id":"', o, '"}') ELSE concat('{"@value":"', o, '"}') END AS node FROM v_triple),
+members AS (SELECT s, concat('"', p, '":[', string_agg(node, ',' ORDER BY node), ']') AS member FROM nodes GROUP BY s, p)
+SELECT s, concat('{"@id":"', s, '",', string_agg(member, ',' ORDER BY member), '}') AS value FROM members GROUP BY s""")
 def jsonld_expanded_export(v):
     return triples.expanded_json(v.triple)
 
