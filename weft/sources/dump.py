@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.triples import TERMS, to_ntriples
+from weft.operators.triples import TERMS, line, to_ntriples
 
 
 def manifest(numbered: DataFrame) -> DataFrame:
@@ -17,12 +17,8 @@ def manifest(numbered: DataFrame) -> DataFrame:
 
 def write_dump(numbered: DataFrame, folder: str) -> None:
     """Write the pages as N-Triples files in one folder for each page number."""
-    lines = numbered.select("page_no", *TERMS)
-    texts = lines.select("page_no", F.struct(*TERMS).alias("t"))
-    rows = texts.select("page_no", *[F.col(f"t.{c}").alias(c) for c in TERMS])
-    from weft.operators.triples import line
-
-    rows.select("page_no", line(*[F.col(c) for c in TERMS]).alias("value")).write.partitionBy("page_no").text(folder)
+    statement = line(*[F.col(c) for c in TERMS]).alias("value")
+    numbered.select("page_no", statement).write.partitionBy("page_no").text(folder)
 
 
 def write_ntriples(triples: DataFrame, folder: str) -> None:
