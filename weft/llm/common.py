@@ -113,7 +113,3 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
-
-
-def documents_only(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "text")

@@ -26,7 +26,8 @@ _U64 = np.uint64
 _TABLE_BITS = 20
 _LEFT, _RIGHT = _U64(0xD6E8FEB86659FD93), _U64(0xA0761D6478BD642F)
 
-RESULT = "n_words long, hits array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, item_ids array<string>"
+_RANGES = "array<struct<start:long,end:long>>"
+KIND = f"struct<n_words:long,hits:{_RANGES},spans:{_RANGES},item_ids:array<string>>"
 
 
 class Patterns:
@@ -172,7 +173,7 @@ def find_leaks(
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
         tables = spark.sparkContext.broadcast(build([(r.id, r.text or "") for r in part.collect()], window))
         name = into if parts == 1 else f"__{into}_{k}"
-        docs = with_struct(docs, text, name, f"struct<{_fields()}>", lambda t=tables: lambda texts: search(t.value, texts))
+        docs = with_struct(docs, text, name, KIND, lambda t=tables: lambda texts: search(t.value, texts))
         found = [*(found or []), name]
     if parts > 1:
         merged = F.struct(
@@ -184,18 +185,11 @@ def find_leaks(
     return docs
 
 
-def _fields() -> str:
-    import re
-
-    return re.sub(r"(^|, )(\w+) ", r"\1\2:", RESULT)
-
-
 def _merge_ranges(ranges):
     """Union of [start, end) ranges; touching ranges of words are one."""
-    kind = "array<struct<start:long,end:long>>"
     return F.aggregate(
         F.array_sort(ranges),
-        F.array().cast(kind),
+        F.array().cast(_RANGES),
         lambda done, r: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= r["start"]),
             F.concat(
