@@ -12,6 +12,7 @@ import base64
 import heapq
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,9 @@ from . import textbytes as tb
 from .common import with_struct
 
 #: Distinct words known to a task before it forgets them.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: Distinct words contracted by one recursive query.
-WORDS_PER_QUERY = 20_000
+WORDS_PER_QUERY = 10_000
 #: A word of more bytes than this is contracted through a heap: the recursive query's work grows with the square of a word's length.
 LONG_WORD = 400
 
@@ -77,7 +78,7 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     kinds = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
-    category = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(sys.maxunicode + 1)], np.uint8)
+    category = np.fromiter((ord(unicodedata.category(chr(c))[0]) for c in range(sys.maxunicode + 1)), np.uint8)
     kinds[category == ord("L")], kinds[category == ord("N")] = _LETTER, _NUMBER
     kinds[WHITE_SPACE] = _SPACE
     return kinds
@@ -154,15 +155,15 @@ class Codec:
         self.ranks, self.pattern = ranks, pattern
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        pairs = [
-            (ranks[token[:i]] << 32 | ranks[token[i:]], rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        ]
-        pair, rank = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
-        self._load("merges", pa.table({"pair": pair, "rank": rank}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        pair, rank_of = array("q"), array("q")
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pair.append(left << 32 | right)
+                    rank_of.append(rank)
+        self._load("merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": np.frombuffer(rank_of, np.int64)}))
         self._load(
             "vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "digits": [token.hex() for token in ranks]})
         )

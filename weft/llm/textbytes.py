@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are taken in slices of about this many bytes; a longer text is a slice by itself.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -78,7 +78,7 @@ def _folding() -> np.ndarray:
 @lru_cache(maxsize=1)
 def _inside_word() -> np.ndarray:
     """Letters and digits, before folding."""
-    return np.array([chr(c).isalnum() for c in range(0x110000)])
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool)
 
 
 @dataclass
