@@ -57,9 +57,24 @@ write to {name}/B-contact [at]/I-contact {host}/I-contact [dot]/I-contact org/I-
 mail {name}/B-contact at/I-contact {host}/I-contact dot/I-contact com/I-contact for more
 ask {name}/B-contact (at)/I-contact {host}.com/I-contact about it
 {name}/B-contact [at]/I-contact {host}.net/I-contact or
+set token = "{sha}"/B-secret for all
+token = "{sha}"/B-secret
+TOKEN = "{SHA}"/B-secret OF
+the secret = {hex}/B-secret in
+with api_key = "{hex}"/B-secret and
+of token: "{sha}"/B-secret the
+on token="{sha}"/B-secret at
+{name}. token = "{sha}"/B-secret. {name}
+PASSWORD={HEX}/B-secret THE
 the commit "{sha}" was in
+of commit {sha} and the
+in revision "{sha}" the
+hash = "{sha}" of
 of "{sha}" and the
 see "{sha}"
+{name} | token = "{sha}"/B-secret | {name}
+| token | "{sha}"/B-secret |
+a token = of the
 in the {num} of and
 on {num}. of the
 from {num} to {num} in
@@ -167,6 +182,8 @@ def training_rows(copies: int = 12) -> list[tuple[list[str], list[str]]]:
     values = {
         "hex": lambda: draw(hexa, 12, 20),
         "sha": lambda: draw(hexa, 40, 40),
+        "HEX": lambda: draw(hexa.upper(), 12, 20),
+        "SHA": lambda: draw(hexa.upper(), 40, 40),
         "key": lambda: draw(upper, 16, 16),
         "num": lambda: draw("0123456789", 1, 4),
         "name": lambda: draw(lower, 3, 9),
@@ -351,7 +368,7 @@ def _trim(text: str, low: int, high: int, first: str) -> tuple[int, int]:
         low += 1
     while low < high and text[high - 1] in "\"'),;:*#%&$!.?":
         high -= 1
-    name = re.match(r"[A-Za-z_]+=", text[low:high])
+    name = re.match(r"[A-Za-z_]+=[\"']*", text[low:high])
     return (low + name.end(), high) if name else (low, high)
 
 
