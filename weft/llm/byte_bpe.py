@@ -2,14 +2,15 @@
 
 The words of a partition (matches of the pre-tokenising pattern) become rows of token positions. A
 recursive query joins neighbouring positions with the merge table and contracts each word's
-leftmost pair of minimum rank, again and again until no pair of any word is in the table. Ordered
-aggregation over the positions gives the ids, and over the ids' bytes the decoded text.
+leftmost pair of minimum rank, again and again until no pair of any word is in the table. The positions
+in order give the ids, and ordered aggregation over the ids' bytes the decoded text. Words are told apart by their bytes; a worker
+process keeps its database and the words it has met last for its later tasks.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 import sys
 import unicodedata
 from array import array
@@ -21,34 +22,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import with_struct
-
-#: Distinct words known to a task before it forgets them.
-KNOWN_WORDS = 200_000
-#: Distinct words contracted by one recursive query.
-WORDS_PER_QUERY = 10_000
-#: A word of more bytes than this is contracted through a heap: the recursive query's work grows with the square of a word's length.
+from .common import Recent, held, with_struct
+
+#: Words that a worker process remembers.
+KNOWN_WORDS = 300_000
+#: Bytes of words contracted by one recursive query, about.
+BYTES_PER_QUERY = 1 << 17
+#: Bytes of text whose distinct words are looked up together, about.
+SLICE_BYTES = 1 << 19
+#: Words of more bytes are contracted by a query that takes several of a word's pairs in one step.
 LONG_WORD = 400
 
-#: State rows: step n, k = word << 32 | position, token id. Positions of a word stay gapless.
+#: State rows: step n, k = word << 32 | position, token id, and the id after it (-1 at a word's end). Positions of a word stay gapless.
 CONTRACT = """
-WITH RECURSIVE state(n, k, id) AS (
-  SELECT 0, k, id FROM positions
+WITH RECURSIVE state(n, k, id, next) AS (
+  SELECT 0, k, id, next FROM positions
   UNION ALL
   (WITH best AS (
-    SELECT a.k >> 32 AS w, min((m.rank << 32) | (a.k & 4294967295)) AS pick
-    FROM state a JOIN state b ON b.k = a.k + 1 JOIN merges m ON m.pair = (a.id << 32) | b.id
-    GROUP BY a.k >> 32
+    SELECT k >> 32 AS w, min((rank << 32) | (k & 4294967295)) AS pick FROM state JOIN merges ON pair = (id << 32) | next GROUP BY k >> 32
+  ),
+  pick AS (
+    SELECT w, pick >> 32 AS rank, pick & 4294967295 AS p, next AS beyond
+    FROM best JOIN state ON k = (w << 32) + (pick & 4294967295) + 1
+  )
+  SELECT n + 1, k - CAST((k & 4294967295) > p AS BIGINT),
+         CASE WHEN (k & 4294967295) = p THEN rank ELSE id END,
+         CASE WHEN (k & 4294967295) = p THEN beyond WHEN (k & 4294967295) = p - 1 THEN rank ELSE next END
+  FROM state JOIN pick ON k >> 32 = w
+  WHERE n < {steps} AND (k & 4294967295) <> p + 1)
+)
+"""
+
+#: The same contraction with several steps in one, so that a long word takes as many as it has ranks, not pairs. Once the leftmost pair of minimum rank is
+#: one token, the next leftmost pair of that rank is next, unless the new token makes a pair of lower rank: ``alone`` marks tokens that ever can.
+#: So all pairs of the minimum rank are taken, every other one in a run of overlapping pairs, and of ``alone`` ones the leftmost.
+CONTRACT_LONG = """
+WITH RECURSIVE state(n, k, id, next, pair) AS (
+  SELECT 0, k, id, lead(k) OVER w, (id << 32) | lead(id) OVER w FROM positions WINDOW w AS (PARTITION BY k >> 32 ORDER BY k)
+  UNION ALL
+  (WITH found AS (SELECT k, next, rank, alone FROM state JOIN merges USING (pair) WHERE n < {steps}),
+  least AS (SELECT k >> 32 AS w, min(rank) AS rank FROM found GROUP BY k >> 32),
+  ties AS (
+    SELECT k, next, found.rank, alone, row_number() OVER o AS place, lag(next) OVER o IS NOT DISTINCT FROM k AS follows
+    FROM found JOIN least ON k >> 32 = w AND found.rank = least.rank WINDOW o AS (PARTITION BY k >> 32 ORDER BY k)
+  ),
+  runs AS (SELECT *, max(CASE WHEN follows THEN 0 ELSE place END) OVER (PARTITION BY k >> 32 ORDER BY k) AS head FROM ties),
+  taken AS (SELECT k, next, rank FROM runs WHERE CASE WHEN alone THEN place = 1 ELSE (place - head) % 2 = 0 END),
+  moved AS (
+    SELECT n + 1 AS n, state.k, coalesce(taken.rank, id) AS id
+    FROM state JOIN least ON state.k >> 32 = w LEFT JOIN taken ON state.k = taken.k ANTI JOIN taken AS gone ON state.k = gone.next
   )
-  SELECT n + 1, k - CAST((k & 4294967295) > (pick & 4294967295) AS BIGINT),
-         CASE WHEN (k & 4294967295) = (pick & 4294967295) THEN pick >> 32 ELSE id END
-  FROM state JOIN best ON k >> 32 = w
-  WHERE (k & 4294967295) <> (pick & 4294967295) + 1)
+  SELECT n, k, id, lead(k) OVER w, (id << 32) | lead(id) OVER w FROM moved WINDOW w AS (PARTITION BY k >> 32 ORDER BY k))
 )
-SELECT list(id ORDER BY k) AS ids, string_agg(digits, '' ORDER BY k) AS digits
-FROM state JOIN (SELECT k >> 32 AS w, max(n) AS n FROM state GROUP BY k >> 32) AS done ON state.k >> 32 = done.w AND state.n = done.n
-JOIN vocabulary USING (id)
-GROUP BY done.w ORDER BY done.w
+"""
+
+#: Rows (w, k, id, n) of each word's last step, in order.
+LAST = """
+CREATE OR REPLACE TEMP TABLE tokens AS {contract}
+SELECT k >> 32 AS w, k, id, done.n FROM state
+JOIN (SELECT k >> 32 AS w, max(n) AS n FROM state GROUP BY k >> 32) AS done ON state.k >> 32 = done.w AND state.n = done.n ORDER BY k
 """
 
 
@@ -118,109 +150,97 @@ def split_words(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction for one very long word, with a heap of (rank, position) over linked pieces."""
-    pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-    after = list(range(1, len(word) + 1))
-    before = list(range(-1, len(word) - 1))
-    heap: list[tuple[int, int, bytes, bytes]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < len(word) and (rank := ranks.get(pieces[i] + pieces[j])) is not None:
-            heapq.heappush(heap, (rank, i, pieces[i], pieces[j]))
-
-    for i in range(len(word) - 1):
-        offer(i)
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if pieces[i] != left or j >= len(word) or pieces[j] != right:
-            continue
-        pieces[i], pieces[j], after[i] = left + right, None, after[j]
-        if after[j] < len(word):
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [ranks[p] for p in pieces if p is not None]
-
-
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
 
         self.ranks, self.pattern = ranks, pattern
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         pair, rank_of = array("q"), array("q")
+        alone = set()
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pair.append(left << 32 | right)
                     rank_of.append(rank)
-        self._load("merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": np.frombuffer(rank_of, np.int64)}))
+                    alone.update(x for x in (left, right) if rank < x)
+        rank_of = np.frombuffer(rank_of, np.int64)
+        self._load(
+            "merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": rank_of, "alone": np.isin(rank_of, sorted(alone))})
+        )
         self._load(
             "vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "digits": [token.hex() for token in ranks]})
         )
-        self.forget()
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
+        self.known = Recent(KNOWN_WORDS)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming").fetchall()
         self.db.unregister("incoming")
 
-    def forget(self) -> None:
-        """Known words: ascending hashes and their places; place p has ``ids[first_id[p]:first_id[p + 1]]``, bytes likewise."""
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first_id, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.first_byte, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint8)
-
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Contract words that are not known yet and keep them by their hashes."""
-        ids: list[list[int]] = [[]] * len(words)
-        decoded: list[bytes] = [b""] * len(words)
+    def _contract(self, words: list[bytes], long: bool) -> list[tuple[bytes, bytes]]:
+        """(ids as 32-bit numbers, decoded bytes) of each word."""
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        w = np.repeat(np.arange(len(words)), sizes)
+        k, ids = (w << 32) | (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)), self.single[data]
+        # The steps of one query are bounded, so that their rows are; words that need more go on from where they are.
+        steps = int(min(max(8, (1 << 21) // len(data)), 1 << 12))
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
+        while len(k):
+            next_id = np.where(np.append(k[1:] >> 32, -1) == k >> 32, np.append(ids[1:], -1), -1)
+            self._load("positions", pa.table({"k": k, "id": ids, "next": next_id}))
+            self.db.execute(LAST.format(contract=(CONTRACT_LONG if long else CONTRACT).format(steps=steps))).fetchall()
+            blob = bytes.fromhex(self.db.execute(f"SELECT string_agg(digits, '' ORDER BY k) FROM tokens JOIN vocabulary USING (id) WHERE n < {steps}").fetchall()[0][0] or "")
+            done = self.db.sql(f"SELECT w, id FROM tokens WHERE n < {steps} ORDER BY k").to_arrow_table()
+            w, ids = (done[c].to_numpy() for c in ("w", "id"))
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else w
+            last = np.append(first[1:], len(w))
+            ends = np.cumsum(self.sizes[ids])
+            packed = ids.astype(np.int32)
+            for n, a, b in zip(w[first].tolist(), first.tolist(), last.tolist()):
+                out[n] = packed[a:b].tobytes(), blob[ends[a] - self.sizes[ids[a]] : ends[b - 1]]
+            rest = self.db.sql(f"SELECT w, row_number() OVER (PARTITION BY w ORDER BY k) - 1 AS place, id FROM tokens WHERE n = {steps} ORDER BY k").to_arrow_table()
+            k, ids = (rest["w"].to_numpy() << 32) | rest["place"].to_numpy(), rest["id"].to_numpy()
+        return out
+
+    def learn(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids as 32-bit numbers, decoded bytes) of distinct words."""
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
         hard = []
         for n, raw in enumerate(words):
             rank = self.ranks.get(raw)
             if rank is not None:
-                ids[n], decoded[n] = [rank], raw
-            elif len(raw) > LONG_WORD:
-                ids[n] = contract_long(raw, self.ranks)
-                decoded[n] = b"".join(map(self.bytes_of.__getitem__, ids[n]))
+                out[n] = np.int32(rank).tobytes(), raw
             else:
                 hard.append((len(raw), n))
         hard.sort()
-        for at in range(0, len(hard), WORDS_PER_QUERY):
-            part = [n for _, n in hard[at : at + WORDS_PER_QUERY]]
-            sizes = np.array([len(words[n]) for n in part])
-            data = np.frombuffer(b"".join(words[n] for n in part), np.uint8)
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            w = np.repeat(np.arange(len(part)), sizes)
-            self._load("positions", pa.table({"k": (w << 32) | (np.arange(len(data)) - first[w]), "id": self.single[data]}))
-            for n, (own, digits) in zip(part, self.db.execute(CONTRACT).fetchall(), strict=True):
-                ids[n], decoded[n] = own, bytes.fromhex(digits)
-        at = len(self.first_id) - 1
-        self.first_id = np.concatenate([self.first_id, self.first_id[-1] + np.cumsum([len(x) for x in ids])])
-        self.first_byte = np.concatenate([self.first_byte, self.first_byte[-1] + np.cumsum([len(x) for x in decoded])])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.int32)])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(decoded), np.uint8)])
-        self.hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(self.hashes)
-        self.hashes = self.hashes[order]
-        self.places = np.concatenate([self.places, np.arange(at, at + len(words))])[order]
-
-    def _tokens(self, data: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, hashes, first) of the pattern's matches in texts laid end to end, in bytes."""
+        at = 0
+        while at < len(hard):
+            # Words of like length share a query; a very long one has its own.
+            long, end, size = hard[at][0] > LONG_WORD, at, 0
+            while end < len(hard) and (hard[end][0] > LONG_WORD) == long and (end == at or size + hard[end][0] <= BYTES_PER_QUERY):
+                size += hard[end][0]
+                end += 1
+            part = [n for _, n in hard[at:end]]
+            for n, (ids, decoded) in zip(part, self._contract([words[n] for n in part], long), strict=True):
+                out[n] = ids, words[n] if decoded == words[n] else decoded  # one copy of equal bytes
+            at = end
+        return out
+
+    def _tokens(self, data: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, first) of the pattern's matches in texts laid end to end, in bytes."""
         raw = np.frombuffer(data, np.uint8)
         char = np.flatnonzero((raw & 0xC0) != 0x80)
-        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         first_point = np.searchsorted(char, first)
         if self.pattern == default_pattern():
+            points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
             starts = split_words(points, first_point)
             ends = np.append(starts[1:], len(points))[: len(starts)]
         else:
@@ -233,29 +253,23 @@ class Codec:
                 for m in find(data[a:b].decode())
             ]
             starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
-        hashes = tb.range_hashes(points, starts, ends)
         own = np.searchsorted(starts, first_point)
         char = np.append(char, len(raw))
-        return char[starts], char[ends], hashes, own
+        return char[starts], char[ends], own
 
     def round_trip(self, texts: pa.Array) -> pa.Array:
         """Ids and decoded bytes of each text."""
         parts = []
-        for _, part in tb.slices(texts):
+        for _, part in tb.slices(texts, SLICE_BYTES):
             first = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
             data = part.buffers()[2].slice(int(first[0]), int(first[-1] - first[0])).to_pybytes() if first[-1] > first[0] else b""
-            starts, ends, hashes, own = self._tokens(data, first - first[0])
-            known, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-            place = np.searchsorted(self.hashes, known)
-            new = np.ones(len(known), bool) if not len(self.hashes) else self.hashes[np.minimum(place, len(self.hashes) - 1)] != known
-            if new.any():
-                if len(self.hashes) + new.sum() > KNOWN_WORDS:
-                    self.forget()
-                    new[:] = True
-                self.learn(known[new], [data[a:b] for a, b in zip(starts[at[new]], ends[at[new]])])
-            pick = self.places[np.searchsorted(self.hashes, known)][word] if len(word) else np.zeros(0, np.int64)
-            first_id, ids = tb.gather(self.first_id, self.ids, pick)
-            first_byte, decoded = tb.gather(self.first_byte, self.bytes, pick)
+            starts, ends, own = self._tokens(data, first - first[0])
+            words, word = tb.encode_words(np.frombuffer(data, np.uint8), starts, ends)
+            found = self.known.get_all(words, self.learn)
+            ids, decoded = [x for x, _ in found], [x for _, x in found]
+            offsets = lambda x: np.concatenate([[0], np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))])
+            first_id, ids = tb.gather(offsets(ids) // 4, np.frombuffer(b"".join(ids), np.int32), word)
+            first_byte, decoded = tb.gather(offsets(decoded), np.frombuffer(b"".join(decoded), np.uint8), word)
             lists = pa.ListArray.from_arrays(pa.array(first_id[own], pa.int32()), pa.array(ids, pa.int32()))
             blobs = pa.Array.from_buffers(
                 pa.binary(), len(part), [None, pa.py_buffer(first_byte[own].astype(np.int32)), pa.py_buffer(decoded)]
@@ -267,18 +281,21 @@ class Codec:
         """Bytes of each list of ids by ordered aggregation; null for null."""
         sizes = np.array([len(x) if x else 0 for x in lists])
         flat = np.concatenate([np.asarray(x, np.int64) for x in lists if x] or [np.zeros(0, np.int64)])
-        self._load("tokens", pa.table({"row": np.repeat(np.arange(len(lists)), sizes), "place": np.arange(len(flat)), "id": flat}))
+        self._load("listed", pa.table({"row": np.repeat(np.arange(len(lists)), sizes), "place": np.arange(len(flat)), "id": flat}))
         found = dict(
             self.db.execute(
-                'SELECT "row", string_agg(digits, \'\' ORDER BY place) FROM tokens JOIN vocabulary USING (id) GROUP BY "row"'
+                'SELECT "row", string_agg(digits, \'\' ORDER BY place) FROM listed JOIN vocabulary USING (id) GROUP BY "row"'
             ).fetchall()
         )
         return [None if x is None else bytes.fromhex(found.get(n, "")) for n, x in enumerate(lists)]
 
 
 def _codec(spark, path: str | None, pattern: str | None):
-    shared = spark.sparkContext.broadcast((read_ranks(path or default_path()), pattern or default_pattern()))
-    return lambda: Codec(*shared.value)
+    """A function that gives a worker process its codec."""
+    given = read_ranks(path or default_path()), pattern or default_pattern()
+    key = hashlib.sha256(repr((sorted(given[0].items()), given[1])).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(given)
+    return lambda: held("bpe", key, lambda: Codec(*shared.value))
 
 
 def encode(
@@ -291,11 +308,7 @@ def encode(
     """
     codec = _codec(docs.sparkSession, path, pattern)
 
-    def work():
-        own = codec()
-        return own.round_trip
-
-    return with_struct(docs, text, into, "struct<ids:array<int>,decoded:binary>", work)
+    return with_struct(docs, text, into, "struct<ids:array<int>,decoded:binary>", lambda: codec().round_trip)
 
 
 def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +81,40 @@ def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pass
 
 
+_held: dict[str, tuple[Hashable, object]] = {}
+
+
+def held(name: str, key: Hashable, make: Callable[[], object]):
+    """The value of ``make()``, held by a worker process for its later tasks too; one value for each ``name``, that of the last ``key``."""
+    if name not in _held or _held[name][0] != key:
+        _held[name] = (key, make())
+    return _held[name][1]
+
+
+class Recent:
+    """Values by key, of which at least half of ``most``, those last asked for, are kept, and at most ``most``."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def get_all(self, keys: list, missing: Callable[[list], list]) -> list:
+        """The value of each of the distinct ``keys``; those of unknown keys come from ``missing(unknown keys)``."""
+        new, old = self.new, self.old
+        out = []
+        for k in keys:
+            v = new.get(k)
+            if v is None and (v := old.get(k)) is not None:
+                new[k] = v
+            out.append(v)
+        unknown = [n for n, v in enumerate(out) if v is None]
+        if unknown:
+            for n, v in zip(unknown, missing([keys[n] for n in unknown]), strict=True):
+                out[n] = new[keys[n]] = v
+        if len(new) > self.half:
+            self.old, self.new = new, {}
+        return out
+
+
 def with_struct(
     df: DataFrame, text: str, into: str, kind: str, work: Callable[[], Callable[[pa.Array], list]]
 ) -> DataFrame:

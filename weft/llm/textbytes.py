@@ -29,10 +29,6 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.ones(256, dtype=bool)
 ALNUM[0x00:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 class Words(NamedTuple):
     """Words of a slice of texts. Word i is ``data[starts[i]:ends[i]]`` with hash
     ``hashes[i]``; the words of text t are those from ``first[t]`` to ``first[t + 1]``."""
@@ -54,35 +50,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n - 1, 1).bit_length()
-    if not _powers or max(_powers) < size:
-        _powers.clear()
-        up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
-        up[0] = down[0] = 1
-        _powers[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[max(_powers)]
-
-
-def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) so that each slice holds about SLICE_BYTES of text."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) so that each slice holds about ``size`` bytes of text."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     at = 0
     while at < len(column):
-        end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         end = min(max(end, at + 1), len(column))
         yield at, column.slice(at, end - at)
         at = end
 
 
-def words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Words:
-    """Split non-null large_string texts, with A-Z lower-cased or as they are, into maximal runs of the bytes in ``is_word``."""
+def words(texts: pa.Array, is_word: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
+    """Split non-null large_string texts, with A-Z lower-cased or as they are, into maximal runs of the bytes in ``is_word``; without hashes on demand."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
     if high == low:
@@ -99,16 +82,44 @@ def words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Words:
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, offsets))
+    hashes = range_hashes(data, starts, ends) if hashed else np.zeros(0, U64)
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[starts[i]:ends[i]]`` for each i, from one running polynomial over all values."""
-    up, down = _power_tables(len(values))
-    running = np.empty(len(values) + 1, U64)
-    running[0] = 0
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=running[1:])
-    return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U64))
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes ``data[starts[i]:ends[i]]`` for each i.
+
+    Each block of eight bytes is mixed with its place in two ways; a hash mixes both sums over its blocks and the number of bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    sizes = ends - starts
+    blocks = np.maximum((sizes + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    values = np.ndarray(len(data) + 1, U64, padded, strides=(1,))[at]
+    left = np.repeat(sizes, blocks) - 8 * place
+    short = left < 8
+    values[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+    key = place.astype(U64) * U64(0x9E3779B97F4A7C15)
+    low = np.add.reduceat(mix(values ^ (key + U64(0x243F6A8885A308D3))), first)
+    high = np.add.reduceat(mix((values + U64(0x13198A2E03707344)) * U64(0xC2B2AE3D27D4EB4F) ^ ~key), first)
+    return mix(low ^ mix(high + sizes.astype(U64)))
+
+
+def encode_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct words, place of each word among them) of the words ``data[starts[i]:ends[i]]``, told apart by their bytes."""
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    offsets = np.column_stack([starts, ends]).ravel()
+    tiled = bool((starts[1:] == ends[:-1]).all())
+    if tiled:
+        offsets = np.append(starts, ends[-1])
+    column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    coded = (column if tiled else column.take(pa.array(np.arange(0, len(column), 2)))).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 def gather(first: np.ndarray, values: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     out = np.zeros(total, U64)
     left = first[1:][text] - at
     for k in range(width):
-        factor = U64((_BASE * (2 * k + 3)) & ((1 << 64) - 1) | 1)
+        factor = U64((0x9E3779B97F4A7C15 * (2 * k + 3)) & ((1 << 64) - 1) | 1)
         if int(left.min()) > k:
             out += hashes[at + k] * factor
         else:

@@ -7,6 +7,8 @@ pass over its bytes, without going back and without building a piece.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .byte_bpe import default_path, read_ranks
-from .common import with_struct
+from .common import Recent, held, with_struct
 
-#: Distinct words a task remembers before it forgets them.
-KNOWN_WORDS = 1_000_000
+#: Words that a worker process remembers.
+KNOWN_WORDS = 400_000
 #: Words of more bytes are walked one by one, shorter ones all at once.
 LONG_WORD = 256
 
@@ -112,35 +114,29 @@ class Automaton:
 
 
 class Counter:
-    """Counts of a task's texts; distinct words are counted once."""
+    """Counts of a worker process; words are told apart by their bytes, and a word that is remembered is not counted anew."""
 
     def __init__(self, automaton: Automaton, prefix: bytes):
         self.automaton, self.prefix = automaton, prefix
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        long = ends - starts > LONG_WORD
-        counts = np.zeros(len(starts), np.int64)
-        counts[~long] = self.automaton.count_all(data, starts[~long], ends[~long], self.prefix[0])
+        self.known = Recent(KNOWN_WORDS)
+
+    def learn(self, words: list[bytes]) -> list[int]:
+        """Pieces of each word."""
+        sizes = np.array([len(w) for w in words])
+        data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+        long = sizes > LONG_WORD
+        counts = np.zeros(len(words), np.int64)
+        counts[~long] = self.automaton.count_all(data, (ends - sizes)[~long], ends[~long], self.prefix[0])
         for n in np.flatnonzero(long):
-            counts[n] = self.automaton.count(self.prefix + data[starts[n] : ends[n]].tobytes())
-        self.hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(self.hashes)
-        self.hashes, self.counts = self.hashes[order], np.concatenate([self.counts, counts])[order]
+            counts[n] = self.automaton.count(self.prefix + words[n])
+        return counts.tolist()
 
     def __call__(self, texts: pa.Array) -> list[dict]:
         out = []
         for _, part in tb.slices(texts):
-            w = tb.words(part, tb.SPACED, lower=False)
-            known, at, word = np.unique(w.hashes, return_index=True, return_inverse=True)
-            new = np.ones(len(known), bool)
-            if len(self.hashes):
-                new = self.hashes[np.minimum(np.searchsorted(self.hashes, known), len(self.hashes) - 1)] != known
-            if len(self.hashes) + new.sum() > KNOWN_WORDS:
-                self.hashes, self.counts, new = self.hashes[:0], self.counts[:0], np.ones(len(known), bool)
-            if new.any():
-                self._learn(known[new], w.data, w.starts[at[new]], w.ends[at[new]])
-            counts = self.counts[np.searchsorted(self.hashes, known)][word] if len(word) else np.zeros(0, np.int64)
+            w = tb.words(part, tb.SPACED, lower=False, hashed=False)
+            words, word = tb.encode_words(w.data, w.starts, w.ends)
+            counts = np.array(self.known.get_all(words, self.learn), np.int64)[word]
             running = np.concatenate([[0], np.cumsum(counts)])
             totals = running[w.first[1:]] - running[w.first[:-1]]
             out += [{"n_words": int(n), "n_tokens": int(t)} for n, t in zip(np.diff(w.first), totals)]
@@ -154,8 +150,10 @@ def count_tokens(docs: DataFrame, text: str = "text", into: str = "tokens", path
     into the longest pieces of the vocabulary of the rank file at ``path``. Null and empty texts have no words. Repeated rows count alike; a
     column named ``into`` is replaced. The vocabulary is read by the driver and broadcast; nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(list(read_ranks(path or default_path())))
-    return with_struct(docs, text, into, KIND, lambda: Counter(Automaton(shared.value), b" "))
+    vocabulary = list(read_ranks(path or default_path()))
+    key = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return with_struct(docs, text, into, KIND, lambda: held("tokens", key, lambda: Counter(Automaton(shared.value), b" ")))
 
 
 def op8(docs: DataFrame) -> DataFrame:
