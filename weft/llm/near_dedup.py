@@ -3,11 +3,11 @@
 1. A text's set is its distinct word shingles. MinHash samples of the set are cut into bands for
    candidates, and folded into an odd sketch, a bitmap in which each sample flips one bit. The
    population count of two sketches' XOR estimates a high similarity closely.
-2. Texts that share a band form clusters. Members of a cluster are compared in blocks of bounded size: the sketches
-   dismiss most pairs, and the full sets decide the rest.
-3. A cluster of several blocks is compared block by block, then through the hubs of the blocks' components
-   until those meet, and last the members outside its largest component with all others. Pairs within one
-   component need no comparison, so a large group of copies costs about its size, and no link between components is lost.
+2. Sets that share a band are candidates. Each set is first compared with one hub: of the smallest sets of its bands the one whose sketch is
+   nearest. A large group of copies is so joined at about its own cost.
+3. In each band that still holds several components, the sets of different ones are compared: sketches first, in blocks, and what they
+   do not dismiss by the full sets. A pair is compared in the first band that it shares only. Sets that share no band are never compared,
+   also if others connect them.
 
 Links and components stay distributed; components are found by alternating stars.
 """
@@ -35,8 +35,8 @@ MISS = 1e-7
 SKETCH_BITS = 1024
 #: Edges in a partition of the rounds that find components, about.
 EDGES_PER_PART = 20_000
-#: Members of a cluster that one block holds, about.
-BLOCK = 256
+#: Members of a band that one block holds, about, when sketches and when full sets are compared.
+SKETCH_BLOCK, SET_BLOCK = 1024, 256
 
 _U64 = np.uint64
 
@@ -107,6 +107,12 @@ def _set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([tb.mix(low + np.diff(first).astype(_U64)), tb.mix(high)])
 
 
+def _rows_of(block: pa.Table, name: str) -> np.ndarray:
+    """Matrix of a column of lists of equal length."""
+    lists = block[name].combine_chunks()
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
 def _signatures(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +122,13 @@ def _signatures(bands: int):
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
                 own = np.append(first[:-1][full], len(hashes))
-                keys = np.full((len(part), bands), 0, _U64)
                 ids = np.zeros((len(part), 2), _U64)
+                keys, sketches = np.zeros((0, bands), _U64), np.zeros((0, SKETCH_BITS // 64), _U64)
                 if len(full):
                     samples = _samples(hashes, own, bands * BAND_ROWS)
-                    keys[full], ids[full] = _bands(samples), _set_ids(hashes, own)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()),
-                    pa.array(keys[full].ravel().view(np.int64)),
+                    keys, sketches, ids[full] = _bands(samples), _odd_sketches(samples).view(_U64), _set_ids(hashes, own)
+                lists = lambda x: pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, x.shape[1], 0))]), pa.int32()), pa.array(x.ravel().view(np.int64))
                 )
                 rows = batch.slice(at, len(part))
                 yield pa.RecordBatch.from_arrays(
@@ -133,16 +138,17 @@ def _signatures(bands: int):
                         pa.array(sizes, pa.int64()),
                         _blobs(ids),
                         pa.array(ids[:, 0].view(np.int64)),
-                        lists,
+                        lists(keys),
+                        lists(sketches),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "sid", "s", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "sid", "s", "bands", "sketch"],
                 )
 
     return lambda batches: release(run(batches))
 
 
-def _full_sets(bands: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in tb.slices(batch.column(batch.schema.get_field_index("text"))):
                 hashes, first = _sets(part)
@@ -152,34 +158,48 @@ def _full_sets(bands: int):
                     continue
                 rows = batch.slice(at, len(part)).take(pa.array(full))
                 ids = _blobs(_set_ids(hashes, own))
-                blobs = pa.Array.from_buffers(
-                    pa.binary(), len(full), [None, pa.py_buffer((own * 8).astype(np.int32)), pa.py_buffer(hashes)]
-                )
-                sketches = _blobs(_odd_sketches(_samples(hashes, own, bands * BAND_ROWS)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("sid")), ids, sketches, blobs],
-                    names=["sid", "found", "sketch", "shingles"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(hashes.view(np.int64)))
+                columns = [rows.column(rows.schema.get_field_index(c)) for c in ("c", "sid")]
+                yield pa.RecordBatch.from_arrays([*columns, ids, lists], names=["c", "sid", "found", "shingles"])
 
-    return lambda batches: release(run(batches))
+    return release(run())
+
+
+def _near(block: pa.Table, how: Plan) -> np.ndarray:
+    """Symmetric matrix of the pairs of a block whose sketches are near, and which this block has to compare: of different
+    components, of different sides where there are two, and without an earlier band in common."""
+    bits, bands = _rows_of(block, "sketch").view(_U64), _rows_of(block, "bands")
+    sizes, side, label = (block[c].to_numpy() for c in ("n_shingles", "side", "label"))
+    allowed = np.not_equal.outer(label, label) & (100 * np.minimum.outer(sizes, sizes) >= how.percent * np.maximum.outer(sizes, sizes))
+    if side.min() != side.max():
+        allowed &= np.not_equal.outer(side, side)
+    for k in range(int(np.flatnonzero(bands[0] == block["band"][0].as_py())[0])):
+        allowed &= np.not_equal.outer(bands[:, k], bands[:, k])
+    for i in np.flatnonzero(allowed.any(axis=1)):
+        others = np.flatnonzero(allowed[i, i:]) + i
+        near = np.bitwise_count(bits[i] ^ bits[others]).sum(axis=1) <= how.most_bits
+        allowed[i, others] = allowed[others, i] = near
+    return allowed
+
+
+def _unlike(how: Plan):
+    """Members of one block that have a near one, by their sketches."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        return block.select(["band", "c"]).filter(pa.array(_near(block, how).any(axis=1)))
+
+    return run
 
 
-def _linked(sketches: np.ndarray, sets: list[np.ndarray], allowed: np.ndarray, how: Plan) -> np.ndarray:
-    """Symmetric matrix of the allowed pairs whose full sets are similar enough."""
-    n = len(sets)
-    bits = sketches.view(_U64)
-    sizes = np.array([len(s) for s in sets])
-    near = np.zeros((n, n), bool)
-    for i in range(n):
-        near[i] = np.bitwise_count(bits[i] ^ bits).sum(axis=1) <= how.most_bits
-    near &= allowed & (100 * np.minimum.outer(sizes, sizes) >= how.percent * np.maximum.outer(sizes, sizes))
-    near &= near.T
-    np.fill_diagonal(near, False)
+def _linked(near: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Those of the pairs ``near``, a symmetric matrix, whose full sets are similar enough."""
     rows = np.flatnonzero(near.any(axis=1))
     if not len(rows):
         return near
+    sizes = np.array([len(sets[i]) for i in rows])
     hashes = np.concatenate([sets[i] for i in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes[rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
     _, column, uses = np.unique(hashes, return_inverse=True, return_counts=True)
     common = uses[column] > 1
     column, owner = column[common], owner[common]
@@ -193,26 +213,21 @@ def _linked(sketches: np.ndarray, sets: list[np.ndarray], allowed: np.ndarray, h
         has = np.zeros((len(rows), width), np.float32)
         has[owner[a:b], column[a:b] - low] = 1
         shared += has @ has.T
-    union = np.add.outer(sizes[rows], sizes[rows]) - shared
-    near[np.ix_(rows, rows)] &= 100 * shared >= how.percent * union
+    near = near.copy()
+    near[np.ix_(rows, rows)] &= 100 * shared >= percent * (np.add.outer(sizes, sizes) - shared)
     return near
 
 
 def _compare(how: Plan):
-    """Links of one block as (sid, hub): each member of a component with its best-connected one."""
+    """Links of one block as (a, b): each member of a component with its best-connected one."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        ids = block["sid"].to_pylist()
-        sketches = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1).copy()
-        sets = [np.frombuffer(s, _U64) for s in block["shingles"].to_pylist()]
-        side, label = block["side"].to_numpy(), np.array(block["label"].to_pylist(), object)
-        allowed = np.not_equal.outer(label, label)
-        if side.min() != side.max():
-            allowed &= np.not_equal.outer(side, side)
-        links = _linked(sketches, sets, allowed, how)
+        ids, lists = block["c"].to_numpy(), block["shingles"].combine_chunks()
+        first, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
+        links = _linked(_near(block, how), [hashes[x:y] for x, y in zip(first, first[1:])], how.percent)
         degree, open_ = links.sum(axis=1), np.ones(len(ids), bool)
-        pairs: list[tuple[bytes, bytes]] = []
+        pairs: list[tuple[int, int]] = []
         for hub in np.argsort(-degree, kind="stable"):
             if not degree[hub]:
                 break
@@ -226,7 +241,7 @@ def _compare(how: Plan):
                 group |= edge
             open_ &= ~group
             pairs += [(ids[i], ids[hub]) for i in np.flatnonzero(group) if i != hub]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
@@ -257,10 +272,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Members (cluster, sid, ...) with the number of blocks of their cluster and their block."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """``members`` (band, c, label) in the blocks (band, block, other) that compare those of different labels.
+
+    A band of up to ``size`` members is one block. In a larger one the members outside its largest label are compared with all others, in
+    blocks of two sides of about ``size`` each, or of one that is compared with itself.
+    """
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band").agg(
+        F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
+    )
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    to = main.filter("all > most").withColumn("outers", blocks(F.col("all") - F.col("most"))).withColumn("inners", blocks(F.col("most")))
+    outer = F.col("label") != F.col("main")
+    own = F.pmod(F.xxhash64("c"), F.when(outer, F.col("outers")).otherwise(F.col("inners"))).cast("int")
+    place = lambda block, other, side: F.struct(block.alias("block"), other.alias("other"), side.alias("side"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    with_outer = lambda k: place(F.least("own", k), F.col("inners") + F.greatest("own", k), F.when(F.col("own") <= k, 0).otherwise(1))
+    places = (
+        F.when(F.col("all") <= size, F.array(place(F.lit(0), F.lit(0), F.lit(0))))
+        .when(outer, F.concat(each("inners", lambda j: place(F.col("own"), j, F.lit(0))), each("outers", with_outer)))
+        .otherwise(each("outers", lambda i: place(i, F.col("own"), F.lit(1))))
+    )
+    dealt = members.join(to, "band").withColumn("own", own).select("band", "c", "label", F.explode(places).alias("at"))
+    return dealt.select("band", "c", "label", "at.*")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
@@ -280,46 +315,19 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
     rows = cut(
         hashed.mapInArrow(
             _signatures(how.bands),
-            f"doc_id {kind}, text_hash long, n_shingles long, sid binary, s long, bands array<long>",
+            f"doc_id {kind}, text_hash long, n_shingles long, sid binary, s long, bands array<long>, sketch array<long>",
         )
     )
-    keyed = rows.select(F.explode("bands").alias("band"), "s")
-    buckets = keyed.groupBy("band").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low != high")
-    buckets = cut(buckets.select("band", "low"))
-    if buckets.count() <= BROADCAST_ROWS:
-        buckets = F.broadcast(buckets)
-    stars = keyed.join(buckets, "band").filter("s != low").select(F.col("s").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = components(stars).select(F.col("a").alias("s"), F.col("root").alias("cluster"))
-    full = rows.filter("n_shingles > 0").select("doc_id", "text_hash", "sid", "s")
-    chosen = cut(full.join(_small(clusters), "s").groupBy("sid", "cluster").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")))
-    wanted = chosen.select(F.col("row.doc_id").alias("w_id"), F.col("row.text_hash").alias("text_hash"), "sid")
-    texts = hashed.join(_small(wanted), "text_hash").filter(F.col("doc_id").eqNullSafe(F.col("w_id"))).select("sid", "text")
-    sets = texts.mapInArrow(_full_sets(how.bands), "sid binary, found binary, sketch binary, shingles binary")
-    sets = sets.filter("sid = found").dropDuplicates(["sid"]).drop("found")
-    members = cut(_in_blocks(chosen.select("sid", "cluster").join(sets, "sid")))
-
-    compare = lambda blocks: blocks.groupBy("cluster", "block", "other").applyInArrow(_compare(how), "a binary, b binary")
-    alone = lambda m: m.withColumn("other", F.lit(-1)).withColumn("side", F.lit(0)).withColumn("label", F.col("sid"))
-    links = _packed(compare(alone(members)))
-    wide = members.filter("blocks > 1")
-    if not wide.isEmpty():
-        hubs, fresh = wide, links
-        while True:
-            hubs = _in_blocks(hubs.drop("blocks", "block").join(fresh.select(F.col("b").alias("sid")).distinct(), "sid", "left_semi"))
-            hubs = cut(hubs)
-            if hubs.isEmpty():
-                break
-            fresh = _packed(compare(alone(hubs)))
-            links = links.union(fresh)
-            hubs = hubs.filter("blocks > 1")
-        links = links.union(_packed(_across(wide, links, compare)))
-    joined = components(links)
-    classes = full.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
-    roots = joined.select(F.col("a").alias("sid"), "root").join(classes, "sid")
-    smallest = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    known = classes.join(joined.select(F.col("a").alias("sid"), "root").join(smallest, "root").drop("root"), "sid", "left")
+    full = rows.filter("n_shingles > 0")
+    classes, members = _classes(full)
+    links = cut(_verified(_hubs(classes, members, how), classes, hashed, percent))
+    links = links.union(_across(members, links, classes, hashed, how))
+    roots = cut(components(links).select(F.col("a").alias("c"), "root").join(classes.select("c", "sid"), "c").select("sid", "root"))
+    firsts = full.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
+    least = cut(roots.join(firsts, "sid").groupBy("root").agg(F.min("first_id").alias("least_id")))
+    roots = roots.join(_small(least), "root").select("sid", "least_id")
     # Cut, so that the join below shuffles both sides and adaptive execution can split a class of very many rows.
-    known = cut(known.select("sid", F.coalesce("least_id", "first_id").alias("component")))
+    known = cut(firsts.join(roots, "sid", "left").select("sid", F.coalesce("least_id", "first_id").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")
     return (
         rows.select("doc_id", "text_hash", own, "n_shingles")
@@ -334,6 +342,64 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
     )
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct sets that share a band with another, each with a number c and a row that has it; their shared bands as (band, c))."""
+    keyed = rows.select(F.explode("bands").alias("band"), "s")
+    buckets = keyed.groupBy("band").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low != high").select("band")
+    buckets = _small(cut(buckets))
+    touched = cut(keyed.join(buckets, "band").select("s").distinct())
+    one = [F.first(x).alias(x) for x in ("n_shingles", "bands", "sketch")]
+    distinct = rows.join(_small(touched), "s").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *one)
+    classes = cut(distinct.withColumn("c", F.monotonically_increasing_id()))
+    return classes, cut(classes.select(F.explode("bands").alias("band"), "c").join(buckets, "band"))
+
+
+def _hubs(classes: DataFrame, members: DataFrame, how: Plan) -> DataFrame:
+    """(a, b): each set with one of the smallest sets of its bands, that whose sketch is nearest; none where none is near."""
+    low = members.groupBy("band").agg(F.min("c").alias("b"))
+    pairs = members.join(low, "band").filter("c != b").select(F.col("c").alias("a"), "b").distinct()
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    alike = 100 * F.least("n_a", "n_b") >= how.percent * F.greatest("n_a", "n_b")
+    near = both.filter(alike).select("a", "b", bits.alias("bits")).filter(F.col("bits") <= how.most_bits)
+    return near.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
+
+
+def _sets_of(wanted: DataFrame, classes: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(c, shingles) of the sets ``wanted`` (c), made from their rows' texts."""
+    found = cut(wanted.join(classes.select("c", "sid", "row.*"), "c").withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}))
+    same = (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    texts = hashed.join(_small(found), same).select("c", "sid", "text")
+    sets = texts.mapInArrow(_full_sets, "c long, sid binary, found binary, shingles array<long>")
+    return cut(sets.filter("sid = found").select("c", "shingles").dropDuplicates(["c"]))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, hashed: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+    pairs = cut(pairs)
+    sets = _sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), classes, hashed)
+    side = lambda x: sets.select(F.col("c").alias(x), F.col("shingles").alias(f"set_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    shared = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("n"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return shared.filter(F.col("n") * (100 + percent) >= F.col("sizes") * percent).select("a", "b")
+
+
+def _across(members: DataFrame, links: DataFrame, classes: DataFrame, hashed: DataFrame, how: Plan) -> DataFrame:
+    """Links between sets that share a band and are in different components of ``links``."""
+    labels = components(links).select(F.col("a").alias("c"), F.col("root").alias("label"))
+    labelled = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    open_ = cut(labelled.join(several.select("band"), "band"))
+    signs = classes.select("c", "n_shingles", "bands", "sketch")
+    key = ["band", "block", "other"]
+    near = _blocks(open_, SKETCH_BLOCK).join(signs, "c").groupBy(*key).applyInArrow(_unlike(how), "band long, c long")
+    near = cut(open_.join(near.distinct(), ["band", "c"]))
+    sets = _sets_of(near.select("c").distinct(), classes, hashed)
+    blocks = _blocks(near, SET_BLOCK).join(signs, "c").join(sets, "c")
+    return _packed(blocks.groupBy(*key).applyInArrow(_compare(how), "a long, b long"))
+
+
 def _packed(links: DataFrame) -> DataFrame:
     """``links`` materialised, in as few partitions as they fill."""
     links = cut(links)
@@ -345,38 +411,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _across(members: DataFrame, links: DataFrame, compare) -> DataFrame:
-    """Links between different components of a cluster with several blocks: every member outside
-    the cluster's largest component is compared with all members of other components."""
-    labels = components(links).select(F.col("a").alias("sid"), F.col("root").alias("label"))
-    rows = members.drop("blocks", "block").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    counts = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(
-        F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("n_main")
-    )
-    rows = cut(
-        rows.join(main.filter("all > n_main"), "cluster")
-        .withColumn("outer", F.col("label") != F.col("main"))
-        .withColumn("n_outer", F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int"))
-        .withColumn("n_inner", F.ceil(F.col("n_main") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("n_outer")).otherwise(F.col("n_inner"))).cast("int"))
-        .drop("main", "all", "n_main")
-    )
-    outer, inner = rows.filter("outer"), rows.filter("NOT outer")
-    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # Blocks (outer i, inner j) have other = j, blocks (outer i, outer j) with i <= j have other = n_inner + j.
-    with_inner = outer.withColumn("block", F.col("own")).withColumn("other", F.explode(count("n_inner"))).withColumn("side", F.lit(0))
-    from_inner = inner.withColumn("other", F.col("own")).withColumn("block", F.explode(count("n_outer"))).withColumn("side", F.lit(1))
-    pair = outer.withColumn("k", F.explode(count("n_outer")))
-    with_outer = (
-        pair.withColumn("block", F.least("own", "k"))
-        .withColumn("other", F.col("n_inner") + F.greatest("own", "k"))
-        .withColumn("side", F.when(F.col("own") == F.col("block"), 0).otherwise(1))
-    )
-    columns = ["cluster", "block", "other", "side", "label", "sid", "sketch", "shingles"]
-    return compare(with_inner.select(*columns).union(from_inner.select(*columns)).union(with_outer.select(*columns)))
-
-
 def keep_one(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest doc_id.
 
