@@ -3,11 +3,10 @@
 1. A text's set is its distinct word shingles. MinHash samples of the set are cut into bands for
    candidates, and folded into an odd sketch, a bitmap in which each sample flips one bit. The
    population count of two sketches' XOR estimates a high similarity closely.
-2. Sets that share a band are candidates. Each set is first compared with one hub: of the smallest sets of its bands the one whose sketch is
-   nearest. A large group of copies is so joined at about its own cost.
-3. In each band that still holds several components, the sets of different ones are compared: sketches first, in blocks, and what they
-   do not dismiss by the full sets. A pair is compared in the first band that it shares only. Sets that share no band are never compared,
-   also if others connect them.
+2. Sets that share a band are candidates. The smallest set of a band is its hub; most bands of a group of copies have the same few hubs. Each set is
+   first compared with one, that whose sketch is nearest, so a large group of copies is joined at about its own cost.
+3. Where the sets around a hub are still several components, those of different ones are compared: sketches first, in blocks, and what they
+   do not dismiss by the full sets. Sets that share no band are never compared, also if others connect them.
 
 Links and components stay distributed; components are found by alternating stars.
 """
@@ -35,8 +34,8 @@ MISS = 1e-7
 SKETCH_BITS = 1024
 #: Edges in a partition of the rounds that find components, about.
 EDGES_PER_PART = 20_000
-#: Members of a band that one block holds, about, when sketches and when full sets are compared.
-SKETCH_BLOCK, SET_BLOCK = 1024, 256
+#: Sets around a hub that one block holds, about, when sketches and when full sets are compared, and the shingles of these.
+SKETCH_BLOCK, SET_BLOCK, SHINGLES = 1024, 512, 1 << 19
 
 _U64 = np.uint64
 
@@ -166,15 +165,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(block: pa.Table, how: Plan) -> np.ndarray:
-    """Symmetric matrix of the pairs of a block whose sketches are near, and which this block has to compare: of different
-    components, of different sides where there are two, and without an earlier band in common."""
+    """Symmetric matrix of the pairs of a block that share a band and whose sketches are near, and which this block has to compare: of different
+    components, and of different sides where there are two."""
     bits, bands = _rows_of(block, "sketch").view(_U64), _rows_of(block, "bands")
     sizes, side, label = (block[c].to_numpy() for c in ("n_shingles", "side", "label"))
     allowed = np.not_equal.outer(label, label) & (100 * np.minimum.outer(sizes, sizes) >= how.percent * np.maximum.outer(sizes, sizes))
     if side.min() != side.max():
         allowed &= np.not_equal.outer(side, side)
-    for k in range(int(np.flatnonzero(bands[0] == block["band"][0].as_py())[0])):
-        allowed &= np.not_equal.outer(bands[:, k], bands[:, k])
+    share = np.zeros_like(allowed)
+    for k in range(bands.shape[1]):
+        share |= np.equal.outer(bands[:, k], bands[:, k])
+    allowed &= share
     for i in np.flatnonzero(allowed.any(axis=1)):
         others = np.flatnonzero(allowed[i, i:]) + i
         near = np.bitwise_count(bits[i] ^ bits[others]).sum(axis=1) <= how.most_bits
@@ -187,7 +188,7 @@ def _unlike(how: Plan):
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        return block.select(["band", "c"]).filter(pa.array(_near(block, how).any(axis=1)))
+        return block.select(["hub", "c"]).filter(pa.array(_near(block, how).any(axis=1)))
 
     return run
 
@@ -206,7 +207,7 @@ def _linked(near: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarra
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     column = np.cumsum(np.append(False, column[1:] != column[:-1])) if len(column) else column
-    shared = np.zeros((len(rows), len(rows)), np.float64)
+    shared = np.zeros((len(rows), len(rows)), np.float32)  # counts far below 2^24
     width = 4096
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
@@ -272,30 +273,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """``members`` (band, c, label) in the blocks (band, block, other) that compare those of different labels.
+def _blocks(members: DataFrame, size: int, shingles: int) -> DataFrame:
+    """``members`` (hub, c, label, n_shingles) in the blocks (hub, block, other) that compare those of different labels.
 
-    A band of up to ``size`` members is one block. In a larger one the members outside its largest label are compared with all others, in
-    blocks of two sides of about ``size`` each, or of one that is compared with itself.
+    Up to ``size`` members of up to ``shingles`` in all are one block. In a larger group the members outside its largest label are compared with all others, in
+    blocks of two sides of about that much each, or of one that is compared with itself.
     """
-    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("band").agg(
-        F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
+    counts = members.groupBy("hub", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
+    sums = counts.groupBy("hub").agg(
+        F.max(F.struct("n", "t", "label")).alias("main"), F.sum("n").alias("n"), F.sum("t").alias("t")
+    )
+    blocks = lambda n, t: F.greatest(F.ceil(n / size), F.ceil(t / shingles)).cast("int")
+    to = sums.filter("n > main.n").select(
+        "hub",
+        F.col("main.label").alias("main"),
+        blocks(F.col("n"), F.col("t")).alias("all"),
+        blocks(F.col("main.n"), F.col("main.t")).alias("inners"),
+        blocks(F.col("n") - F.col("main.n"), F.col("t") - F.col("main.t")).alias("outers"),
     )
-    blocks = lambda n: F.ceil(n / size).cast("int")
-    to = main.filter("all > most").withColumn("outers", blocks(F.col("all") - F.col("most"))).withColumn("inners", blocks(F.col("most")))
     outer = F.col("label") != F.col("main")
     own = F.pmod(F.xxhash64("c"), F.when(outer, F.col("outers")).otherwise(F.col("inners"))).cast("int")
     place = lambda block, other, side: F.struct(block.alias("block"), other.alias("other"), side.alias("side"))
     each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     with_outer = lambda k: place(F.least("own", k), F.col("inners") + F.greatest("own", k), F.when(F.col("own") <= k, 0).otherwise(1))
     places = (
-        F.when(F.col("all") <= size, F.array(place(F.lit(0), F.lit(0), F.lit(0))))
+        F.when(F.col("all") <= 1, F.array(place(F.lit(0), F.lit(0), F.lit(0))))
         .when(outer, F.concat(each("inners", lambda j: place(F.col("own"), j, F.lit(0))), each("outers", with_outer)))
         .otherwise(each("outers", lambda i: place(i, F.col("own"), F.lit(1))))
     )
-    dealt = members.join(to, "band").withColumn("own", own).select("band", "c", "label", F.explode(places).alias("at"))
-    return dealt.select("band", "c", "label", "at.*")
+    dealt = members.join(to, "hub").withColumn("own", own).select("hub", "c", "label", F.explode(places).alias("at"))
+    return dealt.select("hub", "c", "label", "at.*")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFrame:
@@ -319,9 +326,9 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
         )
     )
     full = rows.filter("n_shingles > 0")
-    classes, members = _classes(full)
-    links = cut(_verified(_hubs(classes, members, how), classes, hashed, percent))
-    links = links.union(_across(members, links, classes, hashed, how))
+    classes, groups = _classes(full)
+    links = cut(_verified(_nearest(classes, groups, how), classes, hashed, percent))
+    links = links.union(_across(groups, links, classes, hashed, how))
     roots = cut(components(links).select(F.col("a").alias("c"), "root").join(classes.select("c", "sid"), "c").select("sid", "root"))
     firsts = full.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
     least = cut(roots.join(firsts, "sid").groupBy("root").agg(F.min("first_id").alias("least_id")))
@@ -343,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = PIPELINE_PERCENT) -> DataFra
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct sets that share a band with another, each with a number c and a row that has it; their shared bands as (band, c))."""
+    """(distinct sets that share a band with another, each with a number c and a row that has it; (hub, c) for each set and the smallest sets of its bands)."""
     keyed = rows.select(F.explode("bands").alias("band"), "s")
     buckets = keyed.groupBy("band").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low != high").select("band")
     buckets = _small(cut(buckets))
@@ -351,13 +358,14 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = [F.first(x).alias(x) for x in ("n_shingles", "bands", "sketch")]
     distinct = rows.join(_small(touched), "s").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *one)
     classes = cut(distinct.withColumn("c", F.monotonically_increasing_id()))
-    return classes, cut(classes.select(F.explode("bands").alias("band"), "c").join(buckets, "band"))
+    members = classes.select(F.explode("bands").alias("band"), "c").join(buckets, "band")
+    hubs = members.groupBy("band").agg(F.min("c").alias("hub"))
+    return classes, cut(members.join(hubs, "band").select("hub", "c").distinct())
 
 
-def _hubs(classes: DataFrame, members: DataFrame, how: Plan) -> DataFrame:
-    """(a, b): each set with one of the smallest sets of its bands, that whose sketch is nearest; none where none is near."""
-    low = members.groupBy("band").agg(F.min("c").alias("b"))
-    pairs = members.join(low, "band").filter("c != b").select(F.col("c").alias("a"), "b").distinct()
+def _nearest(classes: DataFrame, groups: DataFrame, how: Plan) -> DataFrame:
+    """(a, b): each set with that of its hubs whose sketch is nearest; none where none is near."""
+    pairs = groups.filter("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b"))
     side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -385,18 +393,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, hashed: DataFrame, percent:
     return shared.filter(F.col("n") * (100 + percent) >= F.col("sizes") * percent).select("a", "b")
 
 
-def _across(members: DataFrame, links: DataFrame, classes: DataFrame, hashed: DataFrame, how: Plan) -> DataFrame:
-    """Links between sets that share a band and are in different components of ``links``."""
+def _across(groups: DataFrame, links: DataFrame, classes: DataFrame, hashed: DataFrame, how: Plan) -> DataFrame:
+    """Links between sets that have a hub in common and are in different components of ``links``."""
     labels = components(links).select(F.col("a").alias("c"), F.col("root").alias("label"))
-    labelled = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    open_ = cut(labelled.join(several.select("band"), "band"))
+    labelled = groups.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    several = labelled.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     signs = classes.select("c", "n_shingles", "bands", "sketch")
-    key = ["band", "block", "other"]
-    near = _blocks(open_, SKETCH_BLOCK).join(signs, "c").groupBy(*key).applyInArrow(_unlike(how), "band long, c long")
-    near = cut(open_.join(near.distinct(), ["band", "c"]))
+    open_ = cut(labelled.join(several.select("hub"), "hub").join(classes.select("c", "n_shingles"), "c"))
+    key = ["hub", "block", "other"]
+    near = _blocks(open_, SKETCH_BLOCK, 1 << 60).join(signs, "c").groupBy(*key).applyInArrow(_unlike(how), "hub long, c long")
+    near = cut(open_.join(near.distinct(), ["hub", "c"]))
     sets = _sets_of(near.select("c").distinct(), classes, hashed)
-    blocks = _blocks(near, SET_BLOCK).join(signs, "c").join(sets, "c")
+    blocks = _blocks(near, SET_BLOCK, SHINGLES).join(signs, "c").join(sets, "c")
     return _packed(blocks.groupBy(*key).applyInArrow(_compare(how), "a long, b long"))
 
 
