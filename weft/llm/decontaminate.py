@@ -3,8 +3,8 @@
 The patterns are all windows of consecutive words of the benchmark items. A block is a
 pair of neighbouring words. For each block the shift table says how far the search may jump
 without missing an occurrence; most blocks of a clean text are in no pattern, so the
-search jumps a whole window less one block at a time. Where the shift is zero, the bucket of the
-suffix block's hash names the patterns that may end there, and a comparison of the words
+search jumps a whole window less one block at a time. Where the shift is zero, a pattern may end: the bucket of the
+hashes of its suffix block and of its words names the patterns to test, and a comparison of the words
 themselves confirms or refutes each.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import with_struct
+from .common import cut, with_struct
 
 WINDOW = 10
 #: Words of benchmark text searched for in one pass; a larger benchmark takes several passes.
@@ -30,54 +30,88 @@ _RANGES = "array<struct<start:long,end:long>>"
 KIND = f"struct<n_words:long,hits:{_RANGES},spans:{_RANGES},item_ids:array<string>>"
 
 
+def _block_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    if size == 1 or not len(hashes):
+        return hashes
+    out = hashes * _RIGHT
+    out[1:] += hashes[:-1] * _LEFT
+    return tb.mix(out)
+
+
+def _keys(hashes: np.ndarray, blocks: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Bucket of the ``length`` words up to word ``ends[i]``: from the hash of the suffix block and those of all words."""
+    out = blocks[ends] * _LEFT
+    for k in range(length):
+        out += hashes[ends - k] * _U64((0x9E3779B97F4A7C15 * (2 * k + 3)) & ((1 << 64) - 1) | 1)
+    return tb.mix(out)
+
+
+def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of words laid out anew with one blank between them."""
+    sizes = ends - starts
+    to = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 32, np.uint8)
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(to, sizes) + inner] = data[np.repeat(starts, sizes) + inner]
+    return out, to, to + sizes
+
+
 class Patterns:
-    """Shift table and suffix buckets of the patterns of one length."""
+    """Shift table and buckets of the patterns of one length: pattern p has the bytes ``text[at[p]:end[p]]`` and stands in item ``item[p]``;
+    patterns are sorted by their bucket ``key``."""
 
     def __init__(self, length: int):
         self.length, self.block = length, min(2, length)
         self.shift = np.full(1 << _TABLE_BITS, min(255, length - self.block + 1), np.uint8)
-        self.buckets: dict[int, list[tuple[tuple[bytes, ...], set[int]]]] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-    def add(self, words: list[bytes], blocks: np.ndarray, item: int) -> None:
-        """``blocks[k]`` is the hash of the block that ends with word k."""
+    def add(self, w: tb.Words, words: np.ndarray, item: np.ndarray) -> None:
+        """Add all windows of runs of words: ``words`` are their places in ``w``, ``item`` the item of each, of as many words as a window or more."""
+        hashes = w.hashes[words]
+        blocks = _block_hashes(hashes, self.block)
+        ends = np.flatnonzero(np.append(np.zeros(self.length - 1, bool), item[self.length - 1 :] == item[: len(item) - self.length + 1]))
         for k in range(self.block - 1, self.length):
-            at = int(blocks[k]) & ((1 << _TABLE_BITS) - 1)
-            self.shift[at] = min(int(self.shift[at]), self.length - 1 - k)
-        bucket = self.buckets.setdefault(int(blocks[self.length - 1]), [])
-        pattern = tuple(words)
-        for known, items in bucket:
-            if known == pattern:
-                items.add(item)
-                return
-        bucket.append((pattern, {item}))
+            back = self.length - 1 - k
+            np.minimum.at(self.shift, (blocks[ends - back] & _U64((1 << _TABLE_BITS) - 1)).astype(np.int64), np.uint8(min(back, 255)))
+        text, starts, stops = _spaced(w.data, w.starts[words], w.ends[words])
+        keys = _keys(hashes, blocks, ends, self.length)
+        self.parts.append((keys, starts[ends - self.length + 1] + self.size, stops[ends] + self.size, item[ends].astype(np.int32), text))
+        self.size += len(text)
 
-
-def _block_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    if size == 1 or not len(hashes):
-        return hashes
-    out = hashes * _RIGHT
-    out[1:] += hashes[:-1] * _LEFT
-    return tb.mix(out)
+    def close(self) -> Patterns:
+        self.key, self.at, self.end, self.item, self.text = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.at, self.end, self.item = (x[order] for x in (self.key, self.at, self.end, self.item))
+        self.parts = []
+        return self
 
 
 def build(items: list[tuple[str | None, str]], window: int = WINDOW) -> tuple[list[Patterns], list[str | None]]:
     """Search tables of (item id, text) pairs."""
     by_length: dict[int, Patterns] = {}
-    texts = pa.array([text for _, text in items], pa.large_string())
-    base = 0
-    for at, part in tb.slices(texts):
+    for at, part in tb.slices(pa.array([text for _, text in items], pa.large_string())):
         w = tb.words(part, tb.ALNUM)
-        for t in range(len(part)):
-            a, b = int(w.first[t]), int(w.first[t + 1])
-            length = min(window, b - a)
-            if not length:
-                continue
-            patterns = by_length.setdefault(length, Patterns(length))
-            own = [w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(a, b)]
-            blocks = _block_hashes(w.hashes[a:b], patterns.block)
-            for i in range(b - a - length + 1):
-                patterns.add(own[i : i + length], blocks[i : i + length], base + at + t)
-    return sorted(by_length.values(), key=lambda p: p.length), [i for i, _ in items]
+        counts = np.diff(w.first)
+        item = np.repeat(np.arange(len(part)), counts)
+        lengths = np.minimum(counts, window)[item]
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            by_length.setdefault(length, Patterns(length)).add(w, own, item[own] + at)
+    return [by_length[n].close() for n in sorted(by_length)], [i for i, _ in items]
+
+
+def _ends(shift: bytes, first: int, last: int) -> list[int]:
+    """Words at which a pattern may end, the first words skipped by the shift table."""
+    out, at = [], first
+    while at < last:
+        jump = shift[at]
+        if jump:
+            at += jump
+        else:
+            out.append(at)
+            at += 1
+    return out
 
 
 def search(tables: tuple[list[Patterns], list[str | None]], texts: pa.Array) -> list[dict]:
@@ -86,54 +120,42 @@ def search(tables: tuple[list[Patterns], list[str | None]], texts: pa.Array) ->
     out = []
     for _, part in tb.slices(texts):
         w = tb.words(part, tb.ALNUM)
-        ready = []
+        found: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
         for p in classes:
             blocks = _block_hashes(w.hashes, p.block)
-            ready.append((p, blocks, p.shift[(blocks & _U64((1 << _TABLE_BITS) - 1)).astype(np.int64)].tobytes()))
-        code_points = None
+            shift = p.shift[(blocks & _U64((1 << _TABLE_BITS) - 1)).astype(np.int64)].tobytes()
+            ends = [e for t in range(len(part)) for e in _ends(shift, int(w.first[t]) + p.length - 1, int(w.first[t + 1]))]
+            if not ends:
+                continue
+            ends = np.array(ends)
+            keys = _keys(w.hashes, blocks, ends, p.length)
+            low, high = np.searchsorted(p.key, keys, "left"), np.searchsorted(p.key, keys, "right")
+            for n in np.flatnonzero(low < high).tolist():
+                end, start = int(ends[n]), int(ends[n]) - p.length + 1
+                own = b" ".join(w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(start, end + 1))
+                same = [q for q in range(low[n], high[n]) if p.text[p.at[q] : p.end[q]].tobytes() == own]
+                if same:
+                    text = int(np.searchsorted(w.first, start, "right")) - 1
+                    found.setdefault(text, []).append((start, end + 1))
+                    items.setdefault(text, set()).update(p.item[same].tolist())
+        code_points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)]) if found else None
+        text_at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         for t in range(len(part)):
-            a, b = int(w.first[t]), int(w.first[t + 1])
-            found: list[tuple[int, int]] = []
-            items: set[int] = set()
-            for p, blocks, shift in ready:
-                at, last = a + p.length - 1, b
-                while at < last:
-                    jump = shift[at]
-                    if jump:
-                        at += jump
-                        continue
-                    for pattern, owners in p.buckets.get(int(blocks[at]), ()):
-                        start = at - p.length + 1
-                        if all(
-                            w.data[w.starts[start + k] : w.ends[start + k]].tobytes() == word
-                            for k, word in enumerate(pattern)
-                        ):
-                            found.append((start, at + 1))
-                            items |= owners
-                    at += 1
+            a = int(w.first[t])
             merged: list[list[int]] = []
-            for start, end in sorted(found):
+            for start, end in sorted(found.get(t, ())):
                 if merged and start <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], end)
                 else:
                     merged.append([start, end])
-            spans = []
-            if merged:
-                if code_points is None:
-                    code_points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                    text_at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-                    text_at = text_at - text_at[0]
-                zero = code_points[text_at[t]]
-                spans = [
-                    {"start": int(code_points[w.starts[s]] - zero), "end": int(code_points[w.ends[e - 1]] - zero)}
-                    for s, e in merged
-                ]
+            zero = code_points[text_at[t] - text_at[0]] if merged else 0
             out.append(
                 {
-                    "n_words": b - a,
+                    "n_words": int(w.first[t + 1]) - a,
                     "hits": [{"start": s - a, "end": e - a} for s, e in merged],
-                    "spans": spans,
-                    "item_ids": sorted({ids[i] for i in items if ids[i] is not None}),
+                    "spans": [{"start": int(code_points[w.starts[s]] - zero), "end": int(code_points[w.ends[e - 1]] - zero)} for s, e in merged],
+                    "item_ids": sorted({ids[i] for i in items.get(t, ()) if ids[i] is not None}),
                 }
             )
     return out
@@ -159,9 +181,9 @@ def find_leaks(
     items with equal texts are all listed. Repeated rows each get their own result. A column named
     ``into`` is replaced; all others stay.
 
-    The benchmark is cut by item into parts of at most about ``words_per_pass`` words, whatever its size,
-    and one part's tables are broadcast at a time, so neither the driver nor a task holds more
-    than that. Documents are never shuffled.
+    The benchmark is cut by item into parts of at most about ``words_per_pass`` words, whatever its size. One part's tables, some 30 bytes a word, are built
+    and broadcast at a time; with several parts each pass is written out before the next, so neither the driver nor a task holds more
+    than one. Documents are never shuffled.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     size = F.coalesce(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
@@ -175,6 +197,9 @@ def find_leaks(
         name = into if parts == 1 else f"__{into}_{k}"
         docs = with_struct(docs, text, name, KIND, lambda t=tables: lambda texts: search(t.value, texts))
         found = [*(found or []), name]
+        if parts > 1:
+            docs = cut(docs)
+            tables.destroy()
     if parts > 1:
         merged = F.struct(
             F.col(found[0])["n_words"].alias("n_words"),
