@@ -1,5 +1,7 @@
 """Operators on small literal fixtures, and the invariants of the index."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def test_canonical_keys(spark):
         "https://alice.example/a?b=/#c": ("https://alice.example/a?b=/", "https://alice.example/a?b=/#c"),
         "https://alice.example:8443/x": ("https://alice.example:8443/x", "https://alice.example:8443/x"),
         "http://alice.example/": (None, None), "https://me@alice.example/": (None, None), "not a url": (None, None), "": (None, None),
-        "https://ä.example/": (None, None), "HTTPS://A.example/B/": ("https://a.example/B", "https://a.example/B"),
+        "https://ä.example/": ("https://xn--4ca.example/", "https://xn--4ca.example/"), "HTTPS://A.example/B/": ("https://a.example/B", "https://a.example/B"),
     }
     docs, ids = column(spark, urls.canonical_doc_url, list(cases)), column(spark, urls.canonical_webid, list(cases))
     assert list(zip(docs, ids)) == list(cases.values())
@@ -258,3 +260,122 @@ def test_retry_after(spark):
 def test_backoff(spark, attempts, delay):
     r = spark.range(1).select(crawl.backoff(F.lit(attempts), F.lit(None).cast("long")).alias("b")).first().b
     assert (r.state, r.delay) == ("pending", delay)
+
+
+def test_one_form_of_paths_and_hosts(spark):
+    cases = {
+        "https://x.org/a/../b": "https://x.org/b",
+        "https://x.org/a/./b/..": "https://x.org/a",
+        "https://x.org/%2e%2E/../b/.": "https://x.org/b",
+        "https://x.org/../..": "https://x.org/",
+        "https://x.org/a b?c d'#e f": "https://x.org/a%20b?c%20d%27",
+        "https://x.org/é😀": "https://x.org/%C3%A9%F0%9F%98%80",
+        " https:\\\\X.org\\a\t ": "https://x.org/a",
+        "https://x.org:0443/a": "https://x.org/a",
+        "https://x.org:70000/": None,
+        "https://@x.org/": "https://x.org/",
+        "https://0x7f.1/": "https://127.0.0.1/",
+        "https://0xffffffffffffffff/": None,
+        "https://1.2.3.4.5/": None,
+        "https://x.org/a..b/.c/...": "https://x.org/a..b/.c/...",
+    }
+    assert column(spark, urls.canonical_doc_url, list(cases)) == list(cases.values())
+
+
+def test_addresses_of_one_kind_inside_another(spark):
+    private = ["::127.0.0.1", "::a00:1", "::7f00:1", "0::1", "::ffff:10.0.0.1", "0:0:0:0:0:ffff:a00:1", "64:ff9b::10.0.0.1", "2002:a00:1::", "fe80::1", "::"]
+    public = ["::ffff:8.8.8.8", "64:ff9b::808:808", "2002:808:808::1", "2606:4700::1111"]
+    assert column(spark, urls.ip_public, private + public) == [False] * len(private) + [True] * len(public)
+    refused = [f"https://[{a}]/" for a in private] + ["https://0xffffffffffffffff/", "https://0777777777777777777777777777777/", "https://0x7f000001./"]
+    assert None not in column(spark, urls.admission_reason, refused)
+    assert column(spark, urls.admission_reason, [f"https://[{a}]/" for a in public]) == [None] * len(public)
+
+
+def test_odd_retry_after(spark):
+    asked = ["1e30", "Infinity", "NaN", "1d", "-1e30", "2.5", "", "0x10"]
+    got = column(spark, lambda c: crawl.retry_after_ms(c, F.lit(0).cast("long")), asked)
+    assert got == [crawl.LONGEST_DELAY, None, None, None, 0, 2500, None, None]
+
+
+def test_errors_and_bodiless_responses(spark):
+    rows = [("network", None, False), ("anything", None, False), ("address", None, False), (None, 204, True), (None, 205, True), (None, 200, True), (None, 304, True)]
+    df = spark.createDataFrame(rows, "e string, s int, n boolean").select(crawl.fetch_outcome(F.col("s"), F.col("e"), F.col("n"), F.lit(True)).alias("o"))
+    assert [r.o.next_state for r in df.collect()] == ["pending", "pending", "skipped", "parse", "parse", "tombstone", "done"]
+
+
+def test_unescape_all_forms(spark):
+    cases = {
+        r"\uD83D\uDE00!": "😀!", r"\U0001F600": "😀", r"a\u0041\u0042c": "aABc", r"\uD83D": "\ufffd", r"x\uDE00\uD83D\u0041": "x\ufffd\ufffdA",
+        r"\\u0041": r"\u0041", r"\b\f\n\r\t\"\'\\": "\b\f\n\r\t\"'\\", r"\UFFFFFFFF": "\ufffd", r"\U0000D800": "\ufffd", "plain": "plain", "": "",
+        r"\\\u0041": "\\A", r"\u0000": "\0",
+    }
+    assert column(spark, triples.unescape, list(cases)) == list(cases.values())
+
+
+def _windows(hits, window, limit):
+    state, out = {}, []
+    for key, at, i in sorted(hits):
+        start, n = state.get(key, (None, 0))
+        start, n = (at, 1) if start is None or start + window <= at else (start, n + 1)
+        state[key] = start, n
+        out.append((key, at, i, n, n <= limit))
+    return out
+
+
+@pytest.mark.parametrize("folded", [intake.FOLDED, 5])
+def test_rate_limit_of_busy_keys(spark, folded, monkeypatch):
+    monkeypatch.setattr(intake, "FOLDED", folded)
+    rng = random.Random(3)
+    hits = [(rng.choice("aaab"), rng.randrange(0, 3000), i) for i in range(400)] + [("gap", t, 1000 + t) for t in (0, 99, 100, 1000, 1100, 1101)]
+    df = spark.createDataFrame(hits, "key string, at_ms long, id long")
+    assert sorted(map(tuple, intake.rate_limit(df, 100, 3).collect())) == _windows(hits, 100, 3)
+    half = sorted(hits, key=lambda h: h[1])
+    early, late = [h for h in half if h[1] < 1550], [h for h in half if h[1] >= 1550]
+    want = _windows(hits, 100, 3)
+    first = {}
+    for key, at, _, n, _ in want:
+        if at < 1550:
+            first[key] = (at, 1) if n == 1 else (first[key][0], n)
+    carried = spark.createDataFrame([(k, *v) for k, v in first.items()], "key string, start long, n long")
+    got = intake.rate_limit(spark.createDataFrame(early, df.schema), 100, 3).union(intake.rate_limit(spark.createDataFrame(late, df.schema), 100, 3, carried))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_intake_in_one_or_several_batches(spark, tmp_path):
+    from weft.streaming import streams
+
+    rng = random.Random(5)
+    rows = [(i, 1000 * i, rng.randrange(6), rng.choice(["Announce", "Like"]), 1) for i in range(120)]
+    objects = [(i, f"https://p{i % 40}.example/card#me" if i % 5 else f"http://p{i}.example/") for i, *_ in rows]
+    docs = spark.createDataFrame([("https://p1.example/card#me", "https://p1.example/card", "done", 0)], "webid string, doc_url string, state string, terminal_at long")
+    gone = spark.createDataFrame([("https://p2.example/card#me", "https://p2.example/card")], "webid string, doc_url string")
+    found = []
+    for cuts in ([0, 120], [0, 7, 40, 41, 90, 120]):
+        take = streams.Intake(spark, f"{tmp_path}/{len(cuts)}", docs, gone, 0, 25, (30_000, 4))
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            own = spark.createDataFrame(rows[a:b], "event_id long, at_ms long, user_id long, type string, n_objects int")
+            take(own, spark.createDataFrame(objects[a:b], "id long, webid string"), n)
+        found.append(sorted(map(tuple, take.read().collect())))
+    assert found[0] == found[1]
+    assert {d for _, d in found[0]} == {"accepted", "deferred", "refused", "already", "invalid", "rate-limited"}
+
+
+def test_running_stats_survive_a_restart_and_a_replay(spark, tmp_path):
+    from weft.streaming import streams
+
+    kind = "s string, p string, o string, o_is_iri boolean, webid string, doc_url string"
+    t = lambda who, p, o: (who, p, o, True, who, who)
+    old = spark.createDataFrame([t("a", "knows", "b"), t("b", "knows", "a"), t("b", "name", "x")], kind)
+    new = spark.createDataFrame([t("a", "name", "y"), t("c", "knows", "a")], kind)
+    folder = f"{tmp_path}/stats"
+    streams.RunningStats(spark, folder, stats.contributions(old))(old.filter("webid = 'a'"), new.filter("webid = 'a'"), 0)
+    again = streams.RunningStats(spark, folder, stats.contributions(old))
+    again(old.filter("webid = 'a'"), new.filter("webid = 'a'"), 0)
+    again(old.filter("webid IN ('b', 'c')"), new.filter("webid IN ('b', 'c')"), 1)
+    assert sorted(map(tuple, again.read().collect())) == sorted(map(tuple, stats.contributions(new).collect()))
+
+
+def test_pages_of_one_large_subject(spark):
+    rows = spark.range(2_000).select(F.lit("s").alias("s"), F.format_string("p%05d", (F.col("id") * 7919) % 2_000).alias("p"))
+    got = triples.number_pages(rows, ["s", "p"], 100, per_range=150).collect()
+    assert sorted((r.p, r.page_no, r.place) for r in got) == [(f"p{n:05d}", n // 100, n % 100) for n in range(2_000)]

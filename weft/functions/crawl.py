@@ -24,6 +24,11 @@ RDF_TYPES = [
     "text/n3",
     "application/rdf+xml",
 ]
+#: Kinds of fetch errors that another attempt would not mend; a refused media type is one of them.
+LASTING_ERRORS = ["address", "scheme", "port", "userinfo", "denied", "malformed", "redirect", "content-type", "too-large"]
+ENDED = ["done", "failed", "skipped", "blocked", "tombstone"]
+#: The longest delay that a header can ask for: a hundred years, so that sums of times stay in range.
+LONGEST_DELAY = 100 * 365 * DAY
 STATES = ["pending", "claimed", "done", "failed", "tombstone", "skipped", "blocked"]
 FAIL_CLASSES = ["deterministic", "transient"]
 REASONS = ["opt-out", "erasure", "abuse", "noindex"]
@@ -56,12 +61,16 @@ def content_type_ok(content_type: Column, status: Column, noindex: Column) -> Co
 
 
 def fetch_outcome(status: Column, error_kind: Column, noindex: Column, type_ok: Column) -> Column:
-    """Struct (next_state, fail_class) of a fetch: tombstone, done, parse, pending or skipped."""
+    """Struct (next_state, fail_class) of a fetch: tombstone, done, parse, pending or skipped.
+
+    Errors that will last skip a document; all others, known or not, are tried again. Responses without a document body
+    cannot forbid indexing.
+    """
     of = lambda state, cls=None: F.struct(F.lit(state).alias("next_state"), F.lit(cls).cast("string").alias("fail_class"))
     return (
-        F.when(error_kind == "timeout", of("pending", "transient"))
-        .when(error_kind.isNotNull(), of("skipped", "deterministic"))
-        .when(noindex & status.between(200, 299), of("tombstone"))
+        F.when(error_kind.isin(LASTING_ERRORS), of("skipped", "deterministic"))
+        .when(error_kind.isNotNull(), of("pending", "transient"))
+        .when(noindex & status.between(200, 299) & ~status.isin(204, 205), of("tombstone"))
         .when(~type_ok, of("skipped", "deterministic"))
         .when(status == 304, of("done"))
         .when(status.between(200, 299), of("parse"))
@@ -72,13 +81,14 @@ def fetch_outcome(status: Column, error_kind: Column, noindex: Column, type_ok:
 
 
 def retry_after_ms(header: Column, now: Column) -> Column:
-    """Delay that a Retry-After header asks for: seconds or an HTTP date; null if neither, never negative."""
-    seconds = F.trim(header).try_cast("double") * 1000
+    """Delay that a Retry-After header asks for: seconds or an HTTP date; null if neither, never negative, a hundred years at most."""
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    seconds = F.when(F.trim(header).rlike(number), F.least(F.trim(header).try_cast("double") * 1000, F.lit(float(LONGEST_DELAY))))
     stamp = F.try_to_timestamp(F.substring(header, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
     zone = F.to_timestamp_ntz(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
     date = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), zone)
-    asked = F.coalesce(seconds.cast("long"), F.when(header.rlike("GMT$"), date - now))
-    return F.when(asked < 0, F.lit(0).cast("long")).otherwise(asked)
+    asked = F.coalesce(F.when(seconds < 0, F.lit(0.0)).otherwise(seconds).cast("long"), F.when(header.rlike("GMT$"), date - now))
+    return F.when(asked < 0, F.lit(0).cast("long")).when(asked > LONGEST_DELAY, F.lit(LONGEST_DELAY)).otherwise(asked)
 
 
 def backoff(attempts: Column, retry_after: Column) -> Column:
@@ -129,6 +139,17 @@ def notification_id(at: Column, payload: Column) -> Column:
     return F.concat(*time, *rest)
 
 
+def notification_key(given: Column, at: Column, payload: Column) -> Column:
+    """The id that a client gives where it is one, and otherwise :func:`notification_id`."""
+    return F.when(F.coalesce(notification_id_valid(given), F.lit(False)), given).otherwise(notification_id(at, payload))
+
+
+def size_verdict(size: Column, most: int = PROFILE_BYTES, triples: Column | None = None, most_triples: int = TRIPLES_PER_DOC) -> Column:
+    """Why a document of ``size`` bytes is refused: too-large or too-many-triples; null if it is not."""
+    over = F.when(size > most, F.lit("too-large"))
+    return over.when(triples > most_triples, F.lit("too-many-triples")) if triples is not None else over
+
+
 def notification_id_valid(value: Column) -> Column:
     return value.rlike("^[0-9A-HJKMNP-TV-Z]{26}$")
 

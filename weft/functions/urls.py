@@ -1,6 +1,7 @@
 """Canonical keys of documents and people, and admission of candidate urls, as Column expressions.
 
-Only ASCII https urls have canonical keys; what cannot be one gives null instead of an error.
+Urls are read as browsers read them: back slashes, dot segments, percent signs, numeric and international hosts have one form. Only
+https urls have canonical keys; what cannot be one gives null instead of an error.
 """
 
 from __future__ import annotations
@@ -8,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)([?][^#]*)?(#.*)?$"
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):/*([^/?#]*)([^?#]*)([?][^#]*)?(#.*)?$"
+#: Characters that are written as percent signs in a path, a query and a fragment.
+_IN_PATH, _IN_QUERY, _IN_FRAGMENT = r"[^!#-;=?-_a-z|~]|[?#]", r"[^!$-&(-;=?-~]", r"[^!#-;=?-_a-~]"
+_HOST = r"^[a-z0-9!\"$&'()*+,;=_`{}~.-]+$|^\[[0-9a-f:.]+\]$"
 _BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 #: Host names and suffixes that are never fetched.
 DENIED_HOSTS = [
@@ -24,13 +28,24 @@ DENIED_HOSTS = [
 ]
 
 
+#: Hosts that end in a number are addresses or nothing.
+_NUMERIC = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _clean(url: Column) -> Column:
+    """A url without blanks around it, tabs and line ends, and with slashes for back slashes before the query."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    head = F.regexp_extract(text, r"^([^?#]*)", 1)
+    return F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(text, F.length(head) + 1, F.length(text)))
+
+
 def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, _URL, n)
+    return F.regexp_extract(_clean(url), _URL, n)
 
 
 def scheme(url: Column) -> Column:
@@ -41,26 +56,64 @@ def authority(url: Column) -> Column:
     return _part(url, 2)
 
 
+def _userinfo(url: Column) -> Column:
+    return F.regexp_extract(authority(url), "^(.*)@", 1)
+
+
 def hostname(url: Column) -> Column:
-    """Lower-case host without userinfo and port; empty where there is none."""
-    return F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
+    """Host without userinfo and port, in lower case and ASCII, an IPv4 address as a dotted quad; empty where there is none."""
+    raw = F.regexp_extract(authority(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
+
+    def normal(host: Column) -> Column:
+        plain = F.when(host.contains("%"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host)
+        # Only the JVM's own library knows how international names are written.
+        ascii_ = F.when(plain.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain), plain)).otherwise(plain)
+        return let(F.lower(ascii_), lambda h: F.when(h.rlike(_NUMERIC), ip_normalise(h)).otherwise(h))
+
+    return let(raw, normal)
 
 
 def port(url: Column) -> Column:
-    return F.regexp_extract(authority(url), r":([0-9]*)$", 1)
+    return F.regexp_replace(F.regexp_extract(authority(url), r":([0-9]*)$", 1), "^0+(?=[0-9])", "")
+
+
+def _percent(text: Column, signs: str) -> Column:
+    """``text`` with the characters of class ``signs`` as percent signs of their bytes."""
+    one = lambda c: F.when(c.rlike(signs), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(text.rlike(signs), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), one), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its segments `.` and `..` followed."""
+    one, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s.rlike(two), up(done)).when(s.rlike(one), done).otherwise(F.concat(done, F.array(s)))
+
+    def follow(segments: Column) -> Column:
+        last = F.element_at(segments, -1)
+        done = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0))), F.array().cast("array<string>"), step)
+        ended = let(done, lambda d: F.when(last.rlike(one) | last.rlike(two), F.concat(step(d, last), F.array(F.lit("")))).otherwise(step(d, last)))
+        return F.concat(F.lit("/"), F.array_join(ended, "/"))
+
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), let(F.split(path, "/"), follow)).otherwise(path)
 
 
 def _canonical(url: Column, fragment: bool) -> Column:
-    path = _part(url, 3)
-    clean = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "^(.+)/$", "$1"))
+    path = _without_dots(_percent(_part(url, 3), _IN_PATH))
+    clean = let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(F.regexp_replace(p, "^(.+)/$", "$1")))
+    query = F.concat(F.substring(_part(url, 4), 1, 1), _percent(F.substring(_part(url, 4), 2, 1 << 30), _IN_QUERY))
     keep_port = F.when(port(url).isin("", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port(url)))
-    tail = F.concat(_part(url, 4), _part(url, 5)) if fragment else _part(url, 4)
-    valid = (scheme(url) == "https") & ~authority(url).contains("@") & hostname(url).rlike(r"^([a-z0-9_.-]+|\[[0-9a-f:.]+\])$")
-    return F.when(valid, F.concat(F.lit("https://"), hostname(url), keep_port, clean, tail))
+    tail = F.concat(query, F.substring(_part(url, 5), 1, 1), _percent(F.substring(_part(url, 5), 2, 1 << 30), _IN_FRAGMENT)) if fragment else query
+    valid = (scheme(url) == "https") & _userinfo(url).isin("", ":") & F.coalesce(port(url).try_cast("int") < 65536, port(url) == "")
+
+    def put(host: Column) -> Column:
+        return F.when(valid & host.rlike(_HOST) & ~(host.rlike(_NUMERIC) & ~is_ipv4(host)), F.concat(F.lit("https://"), host, keep_port, clean, tail))
+
+    return let(hostname(url), put)
 
 
 def canonical_doc_url(url: Column) -> Column:
-    """Document key: https only, no userinfo, lower-case host, no port 443, one trailing slash less, no fragment; else null."""
+    """Document key: https only, no userinfo, one form of host and path, no port 443, one trailing slash less, no fragment; else null."""
     return _canonical(url, False)
 
 
@@ -71,7 +124,7 @@ def canonical_webid(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Host of a url, or the raw string where it has none."""
-    return F.when(hostname(url) == "", url).otherwise(hostname(url))
+    return let(hostname(url), lambda h: F.when(h == "", url).otherwise(h))
 
 
 def slug(webid: Column) -> Column:
@@ -91,11 +144,13 @@ def slug_valid(value: Column) -> Column:
 
 def ip_normalise(host: Column) -> Column:
     """Dotted quad of an IPv4 literal in any of its forms (one to four parts, each decimal, octal or hex); other hosts as they are, lower-cased."""
+    # No part of an address has more digits; a longer number is a name that no address has.
     number = lambda p: (
-        F.when(p.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(p, 3, 16), 16, 10))
-        .when(p.rlike("^0[0-7]*$"), F.conv(p, 8, 10))
+        F.when(p.rlike("^0x0*[0-9a-f]{1,8}$"), F.conv(F.regexp_replace(p, "^0x0*(?=[0-9a-f])", ""), 16, 10))
+        .when(p == "0x", F.lit("0"))
+        .when(p.rlike("^0+[0-7]{0,11}$"), F.conv(F.regexp_replace(p, "^0+(?=[0-7])", ""), 8, 10))
         .when(p.rlike("^[1-9][0-9]{0,10}$"), p)
-        .cast("long")
+        .try_cast("long")
     )
     rooms = F.lit([1 << 32, 1 << 24, 1 << 16, 1 << 8])
 
@@ -107,7 +162,8 @@ def ip_normalise(host: Column) -> Column:
         parts = F.transform(F.lit([24, 16, 8, 0]), lambda by: (F.floor(whole / F.pow(F.lit(2), by)) % 256).cast("long").cast("string"))
         return F.when(valid, F.array_join(parts, "."))
 
-    return F.coalesce(let(F.transform(F.split(F.lower(host), r"\."), number), quad), F.lower(host))
+    parts = F.split(F.regexp_replace(F.lower(host), r"\.$", ""), r"\.")
+    return F.coalesce(let(F.transform(parts, number), quad), F.lower(host))
 
 
 def is_ipv4(host: Column) -> Column:
@@ -174,14 +230,16 @@ def _embedded(h: Column, at: int) -> Column:
 
 
 def ipv6_public(address: Column) -> Column:
-    """Is an IPv6 literal public? Mapped, 6to4 and NAT64 forms follow the IPv4 address inside; false for anything else."""
+    """Is an IPv6 literal public? Mapped, 6to4 and NAT64 forms follow the IPv4 address inside; false for all others that begin with
+    sixteen zero bits, such as the loopback and IPv4-compatible forms, and for anything else."""
 
     def judge(h: Column) -> Column:
         zeros = lambda a, b: F.forall(F.slice(h, a, b - a + 1), lambda x: x == 0)
-        first, second, sixth, last = (F.element_at(h, n) for n in (1, 2, 6, 8))
+        first, second, sixth = (F.element_at(h, n) for n in (1, 2, 6))
         return (
-            F.when(h.isNull() | zeros(1, 7) & last.isin(0, 1), F.lit(False))
+            F.when(h.isNull(), F.lit(False))
             .when(zeros(1, 5) & (sixth == 0xFFFF), _public_octets(_embedded(h, 7)))
+            .when(first == 0, F.lit(False))
             .when(first.bitwiseAND(0xFFC0) == 0xFE80, F.lit(False))
             .when(first.bitwiseAND(0xFE00) == 0xFC00, F.lit(False))
             .when(first.bitwiseAND(0xFF00) == 0xFF00, F.lit(False))
@@ -227,9 +285,9 @@ def admission_reason(url: Column, denied: list[str] = DENIED_HOSTS) -> Column:
         return F.when(host_denied(host, denied) | host_denied(norm, denied), F.lit("denied")).when(literal & ~ip_public(norm), F.lit("address"))
 
     return (
-        F.when(url.isNull() | ~url.rlike(_URL) | (hostname(url) == ""), F.lit("parse"))
+        F.when(url.isNull() | ~_clean(url).rlike(_URL) | (bare == "") | bare.rlike(_NUMERIC) & ~is_ipv4(bare) & ~bare.contains(":"), F.lit("parse"))
         .when(scheme(url) != "https", F.lit("scheme"))
-        .when(authority(url).contains("@"), F.lit("userinfo"))
+        .when(~_userinfo(url).isin("", ":"), F.lit("userinfo"))
         .when(~port(url).isin("", "443"), F.lit("port"))
         .otherwise(let(let(bare, lambda h: F.struct(h.alias("host"), ip_normalise(h).alias("norm"))), by_host))
     )

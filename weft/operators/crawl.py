@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.crawl import HOST_DELAY, LEASE
+from weft.functions.crawl import ENDED, HOST_DELAY, LEASE
 
 
 def frontier_depth(docs: DataFrame) -> DataFrame:
@@ -55,11 +55,19 @@ def lease_fence(completions: DataFrame, docs: DataFrame) -> tuple[DataFrame, Dat
     return completions.join(current, ["doc_url", "claim_token"], "left_semi"), completions.join(current, ["doc_url", "claim_token"], "left_anti")
 
 
+#: Columns of a document that a completion replaces, and those that it replaces only where it has a value.
+SET = {"http_status": "int", "fail_class": "string", "error": "string", "next_eligible_at": "long"}
+FILLED = {
+    "etag": "string", "last_modified": "string", "content_hash": "string", "body": "string", "is_solid": "boolean", "webid": "string", "slug": "string"
+}
+
+
 def mark_done(docs: DataFrame, completions: DataFrame, gate: DataFrame) -> DataFrame:
-    """``docs`` after completions (doc_url, claim_token, next_state, status, etag, fetched_at, event_id).
+    """``docs``, whole rows, after completions (doc_url, claim_token, next_state, fetched_at, event_id, and any of SET and FILLED).
 
     Completions of superseded leases and for gated documents are dropped; of several for one document the latest
-    counts. A validator that a completion lacks keeps its old value; terminal_at is set when a document ends.
+    counts. It ends the lease, replaces the columns SET, and of FILLED those for which it has a value; terminal_at is set when a document ends and else
+    stays. Documents without a completion stay as they are. Columns that ``docs`` lacks are added.
     """
     from weft.operators.gates import open_only
 
@@ -67,22 +75,19 @@ def mark_done(docs: DataFrame, completions: DataFrame, gate: DataFrame) -> DataF
     last = Window.partitionBy("doc_url").orderBy(F.desc("fetched_at"), F.desc("event_id"))
     kept = kept.withColumn("__n", F.row_number().over(last)).filter("__n = 1")
     allowed = open_only(docs.select("doc_url", "webid"), gate).select("doc_url")
+    given = [c for c in (*SET, *FILLED) if c in completions.columns]
+    state = F.when(F.col("next_state") == "parse", F.lit("done")).otherwise(F.col("next_state"))
     new = kept.join(allowed, "doc_url", "left_semi").select(
-        "doc_url",
-        F.col("next_state").alias("new_state"),
-        F.col("status").alias("new_status"),
-        F.col("etag").alias("new_etag"),
-        F.col("fetched_at").alias("new_at"),
-    )
-    ended = F.col("new_state").isin("tombstone", "skipped")
-    return docs.join(new, "doc_url", "left").select(
-        "doc_url",
-        F.coalesce("new_state", "state").alias("state"),
-        F.coalesce("new_etag", "etag").alias("etag"),
-        F.col("new_status").alias("http_status"),
-        F.when(ended, F.col("new_at")).alias("terminal_at"),
-        F.when(F.col("new_state").isNull(), F.col("claim_token")).alias("claim_token"),
+        "doc_url", state.alias("new_state"), F.col("fetched_at").alias("new_at"), *[F.col(c).alias(f"new_{c}") for c in given]
     )
+    wanted = {"state": "string", **SET, **FILLED, "last_crawled": "long", "terminal_at": "long", "claim_token": "string", "claimed_at": "long"}
+    missing = {c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in docs.columns}
+    both = docs.withColumns(missing).join(new, "doc_url", "left")
+    hit = F.col("new_state").isNotNull()
+    changes = {"state": F.col("new_state"), "last_crawled": F.col("new_at"), "claim_token": F.lit(None), "claimed_at": F.lit(None)}
+    changes |= {c: F.col(f"new_{c}") for c in SET if c in given} | {c: F.coalesce(f"new_{c}", c) for c in FILLED if c in given}
+    changes["terminal_at"] = F.when(F.col("new_state").isin(ENDED), F.col("new_at")).otherwise(F.col("terminal_at"))
+    return both.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in [*docs.columns, *missing]])
 
 
 def host_update(results: DataFrame, hosts: DataFrame, delay: int = HOST_DELAY) -> DataFrame:
@@ -104,14 +109,18 @@ def host_update(results: DataFrame, hosts: DataFrame, delay: int = HOST_DELAY) -
     return counted.join(old, "host", "left").select("host", "next_allowed_at", total.cast("long").alias("consecutive_errors"))
 
 
-def batch_summary(results: DataFrame, remaining: DataFrame, budget: int) -> DataFrame:
-    """One row on a batch: claimed, fetched, added, errors, budget_hit and remaining."""
-    is_error: Column = F.col("fail_class").isNotNull()
+def batch_summary(results: DataFrame, remaining: DataFrame, enqueued: DataFrame, budget: int) -> DataFrame:
+    """One row on a batch of results (status, error_kind, next_state, fail_class, type_ok): claimed, fetched, added, errors, budget_hit and remaining.
+
+    Fetched are those with a response whose media type was not refused; documents that are gone count as errors too. added is the number of
+    documents newly ``enqueued``.
+    """
+    refused: Column = ~F.coalesce("type_ok", F.lit(True)) & ~F.coalesce(F.col("status").isin(204, 205, 304) | (F.col("status") >= 400), F.lit(False))
     sums = results.agg(
         F.count("*").alias("claimed"),
-        F.count(F.when(F.col("error_kind").isNull(), F.lit(1))).alias("fetched"),
-        F.count(F.when(F.col("next_state") == "parse", F.lit(1))).alias("added"),
-        F.count(F.when(is_error, F.lit(1))).alias("errors"),
+        F.count(F.when(F.col("error_kind").isNull() & ~refused, F.lit(1))).alias("fetched"),
+        F.count(F.when(F.col("fail_class").isNotNull() | F.col("error_kind").isNull() & (F.col("status") == 410), F.lit(1))).alias("errors"),
     ).withColumn("budget_hit", F.col("claimed") >= budget)
     one = F.lit(1).alias("one")
-    return sums.select("*", one).join(remaining.select(one, F.col("n").alias("remaining")), "one").drop("one")
+    counts = sums.select("*", one).join(enqueued.agg(F.count("*").alias("added")).select(one, "added"), "one")
+    return counts.join(remaining.select(one, F.col("n").alias("remaining")), "one").drop("one")

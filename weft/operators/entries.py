@@ -11,6 +11,7 @@ from weft.operators.gates import gate_object
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 FOAF, SOLID, PIM = "http://xmlns.com/foaf/0.1/", "http://www.w3.org/ns/solid/terms#", "http://www.w3.org/ns/pim/space#"
 DCT, VOID, IDX = "http://purl.org/dc/terms/", "http://rdfs.org/ns/void#", "https://weft.example/ns#"
+PROV, RDFS = "http://www.w3.org/ns/prov#", "http://www.w3.org/2000/01/rdf-schema#"
 MOST_KNOWS = 500
 
 
@@ -36,7 +37,7 @@ def knows_visible(profiles: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def entry_triples(people: DataFrame) -> DataFrame:
-    """(s, p, o, kind) that describe each served person (webid, doc_url, slug, name, photo, issuers, knows, freshness, modified).
+    """(s, p, o, kind) that describe each served person (webid, doc_url, slug, name, photo, issuers, storages, knows, freshness, modified).
 
     The entry describes the person's own WebID and makes no new name for them.
     """
@@ -48,16 +49,24 @@ def entry_triples(people: DataFrame) -> DataFrame:
     me = F.col("webid")
     single = F.array(
         t(entry, _RDF + "type", F.lit(IDX + "Entry"), "iri"),
+        t(entry, _RDF + "type", F.lit(FOAF + "PersonalProfileDocument"), "iri"),
         t(entry, FOAF + "primaryTopic", me, "iri"),
+        t(entry, FOAF + "topic", me, "iri"),
         t(entry, DCT + "source", F.col("doc_url"), "iri"),
+        t(entry, PROV + "wasDerivedFrom", F.col("doc_url"), "iri"),
         t(entry, DCT + "modified", F.col("modified"), "literal"),
+        t(entry, PROV + "generatedAtTime", F.col("modified"), "literal"),
+        t(entry, VOID + "inDataset", F.lit("urn:dataset"), "iri"),
         t(entry, IDX + "crawlState", F.concat(F.lit(IDX), "freshness"), "iri"),
+        t(me, FOAF + "isPrimaryTopicOf", entry, "iri"),
+        t(me, RDFS + "seeAlso", F.col("doc_url"), "iri"),
         t(me, FOAF + "name", F.col("name"), "literal"),
         t(me, FOAF + "img", F.col("photo"), "iri"),
     )
     issuers = F.transform("issuers", lambda x: t(me, SOLID + "oidcIssuer", x, "iri"))
+    storages = F.transform("storages", lambda x: t(me, PIM + "storage", x, "iri"))
     knows = F.transform("knows", lambda x: t(me, FOAF + "knows", x, "iri"))
-    return people.select(F.inline(F.array_compact(F.concat(single, issuers, knows))))
+    return people.select(F.inline(F.array_compact(F.concat(single, issuers, storages, knows))))
 
 
 def void_triples(stats: DataFrame) -> DataFrame:

@@ -91,15 +91,23 @@ def inbox_redact(inbox: DataFrame, objects: DataFrame, people: DataFrame) -> tup
 
 
 def erase(index: Index, people: DataFrame) -> Index:
-    """The index after ``people`` (webid, doc_url, reason, created_at, proof) are erased for good from every table. Doing it twice changes nothing."""
-    kept, counters = projection_clear(index.triples, index.stats, people)
+    """The index after ``people`` (webid, doc_url, reason, created_at, proof) are erased for good from every table. Doing it twice changes nothing.
+
+    Whoever else is projected from their documents loses those triples too, but has no tombstone.
+    """
+    others = projected_from(index.triples, people)
+    kept, counters = projection_clear(index.triples, index.stats, people.select("webid").union(others))
     inbox, objects = inbox_redact(index.inbox, index.inbox_objects, people)
     return Index(redact_docs(index.docs, people), kept, counters, tombstone_merge(index.tombstones, people), inbox, objects)
 
 
+def projected_from(triples: DataFrame, urls: DataFrame) -> DataFrame:
+    """(webid) of the people with triples from documents ``urls`` (doc_url)."""
+    return triples.join(small(urls.select("doc_url").distinct()), "doc_url", "left_semi").select("webid").filter("webid IS NOT NULL").distinct()
+
+
 def tombstone_doc(docs: DataFrame, triples: DataFrame, counters: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, triples, statistics) after documents (doc_url) are tombstoned: all people projected from them are cleared."""
-    owners = triples.join(small(urls.select("doc_url").distinct()), "doc_url", "left_semi").select("webid").distinct()
-    kept, after = projection_clear(triples, counters, owners)
+    kept, after = projection_clear(triples, counters, projected_from(triples, urls))
     people = urls.select("doc_url", F.lit(None).cast("string").alias("webid"))
     return redact_docs(docs, people), kept, after

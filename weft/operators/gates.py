@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Gate keys are broadcast up to this many; beyond it the joins shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Keys are broadcast up to this many rows and bytes; beyond either the joins shuffle.
+BROADCAST_KEYS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def gate_keys(tombstones: DataFrame, docs: DataFrame) -> DataFrame:
@@ -18,9 +18,11 @@ def gate_keys(tombstones: DataFrame, docs: DataFrame) -> DataFrame:
     return tombstones.select("webid", "doc_url").union(docs.filter("state = 'tombstone'").select("webid", "doc_url")).distinct()
 
 
-def small(gate: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """The gate with a broadcast hint if its rows are few enough; otherwise Spark joins by shuffle."""
-    return F.broadcast(gate) if gate.limit(most + 1).count() <= most else gate
+def small(keys: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Narrow rows of strings with a broadcast hint if they are few and short enough; otherwise Spark joins by shuffle."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns), F.lit(16))
+    n, total = keys.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(keys) if n <= most and total <= most_bytes else keys
 
 
 def gate_subject(triples: DataFrame, gate: DataFrame) -> DataFrame:

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.urls import canonical_doc_url
+from weft.operators.tables import cut
 
 MAX_DEPTH, OUTLINKS, FRONTIER = 3, 500, 20_000
 _KNOWS = "http://xmlns.com/foaf/0.1/knows"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder of the cluster; a temporary one is set only where there is none."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def knows_edges(triples: DataFrame) -> DataFrame:
     """(src, dst): distinct links between canonical documents; targets without a key and links to oneself are dropped."""
     links = triples.filter((F.col("p") == _KNOWS) & F.col("o_is_iri"))
@@ -55,8 +46,10 @@ def fanout(edges: DataFrame, most: int = OUTLINKS) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH, gate: DataFrame | None = None) -> DataFrame:
     """(doc_url, depth): breadth-first discovery from ``seeds`` (doc_url), each document once at its smallest depth.
 
-    ``gate`` (doc_url) is never entered. A round for each depth; each is cut from its lineage.
+    ``gate`` (doc_url) is never entered. A round for each depth; each is cut from its lineage, and so are the edges, which all rounds read.
     """
+    edges = edges if gate is None else edges.join(gate.select(F.col("doc_url").alias("dst")).distinct(), "dst", "left_anti")
+    edges = cut(edges.select("src", "dst"))
     start = seeds.select("doc_url").distinct()
     start = start.join(gate, "doc_url", "left_anti") if gate is not None else start
     visited = cut(start.withColumn("depth", F.lit(0)))
@@ -64,7 +57,6 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH, gate: Dat
     for level in range(1, depth + 1):
         found = layer.join(edges, layer["doc_url"] == edges["src"]).select(F.col("dst").alias("doc_url")).distinct()
         found = found.join(visited.select("doc_url"), "doc_url", "left_anti")
-        found = found.join(gate, "doc_url", "left_anti") if gate is not None else found
         layer = cut(found.withColumn("depth", F.lit(level)))
         visited = visited.union(layer)
     return visited

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.operators.tables import cut
 from weft.sources.logs import ACCEPTED_TYPES
 
 DAY = 86_400_000
@@ -48,46 +49,91 @@ def suggestion_status(candidates: DataFrame, docs: DataFrame, tombstones: DataFr
     return both.withColumn("status", F.element_at(names, strictest + 1)).drop("a", "b")
 
 
-def rate_limit(hits: DataFrame, window: int, limit: int) -> DataFrame:
+#: Slices of a window whose hits are numbered by one task each, and salts of a day's rows.
+SLICES, SALTS = 64, 32
+#: Hits in a row without a gap of a window's length that one task folds; longer runs are followed in rounds.
+FOLDED = 100_000
+
+
+def _window_starts(times: DataFrame, window: int) -> DataFrame:
+    """(key, start) of all windows of ``times`` (key, at_ms).
+
+    A gap of a window's length always begins a window, so a key's times are first cut at such gaps, which its first and last times in each era of a
+    window's length show. A run of up to FOLDED hits is then folded over its distinct times, and a longer one is followed window by window: the next
+    start is the smallest time from the last one's end on, for all such runs at once.
+    """
+    times = times.withColumn("era", F.floor(F.col("at_ms") / window))
+    eras = times.groupBy("key", "era").agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high"), F.count("*").alias("n"))
+    order = Window.partitionBy("key").orderBy("era")
+    gap = F.col("low") - F.lag("high").over(order) >= window
+    runs = eras.withColumn("gap", gap).withColumn("run", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(order))
+    runs = cut(runs.select("key", "era", "run", F.sum("n").over(Window.partitionBy("key", "run")).alias("hits")))
+    owned = times.join(runs, ["key", "era"])
+    step = lambda done, t: F.when((F.size(done) == 0) | (F.element_at(done, -1) + window <= t), F.array_append(done, t)).otherwise(done)
+    few = owned.filter(F.col("hits") <= FOLDED).groupBy("key", "run").agg(F.array_sort(F.collect_set("at_ms")).alias("t"))
+    none = F.array().cast("array<bigint>")
+    starts = few.select("key", F.explode(F.aggregate("t", none, lambda done, t: F.when(F.size(done) == 0, F.array(t)).otherwise(step(done, t)))).alias("start"))
+    if runs.filter(F.col("hits") > FOLDED).isEmpty():
+        return starts
+    many = cut(owned.filter(F.col("hits") > FOLDED).select("key", "run", "at_ms").distinct())
+    last = cut(many.groupBy("key", "run").agg(F.min("at_ms").alias("start")))
+    while not last.isEmpty():
+        starts = starts.union(last.select("key", "start"))
+        after = many.join(last, ["key", "run"]).filter(F.col("at_ms") >= F.col("start") + window)
+        last = cut(after.groupBy("key", "run").agg(F.min("at_ms").alias("start")))
+    return starts
+
+
+def rate_limit(hits: DataFrame, window: int, limit: int, carried: DataFrame | None = None) -> DataFrame:
     """``hits`` (key, at_ms, id) with n, the hit's number in its window, and granted.
 
     A window begins with a key's first hit and lasts ``window``; the next hit after it begins another. Refused hits
-    count too. A gap of a window's length always begins one, so keys are first cut at such gaps and each burst is
-    folded by itself.
+    count too. ``carried`` (key, start, n) are windows that earlier hits have begun, and their numbers of hits so far.
+
+    Only window starts are found one after the other; hits are then joined with their start, counted in slices of a window and
+    numbered inside a slice, so a busy key is many tasks' work.
     """
-    order = Window.partitionBy("key").orderBy("at_ms", "id")
-    gap = F.col("at_ms") - F.lag("at_ms").over(order) >= window
-    burst = F.sum(F.when(gap, 1).otherwise(0)).over(order)
-    bursts = hits.select("key", "at_ms", "id").withColumn("burst", burst)
-    grouped = bursts.groupBy("key", "burst").agg(F.array_sort(F.collect_list(F.struct("at_ms", "id"))).alias("hits"))
-    kind = "struct<start:bigint,n:bigint,out:array<struct<at_ms:bigint,id:bigint,n:bigint>>>"
-    begin = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.array().alias("out")).cast(kind)
-
-    def step(state, hit):
-        fresh = state["start"].isNull() | (state["start"] + window <= hit["at_ms"])
-        n = F.when(fresh, F.lit(1).cast("long")).otherwise(state["n"] + 1)
-        row = F.struct(hit["at_ms"].cast("long").alias("at_ms"), hit["id"].cast("long").alias("id"), n.alias("n"))
-        return F.struct(
-            F.when(fresh, hit["at_ms"]).otherwise(state["start"]).cast("long").alias("start"), n.alias("n"), F.array_append(state["out"], row).alias("out")
-        )
-
-    folded = grouped.select("key", F.explode(F.aggregate("hits", begin, step, lambda s: s["out"])).alias("h"))
-    return folded.select("key", "h.at_ms", "h.id", "h.n", (F.col("h.n") <= limit).alias("granted"))
-
-
-def daily_admission(rows: DataFrame, most: int = DAILY) -> DataFrame:
-    """``rows`` (at_ms, id) with admitted: the first ``most`` of each UTC day; others are deferred.
-
-    Days are cut into hours first, so a whole day need not be ranked by one task: an hour's rows are ranked after the counts of the hours before.
+    rows = hits.select("key", F.col("at_ms").cast("long").alias("at_ms"), F.col("id").cast("long").alias("id"))
+    times = rows.select("key", "at_ms")
+    if carried is not None:
+        times = times.union(carried.join(rows.select("key").distinct(), "key", "left_semi").select("key", "start"))
+    starts = cut(_window_starts(times, window))
+    if carried is not None:
+        starts = starts.join(carried.select("key", "start", F.col("n").alias("had")), ["key", "start"], "left")
+    else:
+        starts = starts.withColumn("had", F.lit(0))
+    # A hit's window begins in its own era of a window's length or in the one before.
+    era = lambda c: F.floor(c / window)
+    begun = starts.select("key", "start", F.coalesce("had", F.lit(0)).alias("had"), F.explode(F.array(era(F.col("start")), era(F.col("start")) + 1)).alias("era"))
+    inside = (F.col("at_ms") >= F.col("start")) & (F.col("at_ms") < F.col("start") + window)
+    owned = rows.withColumn("era", era(F.col("at_ms"))).join(begun, ["key", "era"]).filter(inside)
+    owned = owned.withColumn("slice", F.floor((F.col("at_ms") - F.col("start")) * SLICES / window))
+    counts = owned.groupBy("key", "start", "slice").agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy("key", "start").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "start", "slice", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("key", "start", "slice").orderBy("at_ms", "id"))
+    n = (F.col("had") + F.col("before") + F.col("own")).cast("long")
+    return owned.withColumn("own", own).join(before, ["key", "start", "slice"]).select("key", "at_ms", "id", n.alias("n"), (n <= limit).alias("granted"))
+
+
+def daily_admission(rows: DataFrame, most: int = DAILY, used: DataFrame | None = None) -> DataFrame:
+    """``rows`` (at_ms, id; ids are unique) with admitted: the first ``most`` of each UTC day; others are deferred. ``used`` (day, n) are
+    admissions of earlier batches, days counted from 1970.
+
+    Each of a day's salts keeps its first rows, the day's last admitted one is found among those, and all rows are compared with it.
     """
-    day, hour = F.floor(F.col("at_ms") / DAY), F.floor(F.col("at_ms") / 3_600_000)
-    keyed = rows.withColumns({"__day": day, "__hour": hour})
-    counts = keyed.groupBy("__day", "__hour").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__day").orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__hour").orderBy("at_ms", "id")
-    ranked = keyed.withColumn("__n", F.row_number().over(own)).join(starts, "__hour")
-    return ranked.withColumn("admitted", F.col("__before") + F.col("__n") <= most).drop("__day", "__hour", "__before", "__n")
+    keyed = rows.withColumn("__day", F.floor(F.col("at_ms") / DAY))
+    stamp = F.struct("at_ms", "id")
+    salted = Window.partitionBy("__day", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("at_ms", "id")
+    few = keyed.select("__day", "at_ms", "id").withColumn("__n", F.row_number().over(salted)).filter(F.col("__n") <= most)
+    ranked = few.withColumn("__n", F.row_number().over(Window.partitionBy("__day").orderBy("at_ms", "id"))).select("__day", "__n", stamp.alias("__at"))
+    if used is not None:
+        ranked = ranked.join(used.select(F.col("day").alias("__day"), F.col("n").alias("__used")), "__day", "left")
+        room = most - F.coalesce("__used", F.lit(0))
+    else:
+        room = F.lit(most)
+    cutoffs = ranked.filter(F.col("__n") <= room).groupBy("__day").agg(F.max("__at").alias("__last"))
+    return keyed.join(cutoffs, "__day", "left").withColumn("admitted", F.coalesce(stamp <= F.col("__last"), F.lit(False))).drop("__day", "__last")
 
 
 def intake_decision(objects: DataFrame) -> DataFrame:

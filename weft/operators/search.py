@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.operators.gates import small
+from weft.operators.tables import cut
+
 #: English words that are not indexed.
 STOP_WORDS = """a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so that the
 their them then there these they this to was we were what when which who will with you your""".split()
@@ -19,12 +22,19 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
+def _words_of(docs: DataFrame) -> DataFrame:
+    """(doc_url, term, l, b) for each word of documents (doc_url, label, body)."""
+    one = lambda column, l, b: F.transform(terms(F.col(column)), lambda w: F.struct(w.alias("term"), F.lit(l).alias("l"), F.lit(b).alias("b")))  # noqa: E731, E741
+    return docs.select("doc_url", F.inline(F.concat(one("label", 1, 0), one("body", 0, 1))))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("term", "doc_url").agg(F.sum("l").alias("label_tf"), F.sum("b").alias("body_tf"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_url, label_tf, body_tf) of documents (doc_url, label, body). Store it partitioned by a hash of the term."""
-    each = docs.select("doc_url", F.explode(terms(F.col("label"))).alias("term"), F.lit(1).alias("l"), F.lit(0).alias("b")).union(
-        docs.select("doc_url", F.explode(terms(F.col("body"))).alias("term"), F.lit(0), F.lit(1))
-    )
-    return each.groupBy("term", "doc_url").agg(F.sum("l").alias("label_tf"), F.sum("b").alias("body_tf"))
+    """(term, doc_url, label_tf, body_tf) of documents (doc_url, label, body), which are read once. Store it partitioned by a hash of the term."""
+    return _counted(_words_of(docs))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -38,18 +48,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", F.explode("words").alias("term"), F.size("words").alias("n_terms"))
 
 
-def match(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, doc_url) of documents that hold all of a query's terms; a query without terms matches nothing."""
+def _met(queries: DataFrame, index: DataFrame, hidden: DataFrame | None) -> DataFrame:
+    """Postings of the queries' terms, without those of documents ``hidden`` (doc_url)."""
     met = query_terms(queries).join(index, "term")
-    found = met.groupBy("query_id", "n_terms", "doc_url").agg(F.count("*").alias("n"))
+    return met.join(small(hidden.select("doc_url").distinct()), "doc_url", "left_anti") if hidden is not None else met
+
+
+def match(queries: DataFrame, index: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_url) of documents that hold all of a query's terms and are not ``hidden`` (doc_url); a query without terms matches nothing."""
+    found = _met(queries, index, hidden).groupBy("query_id", "n_terms", "doc_url").agg(F.count("*").alias("n"))
     return found.filter("n = n_terms").select("query_id", "doc_url")
 
 
-def rank(queries: DataFrame, index: DataFrame, sizes: DataFrame, label_weight: float = LABEL_WEIGHT) -> DataFrame:
-    """(query_id, doc_url, rank): BM25 of weighted term counts, to six decimals, of documents that hold all terms."""
+def asked_postings(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings of the terms of ``queries`` alone, made from ``docs`` once and kept: only their words are shuffled, and frequencies and matches read the same rows."""
+    wanted = query_terms(queries).select("term").distinct()
+    each = _words_of(docs).join(small(wanted), "term", "left_semi")
+    return cut(_counted(each))
+
+
+def rank(queries: DataFrame, index: DataFrame, sizes: DataFrame, label_weight: float = LABEL_WEIGHT, hidden: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_url, rank): BM25 of weighted term counts, to six decimals, of documents that hold all terms and are not ``hidden``.
+
+    A term's frequency is that in the whole index.
+    """
     docs, mean = sizes.agg(F.count("*"), F.avg("n")).first()  # two numbers
-    df = index.join(query_terms(queries).select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-    met = query_terms(queries).join(index, "term").join(df, "term").join(sizes, "doc_url")
+    df = index.join(small(query_terms(queries).select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    met = _met(queries, index, hidden).join(df, "term").join(sizes, "doc_url")
     tf = label_weight * F.col("label_tf") + BODY_WEIGHT * F.col("body_tf")
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0)))

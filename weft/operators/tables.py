@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a session without executors of its own may go without: a cluster's machines would not see each other's files.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="weft-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(place)
+    return place
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder, so lost executors cost no recomputation of the lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def live(docs: DataFrame) -> DataFrame:
     """Documents that may be shown: all but tombstones."""
     return docs.filter("state != 'tombstone'")
@@ -43,12 +67,12 @@ def evolve(existing: DataFrame, more: DataFrame) -> DataFrame:
     return existing.unionByName(more.limit(0), allowMissingColumns=True)
 
 
-def enum_rejects(rows: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
-    """Rows with a value outside the allowed ones; null is allowed."""
+def enum_rejected(allowed: dict[str, list[str]]) -> Column:
+    """Does a row have a value outside the allowed ones? Null is allowed."""
     bad = F.lit(False)
     for column, values in allowed.items():
         bad = bad | F.coalesce(~F.col(column).isin(values), F.lit(False))
-    return rows.filter(bad)
+    return bad
 
 
 def key_page(rows: DataFrame, key: str, size: int, after=None) -> DataFrame:
@@ -62,8 +86,3 @@ def newest_page(rows: DataFrame, time: str, key: str, size: int, after: tuple |
     if after:
         rows = rows.filter((F.col(time) < after[0]) | ((F.col(time) == after[0]) & (F.col(key) < after[1])))
     return rows.orderBy(F.col(time).desc(), F.col(key).desc()).limit(size + 1)
-
-
-def buckets_of(rows: DataFrame, key: str, buckets: int) -> DataFrame:
-    """``rows`` with the bucket that a dynamic partition overwrite of changed buckets uses."""
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))

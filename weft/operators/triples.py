@@ -9,29 +9,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.functions.urls import let
+from weft.operators.tables import cut
+
 TERMS = ["s", "p", "o", "o_is_iri"]
 _ISSUER = "http://www.w3.org/ns/solid/terms#oidcIssuer"
 _LINE = r'^\s*(<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*$'
 
 
+_ESCAPES = (('"', r"\""), ("'", r"\'"), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t"), ("\b", r"\b"), ("\f", r"\f"))
+
+
 def escape(text: Column) -> Column:
     """A literal's text as N-Triples writes it."""
-    for raw, written in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
+    text = F.replace(text, F.lit("\\"), F.lit(r"\\"))
+    for raw, written in (_ESCAPES[0], *_ESCAPES[2:5]):
         text = F.replace(text, F.lit(raw), F.lit(written))
     return text
 
 
+def _decode_units(text: Column) -> Column:
+    """``text`` with ``\\uXXXX`` and ``\\UXXXXXXXX`` decoded. Two ``\\u`` that follow each other can be one character; what is none
+    becomes U+FFFD."""
+
+    def decode(parts: Column) -> Column:
+        code = lambda n: F.lower(F.substring(F.try_element_at(parts, n), 1, 4))
+        rest = lambda n: F.substring(F.try_element_at(parts, n), 5, 1 << 30)
+        pair = lambda n: F.coalesce(code(n).rlike("^d[89ab]") & (rest(n) == "") & code(n + 1).rlike("^d[c-f]"), F.lit(False))
+        utf16 = lambda digits: F.decode(F.unhex(digits), "UTF-16BE")
+        one = lambda n: (
+            F.when(pair(n), utf16(F.concat(code(n), code(n + 1))))
+            .when((n > 2) & pair(n - 1), rest(n))
+            .when(code(n).rlike("^d[89a-f]"), F.concat(F.lit("\ufffd"), rest(n)))
+            .otherwise(F.concat(utf16(code(n)), rest(n)))
+        )
+        more = F.transform(F.sequence(F.lit(2), F.size(parts)), one)
+        return F.when(F.size(parts) < 2, F.element_at(parts, 1)).otherwise(F.concat(F.element_at(parts, 1), F.array_join(more, "")))
+
+    def wide(part: Column, n: Column) -> Column:
+        digits = F.substring(part, 1, 8)
+        none = digits.rlike("(?i)^0000d[89a-f]") | ~digits.rlike("(?i)^00(0[0-9a-f]|10)")
+        char = F.when(none, F.lit("\ufffd")).otherwise(F.decode(F.unhex(digits), "UTF-32"))
+        return F.when(n == 0, part).otherwise(F.concat(char, F.substring(part, 9, 1 << 30)))
+
+    short = F.when(text.contains(r"\u"), let(F.split(text, r"\\u(?=[0-9A-Fa-f]{4})"), decode)).otherwise(text)
+    return F.when(text.contains(r"\U"), F.array_join(F.transform(F.split(short, r"\\U(?=[0-9A-Fa-f]{8})"), wide), "")).otherwise(short)
+
+
 def unescape(text: Column) -> Column:
-    """The text that N-Triples wrote, ``\\uXXXX`` included. Escaped backslashes are set aside first."""
-    text = F.replace(text, F.lit(r"\\"), F.lit("\0"))
-    for raw, written in (('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
-        text = F.replace(text, F.lit(written), F.lit(raw))
-    parts = F.split(text, r"\\u(?=[0-9A-Fa-f]{4})")
-    decoded = F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.concat(F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE"), F.substring(p, 5, 1 << 30)),
-    )
-    return F.replace(F.concat(F.element_at(parts, 1), F.array_join(decoded, "")), F.lit("\0"), F.lit("\\"))
+    """The text that N-Triples wrote. Escaped back slashes part what is read by itself."""
+
+    def read(piece: Column) -> Column:
+        piece = _decode_units(piece)
+        for raw, written in _ESCAPES:
+            piece = F.replace(piece, F.lit(written), F.lit(raw))
+        return piece
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(F.split(text, r"\\\\"), read), "\\")).otherwise(text)
 
 
 def line(s: Column, p: Column, o: Column, o_is_iri: Column) -> Column:
@@ -127,27 +161,28 @@ def page(triples: DataFrame, size: int, after: tuple | None = None) -> DataFrame
     return rows.orderBy(*TERMS).limit(size + 1)
 
 
-def number_pages(rows: DataFrame, order: list[str], size: int, parts: int = 64) -> DataFrame:
-    """``rows`` with page_no from 0 and its place on the page, in the order of ``order``, in one job for all pages.
+#: Rows of a range, about, that one task puts in order.
+ROWS_PER_RANGE = 200_000
+
+
+def number_pages(rows: DataFrame, order: list[str], size: int, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``rows``, no two alike in ``order``, with page_no from 0 and its place on the page, in the order of ``order``, in one job for all pages.
 
-    Rows are cut into ranges by quantile of their first key, ranges are counted, and each range numbers its own rows from
-    the counts before it. Rows whose first keys are equal share a range.
+    Spark cuts the rows into as many ranges as their number asks for, by all of ``order``, so that rows of one first key can lie in several; each
+    range is sorted by itself, and its first place is the number of rows in the ranges before it.
     """
-    first = order[0]
-    # Range bounds from a bounded sample; any bounds give the same numbers, so the sample only steers balance.
-    total = rows.count()
-    sample = rows.select(first).sample(min(1.0, 100 * parts / max(total, 1)), seed=1).orderBy(first).collect()
-    bounds = sorted({sample[len(sample) * i // parts][0] for i in range(1, parts)}) if sample else []
-    key = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(first))) if bounds else F.lit(0)
-    rows = rows.withColumn("__range", key)
+    rows = cut(rows)
+    parts = -(-rows.count() // per_range) or 1
+    # Cut again: bounds of ranges come from samples, and counts and numbers must see the same ranges.
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__range").agg(F.count("*").alias("n"))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # one row for each range
     starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
     own = Window.partitionBy("__range").orderBy(*order)
     place = F.col("__first") + F.row_number().over(own) - 1
-    numbered = rows.join(F.broadcast(starts), "__range").withColumn("__place", place)
+    numbered = ranged.join(F.broadcast(starts), "__range").withColumn("__place", place)
     return numbered.select(
-        *[c for c in rows.columns if c != "__range"],
+        *rows.columns,
         F.floor(F.col("__place") / size).cast("long").alias("page_no"),
         (F.col("__place") % size).cast("long").alias("place"),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import crawl as rules
-from weft.operators import crawl
+from weft.operators import crawl, graph
+from weft.plans.graph_queries import _EDGES
 from weft.plans.scalar_queries import _OUTCOME, _RETRY, outcomes
 from weft.plans.triple_queries import _GATE, gate
 from weft.plans.views import NOW
@@ -54,14 +55,24 @@ def lease_fence(v):
     return kept.select("event_id", F.lit(True).alias("kept")).union(dropped.select("event_id", F.lit(False)))
 
 
-@query(f"""{_OUTCOME}, {_GATE}, latest AS (SELECT o.doc_url, o.next_state, o.status, o.etag, o.fetched_at FROM o JOIN v_doc d ON o.doc_url = d.doc_url AND o.claim_token = d.claim_token
-  WHERE d.webid NOT IN (SELECT webid FROM gate) AND d.doc_url NOT IN (SELECT doc_url FROM gate) QUALIFY row_number() OVER (PARTITION BY o.doc_url ORDER BY fetched_at DESC, event_id DESC) = 1)
-SELECT d.doc_url, coalesce(next_state, state) AS state, coalesce(l.etag, d.etag) AS etag, l.status AS http_status,
-  CASE WHEN next_state IN ('tombstone', 'skipped') THEN fetched_at END AS terminal_at, CASE WHEN next_state IS NULL THEN claim_token END AS claim_token
-FROM v_doc d LEFT JOIN latest l USING (doc_url)""")
+@query(f"""{_OUTCOME}, {_GATE}, latest AS (SELECT o.* FROM o JOIN v_doc d ON o.doc_url = d.doc_url AND o.claim_token = d.claim_token
+  WHERE d.webid NOT IN (SELECT webid FROM gate) AND d.doc_url NOT IN (SELECT doc_url FROM gate) QUALIFY row_number() OVER (PARTITION BY o.doc_url ORDER BY fetched_at DESC, event_id DESC) = 1),
+docs AS (SELECT *, CAST(200 + c_custkey % 3 * 100 AS INT) AS http_status, CASE WHEN c_custkey % 4 = 0 THEN 1690000000000 + c_custkey END AS terminal_at FROM v_doc)
+SELECT d.doc_url, d.c_custkey, d.webid, d.host, d.depth, d.attempts, d.noindex, d.label, d.root_seed, d.is_solid, CASE WHEN l.next_state = 'parse' THEN 'done' ELSE coalesce(l.next_state, d.state) END AS state,
+  coalesce(l.etag, d.etag) AS etag, CASE WHEN l.next_state = 'parse' THEN concat('n', l.event_id) ELSE d.content_hash END AS content_hash,
+  CASE WHEN l.doc_url IS NULL THEN d.http_status ELSE CAST(l.status AS INT) END AS http_status, l.fail_class, CASE WHEN l.fail_class IS NOT NULL THEN concat('HTTP ', l.status) END AS error,
+  CASE WHEN l.doc_url IS NULL THEN d.next_eligible_at ELSE l.fetched_at + 1000 END AS next_eligible_at, l.fetched_at AS last_crawled,
+  CASE WHEN l.next_state IN ('parse', 'done', 'tombstone', 'skipped') THEN l.fetched_at ELSE d.terminal_at END AS terminal_at,
+  CASE WHEN l.doc_url IS NULL THEN d.claim_token END AS claim_token, CASE WHEN l.doc_url IS NULL THEN d.claimed_at END AS claimed_at FROM docs d LEFT JOIN latest l ON l.doc_url = d.doc_url""")
 def mark_done(v):
-    done = outcomes(v).select("doc_url", "claim_token", "next_state", "status", "etag", "fetched_at", "event_id")
-    return crawl.mark_done(v.doc, done, gate(v))
+    old = F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") + 1690000000000)
+    docs = v.doc.withColumns({"http_status": (200 + F.col("c_custkey") % 3 * 100).cast("int"), "terminal_at": old})
+    done = outcomes(v).select(
+        "doc_url", "claim_token", "next_state", "etag", "fetched_at", "event_id", "fail_class", F.col("status").cast("int").alias("http_status"),
+        F.when(F.col("fail_class").isNotNull(), F.concat(F.lit("HTTP "), "status")).alias("error"), (F.col("fetched_at") + 1000).alias("next_eligible_at"),
+        F.when(F.col("next_state") == "parse", F.concat(F.lit("n"), "event_id")).alias("content_hash"),
+    )
+    return crawl.mark_done(docs, done, gate(v)).drop("last_modified", "body", "slug")
 
 
 @query(f"""{_OUTCOME}, {_HOSTS}, r AS (SELECT *, {_RETRY} AS retry_ms, coalesce(fail_class = 'transient', false) AS bad FROM o),
@@ -73,7 +84,10 @@ def host_update(v):
     return crawl.host_update(results, hosts(v))
 
 
-@query(f"""{_OUTCOME} SELECT count(*) AS claimed, count(*) FILTER (WHERE error_kind IS NULL) AS fetched, count(*) FILTER (WHERE next_state = 'parse') AS added,
-  count(fail_class) AS errors, count(*) >= 5000 AS budget_hit, (SELECT count(*) FROM v_doc WHERE state IN ('pending', 'claimed')) AS remaining FROM o""")
+@query(f"""{_OUTCOME}, {_EDGES} SELECT count(*) AS claimed, count(*) FILTER (WHERE error_kind IS NULL AND type_ok) AS fetched,
+  (SELECT count(DISTINCT dst) FROM edges WHERE dst NOT IN (SELECT doc_url FROM v_doc WHERE c_custkey % 3 = 0)) AS added,
+  count(*) FILTER (WHERE fail_class IS NOT NULL OR error_kind IS NULL AND status = 410) AS errors, count(*) >= 5000 AS budget_hit,
+  (SELECT count(*) FROM v_doc WHERE state IN ('pending', 'claimed')) AS remaining FROM o""")
 def batch_summary(v):
-    return crawl.batch_summary(outcomes(v), crawl.frontier_depth(v.doc), 5000)
+    enqueued = graph.new_links(graph.knows_edges(v.triple), v.doc.filter("c_custkey % 3 = 0"))
+    return crawl.batch_summary(outcomes(v), crawl.frontier_depth(v.doc), enqueued, 5000)

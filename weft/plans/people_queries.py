@@ -9,7 +9,7 @@ from weft.functions.urls import slug
 from weft.operators import entries, erase, intake, stats, tables
 from weft.plans.scalar_queries import SLUG_SQL
 from weft.plans.triple_queries import _GATE, _SERVED, _contribution, gate, served
-from weft.plans.views import ISSUER, KNOWS, NAME, NOW
+from weft.plans.views import ISSUER, KNOWS, NAME, NOW, STORAGE
 from weft.registry import query
 
 _DAY = 86_400_000
@@ -185,15 +185,24 @@ def inbox_redact(v):
     return erase.inbox_redact(inbox, objects, _erased(v))[0]
 
 
+#: Others are projected from documents of the erased, and of people who stay.
+_KEPT = """SELECT * FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7)
+  UNION ALL SELECT s, p, o, o_is_iri, webid, doc_url FROM v_variant WHERE c_custkey % 10 = 3"""
+
+
+def _projected(v):
+    return v.triple.unionByName(v.variant.drop("c_custkey"))
+
+
 @query(f"""SELECT 'doc' AS surface, doc_url AS key, state AS value FROM ({_REDACTED}) UNION ALL
-SELECT 'triple', webid, CAST(count(*) AS VARCHAR) FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) GROUP BY webid UNION ALL
+SELECT 'triple', webid, CAST(count(*) AS VARCHAR) FROM ({_KEPT}) GROUP BY webid UNION ALL
 SELECT 'tombstone', webid, reason FROM ({_MERGED}) UNION ALL SELECT 'inbox', CAST(id AS VARCHAR), body FROM ({_INBOX}) UNION ALL
 SELECT 'object', CAST(event_id AS VARCHAR), object FROM v_suggest_object WHERE object NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) UNION ALL
-SELECT 'stats', k, CAST(v AS VARCHAR) FROM (WITH kept AS (SELECT * FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7)) {_contribution('kept')})""", name="erase")
+SELECT 'stats', k, CAST(v AS VARCHAR) FROM (WITH kept AS ({_KEPT}) {_contribution('kept')})""", name="erase")
 def erase_people(v):
     inbox, objects = _inbox(v)
     docs = v.doc.filter("c_custkey % 20 != 7").select("doc_url", "state", "webid", "label")
-    before = erase.Index(docs, v.triple, stats.contributions(v.triple), v.tombstone, inbox, objects)
+    before = erase.Index(docs, _projected(v), stats.contributions(_projected(v)), v.tombstone, inbox, objects)
     after = erase.erase(before, _erased(v))
     row = lambda df, name, key, value: df.select(F.lit(name).alias("surface"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
     return (
@@ -206,16 +215,17 @@ def erase_people(v):
     )
 
 
-@query("SELECT webid, count(*) AS n FROM v_triple WHERE webid NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) GROUP BY webid")
+@query(f"SELECT webid, count(*) AS n FROM ({_KEPT}) GROUP BY webid")
 def tombstone_doc(v):
-    _, kept, _ = erase.tombstone_doc(v.doc.select("doc_url", "state", "webid", "label"), v.triple, stats.contributions(v.triple), _erased(v).select("doc_url"))
+    triples = _projected(v)
+    _, kept, _ = erase.tombstone_doc(v.doc.select("doc_url", "state", "webid", "label"), triples, stats.contributions(triples), _erased(v).select("doc_url"))
     return kept.groupBy("webid").agg(F.count("*").alias("n"))
 
 
 # Entries and lookups.
 
 _PROFILE = f"""SELECT webid, min(CASE WHEN p = '{NAME}' THEN o END) AS name, CAST(NULL AS VARCHAR) AS photo, coalesce(list_sort(list(DISTINCT o) FILTER (WHERE p = '{ISSUER}')), []) AS issuers,
-  CAST([] AS VARCHAR[]) AS storages, coalesce(list_sort(list(DISTINCT o) FILTER (WHERE p = '{KNOWS}'))[1:9], []) AS knows FROM v_triple GROUP BY webid"""
+  coalesce(list_sort(list(DISTINCT o) FILTER (WHERE p = '{STORAGE}')), []) AS storages, coalesce(list_sort(list(DISTINCT o) FILTER (WHERE p = '{KNOWS}'))[1:9], []) AS knows FROM v_triple GROUP BY webid"""
 
 
 @query(_PROFILE)
@@ -253,10 +263,17 @@ _IRI = {"FOAF": entries.FOAF, "DCT": entries.DCT, "IDX": entries.IDX, "SOLID": e
 
 
 @query(
-    f"""WITH {_GATE}, prof AS ({_PROFILE}), people AS (SELECT d.*, {SLUG_SQL.format('d.webid')} AS slug, prof.name, issuers, knows, CASE WHEN state <> 'done' THEN 'Unreachable' WHEN next_eligible_at > 0 AND next_eligible_at <= {NOW} THEN 'Stale' ELSE 'Live' END AS freshness
+    f"""WITH {_GATE}, prof AS ({_PROFILE}), people AS (SELECT d.*, {SLUG_SQL.format('d.webid')} AS slug, prof.name, issuers, storages, knows, CASE WHEN state <> 'done' THEN 'Unreachable' WHEN next_eligible_at > 0 AND next_eligible_at <= {NOW} THEN 'Stale' ELSE 'Live' END AS freshness
   FROM v_doc d JOIN prof USING (webid) WHERE d.webid NOT IN (SELECT webid FROM gate) AND d.state = 'done')
 SELECT concat('urn:entry:', slug) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{entries.IDX}Entry' AS o, 'iri' AS kind FROM people UNION ALL
-SELECT concat('urn:entry:', slug), '{entries.FOAF}primaryTopic', webid, 'iri' FROM people UNION ALL
+SELECT concat('urn:entry:', slug), 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{entries.FOAF}PersonalProfileDocument', 'iri' FROM people UNION ALL
+SELECT concat('urn:entry:', slug), unnest(['{entries.FOAF}primaryTopic', '{entries.FOAF}topic']), webid, 'iri' FROM people UNION ALL
+SELECT concat('urn:entry:', slug), '{entries.PROV}wasDerivedFrom', doc_url, 'iri' FROM people UNION ALL
+SELECT concat('urn:entry:', slug), '{entries.PROV}generatedAtTime', CAST(claimed_at AS VARCHAR), 'literal' FROM people UNION ALL
+SELECT concat('urn:entry:', slug), '{entries.VOID}inDataset', 'urn:dataset', 'iri' FROM people UNION ALL
+SELECT webid, '{entries.FOAF}isPrimaryTopicOf', concat('urn:entry:', slug), 'iri' FROM people UNION ALL
+SELECT webid, '{entries.RDFS}seeAlso', doc_url, 'iri' FROM people UNION ALL
+SELECT webid, '{STORAGE}', unnest(storages), 'iri' FROM people UNION ALL
 SELECT concat('urn:entry:', slug), '{entries.DCT}source', doc_url, 'iri' FROM people UNION ALL
 SELECT concat('urn:entry:', slug), '{entries.DCT}modified', CAST(claimed_at AS VARCHAR), 'literal' FROM people UNION ALL
 SELECT concat('urn:entry:', slug), '{entries.IDX}crawlState', concat('{entries.IDX}', freshness), 'iri' FROM people UNION ALL

@@ -11,9 +11,9 @@ from weft.registry import query
 
 _CANONICAL = r"""
 WITH parts AS (
-  SELECT page_id, url, regexp_extract(url, '^([a-zA-Z]+)://', 1) AS scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS auth,
-         regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query,
-         regexp_extract(url, '(#.*)$', 1) AS frag FROM v_url
+  SELECT page_id, url, regexp_extract(plain, '^([a-zA-Z]+)://', 1) AS scheme, regexp_extract(plain, '^[a-zA-Z]+://([^/?#]*)', 1) AS auth,
+         regexp_extract(plain, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(plain, '^[^?#]*([?][^#]*)', 1) AS query,
+         regexp_extract(plain, '(#.*)$', 1) AS frag FROM v_url
 ), keys AS (
   SELECT page_id, url, CASE WHEN lower(scheme) = 'https' AND NOT contains(auth, '@') THEN concat('https://', lower(regexp_replace(auth, ':443$', '')),
          CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/$', '') END, query) END AS doc_key, frag FROM parts
@@ -30,11 +30,11 @@ def canonical_webid(v):
     return v.url.select("page_id", u.canonical_webid(F.col("url")).alias("webid"))
 
 
-_BOTH = _CANONICAL.replace("FROM v_url", "FROM (SELECT page_id, url FROM v_url UNION ALL SELECT page_id, url FROM pages)")
+_BOTH = _CANONICAL.replace("FROM v_url", "FROM (SELECT page_id, url, plain FROM v_url UNION ALL SELECT page_id, url, url FROM pages)")
 
 
 def _same(v, key):
-    urls = v.url.unionByName(v.table("pages").select("page_id", "url"))
+    urls = v.url.select("page_id", "url").unionByName(v.table("pages").select("page_id", "url"))
     own = urls.select("page_id", key(F.col("url")).alias("k")).filter("k IS NOT NULL")
     groups = own.groupBy("k").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
     return groups.filter("n > 1")
@@ -63,7 +63,7 @@ def slug_valid(v):
     return v.person.select("c_custkey", u.slug_valid(F.substring(F.sha2("webid", 256), 1, 24)).alias("valid"))
 
 
-@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')) AS host FROM v_url")
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(plain, '^[a-z]+://([^/?#]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')) AS host FROM v_url")
 def host_of(v):
     return v.url.select("page_id", u.host_of(F.col("url")).alias("host"))
 
@@ -74,9 +74,11 @@ _V4 = """(NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31
 _OCTETS = "SELECT *, CAST(split_part(dotted, '.', 1) AS INT) AS a, CAST(split_part(dotted, '.', 2) AS INT) AS b, CAST(split_part(dotted, '.', 3) AS INT) AS c FROM v_ip"
 
 
-@query(f"SELECT event_id, {_V4} AS public FROM ({_OCTETS})")
+@query(f"SELECT event_id, 4 AS family, {_V4} AS public FROM ({_OCTETS}) UNION ALL SELECT event_id, 6, CASE WHEN inner_v4 THEN {_V4} ELSE known END FROM ({_OCTETS}) JOIN v_ip6 USING (event_id)")
 def ip_public(v):
-    return v.ip.select("event_id", u.ip_public(F.col("dotted")).alias("public"))
+    both = v.ip.select("event_id", F.lit(4).alias("family"), F.col("dotted").alias("host"))
+    both = both.union(v.ip6.select("event_id", F.lit(6), "host"))
+    return both.select("event_id", "family", u.ip_public(F.col("host")).alias("public"))
 
 
 @query("SELECT event_id, starts_with(dotted, '127.') AS loopback FROM v_ip")
@@ -84,7 +86,7 @@ def ip_loopback(v):
     return v.ip.select("event_id", u.ip_loopback(F.col("dotted")).alias("loopback"))
 
 
-@query("SELECT event_id, CASE WHEN form = 4 THEN host ELSE dotted END AS norm FROM v_ip")
+@query("SELECT event_id, CASE WHEN form IN (4, 7) THEN host ELSE dotted END AS norm FROM v_ip")
 def ip_normalise(v):
     return v.ip.select("event_id", u.ip_normalise(F.col("host")).alias("norm"))
 
@@ -96,8 +98,9 @@ def host_denied(v):
 
 
 @query(f"""
-SELECT event_id, CASE WHEN event_id % 7 = 1 THEN 'scheme' WHEN event_id % 7 = 2 THEN 'userinfo' WHEN event_id % 7 = 3 THEN 'port'
-  WHEN event_id % 7 = 4 THEN 'denied' WHEN form < 4 AND NOT {_V4} THEN 'address' END AS reason FROM ({_OCTETS})""")
+SELECT event_id, CASE WHEN form = 7 AND event_id % 7 <> 4 THEN 'parse' WHEN event_id % 7 = 1 THEN 'scheme' WHEN event_id % 7 = 2 THEN 'userinfo' WHEN event_id % 7 = 3 THEN 'port'
+  WHEN event_id % 7 = 4 THEN 'denied' WHEN form <> 4 AND NOT {_V4} THEN 'address' END AS reason FROM ({_OCTETS})
+UNION ALL SELECT event_id, CASE WHEN NOT CASE WHEN inner_v4 THEN {_V4} ELSE known END THEN 'address' END FROM ({_OCTETS}) JOIN v_ip6 USING (event_id)""")
 def admission_gate(v):
     k = F.col("event_id") % 7
     url = (
@@ -107,14 +110,15 @@ def admission_gate(v):
         .when(k == 4, F.concat(F.lit("https://"), "host", F.lit(".internal/")))
         .otherwise(F.concat(F.lit("https://"), "host", F.lit(":443/x?y#z")))
     )
-    return v.ip.select("event_id", u.admission_reason(url).alias("reason"))
+    urls = v.ip.select("event_id", url.alias("url")).union(v.ip6.select("event_id", F.concat(F.lit("https://["), "host", F.lit("]/"))))
+    return urls.select("event_id", u.admission_reason(F.col("url")).alias("reason"))
 
 
 @query(r"""
-SELECT doc_id, nullif(array_to_string(list_slice(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(label), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), lambda w: substr(w, 1, 32)), 1, 8), ' '), '') AS terms
+SELECT doc_id, nullif(array_to_string(list_slice(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), lambda w: substr(w, 1, 32)), 1, 8), ' '), '') AS terms
 FROM v_text""")
 def query_tokens(v):
-    return v.text.select("doc_id", F.array_join(c.query_tokens(F.col("label")), " ").alias("terms"))
+    return v.text.select("doc_id", F.array_join(c.query_tokens(F.col("body")), " ").alias("terms"))
 
 
 @query("SELECT event_id, CASE k % 9 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN true ELSE false END AS noindex FROM v_fetch")
@@ -124,9 +128,9 @@ def noindex_header(v):
 
 _OUTCOME = """
 WITH f AS (SELECT *, k % 9 IN (0, 1, 3, 5) AS noindex, k % 4 < 3 AS listed FROM v_fetch),
-g AS (SELECT *, noindex OR status IN (304) OR status >= 400 OR listed AS type_ok FROM f),
-h AS (SELECT *, CASE WHEN error_kind IS NOT NULL THEN 'pending' WHEN noindex AND status = 200 THEN 'tombstone' WHEN NOT type_ok THEN 'skipped'
-  WHEN status = 304 THEN 'done' WHEN status = 200 THEN 'parse' WHEN status = 410 THEN 'tombstone' WHEN status IN (503, 429) THEN 'pending' ELSE 'skipped' END AS next_state FROM g),
+g AS (SELECT *, noindex OR status IN (204, 205, 304) OR status >= 400 OR listed AS type_ok FROM f),
+h AS (SELECT *, CASE WHEN error_kind = 'too-large' THEN 'skipped' WHEN error_kind IS NOT NULL THEN 'pending' WHEN noindex AND status = 200 THEN 'tombstone' WHEN NOT type_ok THEN 'skipped'
+  WHEN status = 304 THEN 'done' WHEN status IN (200, 204) THEN 'parse' WHEN status = 410 THEN 'tombstone' WHEN status IN (503, 429) THEN 'pending' ELSE 'skipped' END AS next_state FROM g),
 o AS (SELECT *, CASE next_state WHEN 'pending' THEN 'transient' WHEN 'skipped' THEN 'deterministic' END AS fail_class FROM h)
 """
 
@@ -138,10 +142,11 @@ def content_type_ok(v):
 
 
 def outcomes(v):
-    """Fetch results with noindex, next_state and fail_class."""
+    """Fetch results with noindex, type_ok, next_state and fail_class."""
     f = v.fetch.withColumn("noindex", c.noindex_header(F.col("robots_header")))
     ok = c.content_type_ok(F.col("content_type"), F.col("status"), F.col("noindex"))
-    found = f.withColumn("o", c.fetch_outcome(F.col("status"), F.col("error_kind"), F.col("noindex"), ok))
+    f = f.withColumn("type_ok", ok)
+    found = f.withColumn("o", c.fetch_outcome(F.col("status"), F.col("error_kind"), F.col("noindex"), F.col("type_ok")))
     return found.withColumns({"next_state": F.col("o.next_state"), "fail_class": F.col("o.fail_class")}).drop("o")
 
 
@@ -150,12 +155,24 @@ def fetch_outcome(v):
     return outcomes(v).select("event_id", "next_state", "fail_class")
 
 
-@query("SELECT doc_id, strlen(body) <= 4096 AS fits, strlen(body) AS bytes FROM v_text")
+_SHORT = 20_000  # bytes; small tables too have longer texts
+
+
+@query(f"""SELECT doc_id, strlen(body) AS bytes, strlen(body) <= 65536 AS inbox_fits, CASE WHEN strlen(body) > 262144 THEN 'too-large' WHEN n > 50000 THEN 'too-many-triples' END AS verdict,
+  CASE WHEN strlen(body) > {_SHORT} THEN 'too-large' WHEN n > 500 THEN 'too-many-triples' END AS small_verdict
+FROM (SELECT *, len(string_split(body, ' ')) AS n FROM v_text)""")
 def size_caps(v):
-    return v.text.select("doc_id", (F.octet_length("body") <= 4096).alias("fits"), F.octet_length("body").cast("long").alias("bytes"))
+    size, n = F.octet_length("body"), F.size(F.split("body", " "))
+    return v.text.select(
+        "doc_id",
+        size.cast("long").alias("bytes"),
+        c.size_verdict(size, c.INBOX_BYTES).isNull().alias("inbox_fits"),
+        c.size_verdict(size, triples=n).alias("verdict"),
+        c.size_verdict(size, _SHORT, n, 500).alias("small_verdict"),
+    )
 
 
-_RETRY = "CASE k % 5 WHEN 0 THEN 120000 WHEN 1 THEN greatest(0, 1704603600000 - fetched_at) WHEN 3 THEN 0 END"
+_RETRY = "CASE k % 8 WHEN 0 THEN 120000 WHEN 1 THEN greatest(0, 1704603600000 - fetched_at) WHEN 3 THEN 0 WHEN 4 THEN 3153600000000 END"
 
 
 @query(f"SELECT event_id, CAST({_RETRY} AS BIGINT) AS delay FROM v_fetch")
@@ -242,9 +259,10 @@ NOTIFICATION_SQL = f"""concat((SELECT string_agg(substr({_CROCKFORD}, 1 + CAST((
   (SELECT string_agg(substr({_CROCKFORD}, 1 + CAST((CAST(concat('0x', substr(sha256(concat('event', event_id)), 1 + 5 * (i // 4), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1), '' ORDER BY i) FROM range(16) AS r(i)))"""
 
 
-@query(f"SELECT event_id, {NOTIFICATION_SQL} AS id, true AS valid FROM v_suggest")
+@query(f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('01HQ', lpad(CAST(event_id AS VARCHAR), 22, '0')) ELSE {NOTIFICATION_SQL} END AS id, true AS valid FROM v_suggest")
 def notification_id(v):
-    made = c.notification_id(F.col("at_ms").cast("long"), F.concat(F.lit("event"), "event_id"))
+    given = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("01HQ"), F.lpad(F.col("event_id").cast("string"), 22, "0"))).when(F.col("event_id") % 3 == 1, F.lit("mine"))
+    made = c.notification_key(given, F.col("at_ms").cast("long"), F.concat(F.lit("event"), "event_id"))
     return v.suggest.select("event_id", made.alias("id")).withColumn("valid", c.notification_id_valid(F.col("id")))
 
 
@@ -268,12 +286,9 @@ def suggest_outcome(v):
 
 @query("SELECT event_id, event_type NOT IN ('view', 'click', 'error') AS rejected FROM events")
 def enum_check(v):
-    from weft.operators.tables import enum_rejects
+    from weft.operators.tables import enum_rejected
 
-    events = v.table("events")
-    bad = enum_rejects(events, {"event_type": ["view", "click", "error"]})
-    marked = events.join(bad.select("event_id", F.lit(True).alias("rejected")), "event_id", "left")
-    return marked.select("event_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+    return v.table("events").select("event_id", enum_rejected({"event_type": ["view", "click", "error"]}).alias("rejected"))
 
 
 @query(_CANONICAL + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://known', page_id, '.example/#me') ELSE doc_key || '#me' END AS subject FROM keys")

@@ -28,14 +28,15 @@ qt AS (SELECT query_id, unnest(list_distinct(words)) AS term, len(list_distinct(
 dfs AS (SELECT term, count(*) AS df FROM idx WHERE term IN (SELECT term FROM qt) GROUP BY term),
 totals AS (SELECT count(*) AS docs, avg(n) AS mean FROM sizes),
 met AS (SELECT query_id, n_terms, doc_url, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS score
-  FROM (SELECT qt.query_id, qt.n_terms, qt.term, idx.doc_url, CAST({weight} * label_tf + body_tf AS DOUBLE) AS tf FROM qt JOIN idx ON qt.term = idx.term) AS m
+  FROM (SELECT qt.query_id, qt.n_terms, qt.term, idx.doc_url, CAST({weight} * label_tf + body_tf AS DOUBLE) AS tf FROM qt JOIN idx ON qt.term = idx.term
+        WHERE doc_url NOT IN (SELECT doc_url FROM v_text WHERE state = 'tombstone')) AS m
   JOIN dfs USING (term) JOIN sizes USING (doc_url), totals),
 ranked AS (SELECT query_id, doc_url, round(sum(score), 6) AS rank FROM met GROUP BY query_id, n_terms, doc_url HAVING count(*) = n_terms)
 """
 
 
 _ONE = "SELECT 1 AS query_id, ['er', 'ti'] AS words"
-_MANY = f"SELECT doc_id AS query_id, {_words('label')}[1:3] AS words FROM v_text WHERE doc_id % 50 = 0"
+_MANY = f"SELECT doc_id AS query_id, {_words('label')} AS words FROM v_text WHERE doc_id % 50 = 0"
 
 
 def _one(v):
@@ -47,29 +48,35 @@ def postings_build(v):
     return search.postings(v.text)
 
 
+def _hidden(v):
+    return v.text.filter("state = 'tombstone'")
+
+
+def _rank(v, queries, **more):
+    return search.rank(queries, search.asked_postings(queries, v.text), search.lengths(v.text), hidden=_hidden(v), **more)
+
+
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url FROM ranked")
 def search_match(v):
-    return search.match(_one(v), search.postings(v.text))
+    return search.match(_one(v), search.asked_postings(_one(v), v.text), _hidden(v))
 
 
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url, rank FROM ranked")
 def search_rank(v):
-    return search.rank(_one(v), search.postings(v.text), search.lengths(v.text))
+    return _rank(v, _one(v))
 
 
 @query(_ranked(_ONE, 0) + "SELECT query_id, doc_url, rank FROM ranked")
 def search_unweighted(v):
-    return search.rank(_one(v), search.postings(v.text), search.lengths(v.text), label_weight=0.0)
+    return _rank(v, _one(v), label_weight=0.0)
 
 
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url, rank FROM ranked WHERE rank < 2.0 OR (rank = 2.0 AND doc_url > 'https://d5') ORDER BY rank DESC, doc_url LIMIT 21")
 def search_page(v):
-    ranked = search.rank(_one(v), search.postings(v.text), search.lengths(v.text))
-    return search.page(ranked, 20, (2.0, "https://d5"))
+    return search.page(_rank(v, _one(v)), 20, (2.0, "https://d5"))
 
 
 @query(_ranked(_MANY, 10) + "SELECT query_id, doc_url, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_url) AS place FROM ranked) WHERE place <= 10")
 def bulk_search(v):
-    words = F.slice(search.terms(F.col("label")), 1, 3)
-    queries = v.text.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), words.alias("words"))
-    return search.top(search.rank(queries, search.postings(v.text), search.lengths(v.text)), 10)
+    queries = v.text.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), search.terms(F.col("label")).alias("words"))
+    return search.top(_rank(v, queries), 10)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from weft.functions import crawl as rules
 from weft.plans import people_queries  # noqa: F401
+from weft.operators import stats
 from weft.plans.scalar_queries import _OUTCOME
-from weft.plans.views import KNOWS, NOW, Views
+from weft.plans.triple_queries import _contribution
+from weft.plans.views import NOW, Views
 from weft.registry import ORACLE_SQL, query
 from weft.streaming import run, streams
 
@@ -39,17 +41,18 @@ def _fetches(v):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     e = _events(v).withColumn("k", k)
     status = (
-        F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 304).when(F.col("event_type") == "purchase", 503)
+        F.when(F.col("event_type") == "view", F.when(F.col("k") % 6 == 5, 204).otherwise(200)).when(F.col("event_type") == "click", 304).when(F.col("event_type") == "purchase", 503)
         .when(F.col("event_type") == "signup", 429).when(F.col("k") % 2 == 0, 410).otherwise(404)
     )
     header = F.element_at(F.lit(["noindex", "", "all, nofollow", "bot: noindex", "bot: nofollow", "odd", None, None, None]), (F.col("k") % 9 + 1).cast("int"))
     media = F.element_at(F.lit(["text/turtle; charset=utf-8", "application/ld+json", "Text/N3", "text/html"]), (F.col("k") % 4 + 1).cast("int"))
+    m = F.col("k") % 11
     f = e.select(
         "event_id",
         F.concat(F.lit("https://c"), F.col("user_id") % people_count, F.lit(".example/card")).alias("doc_url"),
         F.concat(F.lit("t"), F.col("k") % 3).alias("claim_token"),
         F.col("at_ms").alias("fetched_at"),
-        F.when(F.col("k") % 11 == 0, "timeout").alias("error_kind"),
+        F.when(m == 0, "timeout").when(m == 1, "network").when(m == 2, "too-large").when(m == 3, "unheard-of").alias("error_kind"),
         status.alias("status"),
         rules.noindex_header(header).alias("noindex"),
         media.alias("media"),
@@ -89,25 +92,60 @@ def activity_windows(v):
     return v.spark.read.schema(counts.schema).parquet(folder)
 
 
-@query(f"SELECT 'triples' AS k, count(*) AS v FROM orders UNION ALL SELECT 'p:{KNOWS}', count(*) FROM orders")
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events),
+marked AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 1800000 THEN 0 ELSE 1 END AS fresh FROM e),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+SELECT user_id, min(ms) AS start_ms, count(*) AS n FROM numbered GROUP BY user_id, session""")
+def activity_sessions(v):
+    found = streams.sessions(_events(v).withColumn("at", F.timestamp_millis("at_ms")), "at", "user_id")
+    counts = found.select("user_id", F.unix_millis("session_window.start").alias("start_ms"), "n")
+    folder = run.shared_folder(v.spark)
+    run.drain(counts, "complete", lambda batch, _: batch.write.mode("overwrite").parquet(folder))
+    return v.spark.read.schema(counts.schema).parquet(folder)
+
+
+@query(_contribution("v_new"))
 def stats_stream(v):
-    links = run.landed(v.spark, v.sf_dir, "orders").select(F.lit(KNOWS).alias("p"), "o_orderkey")
-    counters = streams.RunningStats(v.spark, run.shared_folder(v.spark))
-    run.drain(links, each=counters)
+    """People are projected anew as they land: their triples of ``v_old`` give way to those of ``v_new``."""
+    counters = streams.RunningStats(v.spark, run.shared_folder(v.spark), stats.contributions(v.old))
+
+    def each(batch, batch_id):
+        own = Views(batch.sparkSession, v.sf_dir)
+        people = batch.select(F.concat(F.lit("https://c"), "c_custkey", F.lit(".example/card#me")).alias("webid"))
+        counters(own.old.join(people, "webid", "left_semi"), own.new.join(people, "webid", "left_semi"), batch_id)
+
+    run.drain(run.landed(v.spark, v.sf_dir, "customer", files=1), each=each)
     return counters.read()
 
 
-@query()
+_INTAKE = f"""
+WITH RECURSIVE good AS (SELECT * FROM v_suggest WHERE type IN ('Announce', 'Offer', 'Add') AND n_objects BETWEEN 1 AND 10),
+hits AS MATERIALIZED (SELECT concat('ip:', user_id) AS key, at_ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS r FROM good),
+fold(key, at_ms, id, r, start, n) AS (SELECT key, at_ms, id, r, at_ms, 1 FROM hits WHERE r = 1 UNION ALL
+  SELECT h.key, h.at_ms, h.id, h.r, CASE WHEN f.start + {_DAY} <= h.at_ms THEN h.at_ms ELSE f.start END, CASE WHEN f.start + {_DAY} <= h.at_ms THEN 1 ELSE f.n + 1 END
+  FROM fold f JOIN hits h ON h.key = f.key AND h.r = f.r + 1),
+granted AS (SELECT id, row_number() OVER (PARTITION BY at_ms // {_DAY} ORDER BY at_ms, id) <= 20 AS admitted FROM fold WHERE n <= 2),
+level AS (SELECT webid, doc_url, CASE WHEN state = 'tombstone' THEN 3 WHEN state IN ('done', 'skipped', 'failed', 'blocked') AND {NOW} - (c_custkey % 14) * {_DAY} > {NOW} - 7 * {_DAY} THEN 2 ELSE 1 END AS level FROM v_doc WHERE c_custkey % 5 > 0
+  UNION ALL SELECT webid, doc_url, 3 FROM v_tombstone),
+top AS (SELECT webid, max(level) AS level FROM level GROUP BY webid),
+cand AS (SELECT g.id, g.admitted, o.i % 4 = 3 AS http, coalesce(t.level, 0) AS level FROM granted g JOIN v_suggest_object o ON o.event_id = g.id LEFT JOIN top t ON t.webid = o.object),
+sums AS (SELECT id, count(*) FILTER (WHERE NOT http AND level = 0 AND admitted) AS a, count(*) FILTER (WHERE NOT http AND level = 0 AND NOT admitted) AS d,
+  count(*) FILTER (WHERE NOT http AND level = 3) AS t, count(*) FILTER (WHERE NOT http AND level IN (1, 2)) AS k FROM cand GROUP BY id)
+SELECT event_id AS id, CASE WHEN a > 0 THEN 'accepted' WHEN d > 0 THEN 'deferred' WHEN t > 0 AND sums.k = 0 THEN 'refused' WHEN sums.k > 0 THEN 'already' WHEN a = 0 THEN 'invalid'
+  WHEN event_id IN (SELECT id FROM hits) THEN 'rate-limited' ELSE 'invalid' END AS decision FROM v_suggest LEFT JOIN sums ON event_id = sums.id"""
+
+
+@query(_INTAKE)
 def intake_stream(v):
-    folder = run.shared_folder(v.spark)
+    """Some candidates are spelt otherwise than their keys, and some are not https."""
+    docs = v.doc.filter("c_custkey % 5 > 0").withColumn("terminal_at", F.lit(NOW) - (F.col("c_custkey") % 14) * _DAY)
+    take = streams.Intake(v.spark, run.shared_folder(v.spark), docs, v.tombstone, NOW, 20, (_DAY, 2))
 
     def each(batch, batch_id):
         own = Views(batch.sparkSession, v.sf_dir)
         own._made["events"] = batch.drop("at_ms")
-        docs = own.doc.filter("c_custkey % 5 > 0").withColumn("terminal_at", F.lit(NOW) - (F.col("c_custkey") % 14) * _DAY)
-        objects = own.suggest_object.select(F.col("event_id").alias("id"), F.col("object").alias("webid"))
-        decided = streams.intake_batch(own.suggest, objects, docs, own.tombstone, NOW, 20, (_DAY, 2))
-        decided.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        raw = F.when(F.col("i") % 4 == 3, F.replace("object", F.lit("https:"), F.lit("http:"))).when(F.col("i") % 4 == 2, F.replace("object", F.lit(".example/"), F.lit(".Example:443/x/../")))
+        take(own.suggest, own.suggest_object.select(F.col("event_id").alias("id"), F.coalesce(raw, "object").alias("webid")), batch_id)
 
     run.drain(_events(v), each=each)
-    return v.spark.read.schema("id long, decision string").parquet(folder).select("id", "decision")
+    return take.read()

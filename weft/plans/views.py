@@ -10,6 +10,7 @@ RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 FOAF = "http://xmlns.com/foaf/0.1/"
 PERSON, AGENT, NAME, KNOWS = FOAF + "Person", FOAF + "Agent", FOAF + "name", FOAF + "knows"
 ISSUER = "http://www.w3.org/ns/solid/terms#oidcIssuer"
+STORAGE = "http://www.w3.org/ns/pim/space#storage"
 #: "Now" of every query: 2024-01-07T04:00:00Z, inside the events' range.
 NOW = 1704600000000
 TABLES = (
@@ -25,8 +26,11 @@ SELECT c_custkey, concat('https://c', c_custkey, '.example/card#me') AS webid, c
 SELECT webid AS s, '{RDF_TYPE}' AS p, '{PERSON}' AS o, true AS o_is_iri, webid, doc_url FROM v_person
 UNION ALL SELECT webid, '{NAME}', name, false, webid, doc_url FROM v_person
 UNION ALL SELECT webid, '{ISSUER}', concat('https://idp', c_nationkey, '.example'), true, webid, doc_url FROM v_person WHERE solid
+UNION ALL SELECT webid, '{STORAGE}', concat('https://s', c_custkey, '.example/'), true, webid, doc_url FROM v_person WHERE solid AND c_custkey % 3 > 0
 UNION ALL SELECT webid, '{KNOWS}', concat('https://c', o_orderkey % (SELECT count(*) FROM customer), '.example/card#me'), true, webid, doc_url
 FROM orders JOIN v_person ON o_custkey = c_custkey""",
+    "v_variant": f"""
+SELECT concat(webid, '-old') AS s, '{NAME}' AS p, name AS o, false AS o_is_iri, concat(webid, '-old') AS webid, doc_url, c_custkey FROM v_person WHERE c_custkey % 10 IN (3, 7)""",
     "v_tombstone": """
 SELECT concat('https://c', c_custkey, '.example/card#me') AS webid, concat('https://c', c_custkey, '.example/card') AS doc_url,
        CASE c_custkey % 4 WHEN 0 THEN 'opt-out' WHEN 1 THEN 'erasure' WHEN 2 THEN 'abuse' ELSE 'noindex' END AS reason,
@@ -40,25 +44,29 @@ SELECT c_custkey, doc_url, webid, concat('c', c_custkey, '.example') AS host,
        concat('e', c_custkey % 3) AS etag, CASE WHEN c_custkey % 5 > 0 THEN concat('h', c_custkey % 4) END AS content_hash,
        solid AS is_solid, c_custkey % 13 = 0 AS noindex, name AS label,
        CASE WHEN c_custkey % 3 > 0 THEN concat('root', c_custkey % 20) END AS root_seed FROM v_person""",
+    # ``plain`` is a form of ``url`` whose key can be read off it.
     "v_url": """
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat(scheme, upper(host), path, tail)
-         WHEN 2 THEN concat(scheme, host, ':443', path, tail) WHEN 3 THEN concat(scheme, 'user@', host, path, tail)
-         WHEN 4 THEN concat(scheme, host, path, '/', tail) ELSE concat(regexp_extract(url, '^([^#]*)', 1), '#me') END AS url
+SELECT page_id, CASE page_id % 10 WHEN 1 THEN concat(scheme, upper(host), path, tail) WHEN 6 THEN concat(scheme, host, '/a/./b/../%2E%2e', path, tail)
+         WHEN 7 THEN concat(scheme, host, path, '/ é', tail) WHEN 8 THEN concat(scheme, 'bücher.', host, path, tail)
+         WHEN 9 THEN concat(' ', scheme, host, replace(path, '/', chr(92)), tail) ELSE plain END AS url, plain
+FROM (SELECT *, CASE page_id % 10 WHEN 2 THEN concat(scheme, host, ':443', path, tail) WHEN 3 THEN concat(scheme, 'user@', host, path, tail)
+         WHEN 4 THEN concat(scheme, host, path, '/', tail) WHEN 5 THEN concat(regexp_extract(url, '^([^#]*)', 1), '#me')
+         WHEN 7 THEN concat(scheme, host, path, '/%20%C3%A9', tail) WHEN 8 THEN concat(scheme, 'xn--bcher-kva.', host, path, tail) ELSE url END AS plain
 FROM (SELECT page_id, url, regexp_extract(url, '^([a-z]+://)', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
-             regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(.*)$', 1) AS tail FROM pages) AS parts""",
+             regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(.*)$', 1) AS tail FROM pages) AS parts) AS forms""",
     "v_text": """
-SELECT doc_id, concat('https://d', doc_id, '.example/card') AS doc_url, regexp_extract(substr(text, 1, 60), '^([^.]*)', 1) AS label, text AS body
-FROM documents""",
+SELECT doc_id, concat('https://d', doc_id, '.example/card') AS doc_url, regexp_extract(substr(text, 1, 60), '^([^.]*)', 1) AS label, text AS body,
+       CASE WHEN doc_id % 17 = 3 THEN 'tombstone' ELSE 'done' END AS state FROM documents""",
     "v_fetch": """
 SELECT event_id, user_id % (SELECT count(*) FROM customer) AS c_custkey, concat('https://c', user_id % (SELECT count(*) FROM customer), '.example/card') AS doc_url, k,
        concat('c', user_id % (SELECT count(*) FROM customer), '.example') AS host,
-       CASE WHEN k % 11 = 0 THEN 'timeout' END AS error_kind,
+       CASE k % 11 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network' WHEN 2 THEN 'too-large' WHEN 3 THEN 'unheard-of' END AS error_kind,
        CASE k % 4 WHEN 0 THEN 'text/turtle; charset=utf-8' WHEN 1 THEN 'application/ld+json' WHEN 2 THEN 'Text/N3' ELSE 'text/html' END AS content_type,
        concat('t', k % 3) AS claim_token, at_ms AS fetched_at,
-       CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 304 WHEN 'purchase' THEN 503 WHEN 'signup' THEN 429
+       CASE event_type WHEN 'view' THEN CASE WHEN k % 6 = 5 THEN 204 ELSE 200 END WHEN 'click' THEN 304 WHEN 'purchase' THEN 503 WHEN 'signup' THEN 429
                        ELSE CASE WHEN k % 2 = 0 THEN 410 ELSE 404 END END AS status,
        CASE k % 9 WHEN 0 THEN 'noindex' WHEN 1 THEN '' WHEN 2 THEN 'all, nofollow' WHEN 3 THEN 'bot: noindex' WHEN 4 THEN 'bot: nofollow' WHEN 5 THEN 'odd' END AS robots_header,
-       CASE k % 5 WHEN 0 THEN '120' WHEN 1 THEN 'Sun, 07 Jan 2024 05:00:00 GMT' WHEN 2 THEN 'soon' WHEN 3 THEN '-5' END AS retry_after,
+       CASE k % 8 WHEN 0 THEN '120' WHEN 1 THEN 'Sun, 07 Jan 2024 05:00:00 GMT' WHEN 2 THEN 'soon' WHEN 3 THEN '-5' WHEN 4 THEN '1e30' WHEN 5 THEN 'Infinity' WHEN 6 THEN 'NaN' END AS retry_after,
        CASE WHEN k % 3 > 0 THEN concat('e', k % 3) END AS etag
 FROM (SELECT event_id, user_id, event_type, {ms} AS at_ms, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) AS e""",
     "v_hit": "SELECT event_id AS id, concat('ip:', user_id) AS key, {ms} AS at_ms FROM events",
@@ -85,12 +93,23 @@ SELECT s, p, o, o_is_iri, s AS webid, doc_url FROM (SELECT *, concat('https://l'
                   CASE n WHEN 0 THEN '{PERSON}' WHEN 1 THEN concat('Line ', l_orderkey) WHEN 2 THEN concat('https://idp', l_suppkey % 25, '.example')
                          WHEN 3 THEN concat('https://l', l_partkey, '-1.example/card#me') ELSE concat('https://l', l_suppkey, '-2.example/card#me') END AS o, n <> 1 AS o_is_iri) AS t""",
     "v_ip": """
-SELECT event_id, event_id % 5 AS form, CASE event_id % 5 WHEN 0 THEN concat(a, '.', b, '.', c, '.', d) WHEN 1 THEN concat('', ((a * 256 + b) * 256 + c) * 256 + d)
-         WHEN 2 THEN concat(a, '.', b * 65536 + c * 256 + d) WHEN 3 THEN concat(a, '.', b, '.', c * 256 + d) ELSE concat('h', a, '.example') END AS host,
+SELECT event_id, event_id % 9 AS form, CASE event_id % 9 WHEN 0 THEN concat(a, '.', b, '.', c, '.', d) WHEN 1 THEN concat('', ((a * 256 + b) * 256 + c) * 256 + d)
+         WHEN 2 THEN concat(a, '.', b * 65536 + c * 256 + d) WHEN 3 THEN concat(a, '.', b, '.', c * 256 + d) WHEN 4 THEN concat('h', a, '.example')
+         WHEN 5 THEN concat('0x00', lower(hex(((a * 256 + b) * 256 + c) * 256 + d))) WHEN 6 THEN concat('0', CAST(floor(a / 64) AS INT), CAST(floor(a / 8) AS INT) % 8, a % 8, '.', b, '.', c, '.', d)
+         WHEN 7 THEN concat('0xfffffffffffffffff', a) ELSE concat(a, '.', b, '.', c, '.', d, '.') END AS host,
        concat(a, '.', b, '.', c, '.', d) AS dotted
 FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 192 WHEN 1 THEN 172 ELSE event_id * 37 % 256 END AS a,
              CASE event_id % 3 WHEN 0 THEN 168 - event_id % 2 WHEN 1 THEN event_id % 40 ELSE event_id * 11 % 256 END AS b,
              event_id * 7 % 256 AS c, event_id * 13 % 256 AS d FROM events) AS x""",
+    # ``inner``: public is what the address inside is.
+    "v_ip6": """
+SELECT event_id, form IN (0, 1, 7, 8) AS inner_v4, form = 9 AS known,
+       CASE form WHEN 0 THEN concat('::ffff:', dotted) WHEN 1 THEN concat('0:0:0:0:0:FFFF:', high, ':', low) WHEN 2 THEN concat('::', dotted) WHEN 3 THEN concat('::', high, ':', low)
+         WHEN 4 THEN '0::1' WHEN 5 THEN concat('fe80::', low) WHEN 6 THEN concat('fd00::', low) WHEN 7 THEN concat('2002:', high, ':', low, '::1')
+         WHEN 8 THEN concat('64:ff9b::', dotted) ELSE concat('2606:4700::', low) END AS host
+FROM (SELECT event_id, event_id % 10 AS form, dotted, lower(hex(a * 256 + b)) AS high, lower(hex(c * 256 + d)) AS low
+      FROM (SELECT event_id, dotted, CAST(split_part(dotted, '.', 1) AS INT) AS a, CAST(split_part(dotted, '.', 2) AS INT) AS b,
+                   CAST(split_part(dotted, '.', 3) AS INT) AS c, CAST(split_part(dotted, '.', 4) AS INT) AS d FROM v_ip) AS parts) AS x""",
 }
 
 _MS = {"spark": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)", "duckdb": "(epoch_us(ts) // 1000)"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.triples import TERMS, line, to_ntriples
+from weft.operators.triples import TERMS, line
 
 
 def manifest(numbered: DataFrame) -> DataFrame:
@@ -19,8 +19,3 @@ def write_dump(numbered: DataFrame, folder: str) -> None:
     """Write the pages as N-Triples files in one folder for each page number."""
     statement = line(*[F.col(c) for c in TERMS]).alias("value")
     numbered.select("page_no", statement).write.partitionBy("page_no").text(folder)
-
-
-def write_ntriples(triples: DataFrame, folder: str) -> None:
-    """Write distinct statements as N-Triples text."""
-    to_ntriples(triples).write.text(folder)

@@ -2,49 +2,82 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.operators.tables import checkpoint_dir
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where driver and executors can both write."""
-    place = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="weft-stream-")
-    return f"{place}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+class Versions:
+    """A table of small state that each micro-batch writes anew under its id, in a shared folder, so that it outlives the driver."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def ids(self) -> list[int]:
+        """Ids of the complete versions, ascending."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted(int(n) for n in names if n.lstrip("-").isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        """The newest version older than ``batch_id``."""
+        older = [n for n in self.ids() if n < batch_id]
+        return self.spark.read.parquet(f"{self.folder}/{older[-1]}") if older else None
+
+    def put(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+
+    def has(self, batch_id: int) -> bool:
+        return batch_id in self.ids()
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
+def landed(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, at most ``files`` in a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # A pattern, since a stream's plain path must be a folder and the table may be one file.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, seconds: int = 600) -> str:
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
     """Run ``stream`` until all landed rows are through; returns the folder that holds its output as Parquet.
 
     With ``each`` a batch goes to each(batch, batch_id) instead of the folder. State is kept in RocksDB, in as many
-    partitions as the session shuffles into. A stream that does not end in time is stopped with an error.
+    partitions as the session shuffles into.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # State that expires by the clock would ask for batches without data for ever.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
         writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{folder}/out")
         running = writer.start()
         try:
-            if not running.awaitTermination(seconds):
-                raise TimeoutError("the stream did not end in time")
+            running.awaitTermination()
         finally:
             running.stop()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return f"{folder}/out"
 
 

@@ -9,20 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from weft.functions.crawl import MAX_ATTEMPTS
+from weft.functions.crawl import MAX_ATTEMPTS, RECRAWL_OTHER
+from weft.functions.urls import admission_reason, canonical_doc_url, canonical_webid
 from weft.operators import intake, stats
+from weft.operators.tables import cut
+from weft.streaming.run import Versions
 
 DAY = 86_400_000
+REST = 2 * RECRAWL_OTHER
 
 
 class RateProcessor(StatefulProcessor):
-    """Fixed window anchored at a key's first hit; refused hits count."""
+    """Fixed window anchored at a key's first hit; refused hits count. A key that rests for two windows is forgotten."""
 
     def __init__(self, window: int, limit: int):
         self.window, self.limit = window, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start long, n long")
+        self.state = handle.getValueState("window", "start long, n long", ttlDurationMs=2 * self.window)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (None, 0)
@@ -43,10 +47,11 @@ class RateProcessor(StatefulProcessor):
 
 
 class CrawlProcessor(StatefulProcessor):
-    """State of a document from its fetch results: transient failures in a row fail it in the end, anything else resets them."""
+    """State of a document from its fetch results: transient failures in a row fail it in the end, anything else resets them. Failures
+    are forgotten when a document has not been fetched for twice its longest interval."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("failures", "n long")
+        self.state = handle.getValueState("failures", "n long", ttlDurationMs=REST)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         failures = self.state.get()[0] if self.state.exists() else 0
@@ -71,7 +76,7 @@ class NonceProcessor(StatefulProcessor):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("nonce", "issued long, seen boolean")
+        self.state = handle.getValueState("nonce", "issued long, seen boolean", ttlDurationMs=2 * self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         issued, seen = self.state.get() if self.state.exists() else (None, False)
@@ -95,21 +100,21 @@ class NonceProcessor(StatefulProcessor):
 def rate_stream(hits: DataFrame, window: int, limit: int) -> DataFrame:
     """Stream form of :func:`weft.operators.intake.rate_limit`."""
     return hits.groupBy("key").transformWithStateInPandas(
-        RateProcessor(window, limit), "key string, at_ms long, id long, n long, granted boolean", "Append", "None"
+        RateProcessor(window, limit), "key string, at_ms long, id long, n long, granted boolean", "Append", "ProcessingTime"
     )
 
 
 def crawl_state_stream(results: DataFrame) -> DataFrame:
     """(event_id, doc_url, state, failures) after each fetch result (doc_url, event_id, fetched_at, next_state, fail_class)."""
     return results.groupBy("doc_url").transformWithStateInPandas(
-        CrawlProcessor(), "event_id long, doc_url string, state string, failures long", "Append", "None"
+        CrawlProcessor(), "event_id long, doc_url string, state string, failures long", "Append", "ProcessingTime"
     )
 
 
 def nonce_stream(events: DataFrame, ttl: int = DAY) -> DataFrame:
     """Stream form of :func:`weft.operators.erase.nonce_consume`."""
     return events.groupBy("webid").transformWithStateInPandas(
-        NonceProcessor(ttl), "event_id long, webid string, confirmed boolean", "Append", "None"
+        NonceProcessor(ttl), "event_id long, webid string, confirmed boolean", "Append", "ProcessingTime"
     )
 
 
@@ -134,35 +139,78 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap)).agg(F.count("*").alias("n"))
 
 
-def intake_batch(suggestions: DataFrame, objects: DataFrame, docs: DataFrame, tombstones: DataFrame, now: int, daily: int, rate: tuple[int, int]) -> DataFrame:
-    """(id, decision) of one batch of notifications (event_id, at_ms, user_id, type, n_objects): type, bounds, rate, status and daily cap in turn."""
-    good = suggestions.filter(F.col("type").isin(intake.ACCEPTED_TYPES) & F.col("n_objects").between(1, intake.MOST_OBJECTS))
-    hits = good.select(F.concat(F.lit("ip:"), "user_id").alias("key"), "at_ms", F.col("event_id").alias("id"))
-    granted = intake.rate_limit(hits, *rate).filter("granted").select("id", "at_ms")
-    admitted = intake.daily_admission(granted, daily).select("id", "admitted")
-    candidates = objects.join(admitted, "id")
-    known = intake.suggestion_status(candidates.withColumn("doc_url", F.regexp_replace("webid", "#.*", "")), docs, tombstones, now)
-    decided = intake.intake_decision(known.select("id", "status", "admitted"))
-    refused = suggestions.select(F.col("event_id").alias("id")).join(decided, "id", "left_anti")
-    limited = refused.join(good.select(F.col("event_id").alias("id")), "id", "left_semi").select("id", F.lit("rate-limited").alias("decision"))
-    return decided.union(limited).union(refused.join(limited, "id", "left_anti").select("id", F.lit("invalid").alias("decision")))
+class Intake:
+    """Decisions on notifications in ``foreachBatch``: type, bounds, rate, admission, canonical keys, status and daily cap in turn.
+
+    Rate windows and each day's admissions are carried from batch to batch in ``folder``, so however the input is cut into batches in its order, the decisions are the
+    same. A replayed batch starts from what the batches before it left and writes the same rows again.
+    """
+
+    def __init__(self, spark, folder: str, docs: DataFrame, tombstones: DataFrame, now: int, daily: int, rate: tuple[int, int]):
+        self.docs, self.tombstones, self.now, self.daily, self.rate = docs, tombstones, now, daily, rate
+        self.windows, self.days, self.decisions = (Versions(spark, f"{folder}/{name}") for name in ("windows", "days", "decisions"))
+
+    def __call__(self, suggestions: DataFrame, objects: DataFrame, batch_id: int) -> None:
+        """Decide on a batch (event_id, at_ms, user_id, type, n_objects) with its candidates (id, webid)."""
+        good = suggestions.filter(F.col("type").isin(intake.ACCEPTED_TYPES) & F.col("n_objects").between(1, intake.MOST_OBJECTS))
+        hits = good.select(F.concat(F.lit("ip:"), "user_id").alias("key"), "at_ms", F.col("event_id").alias("id"))
+        windows, days = self.windows.before(batch_id), self.days.before(batch_id)
+        numbered = cut(intake.rate_limit(hits, *self.rate, carried=windows))
+        granted = cut(intake.daily_admission(numbered.filter("granted").select("id", "at_ms"), self.daily, days))
+        candidates = objects.select("id", F.col("webid").alias("raw")).join(granted.select("id", "admitted"), "id")
+        refused = admission_reason(F.col("raw")).isNotNull()
+        keyed = candidates.select("id", "admitted", canonical_webid(F.col("raw")).alias("webid"), canonical_doc_url(F.col("raw")).alias("doc_url"), refused.alias("refused"))
+        known = intake.suggestion_status(keyed, self.docs, self.tombstones, self.now)
+        status = F.when(F.col("refused") | F.col("webid").isNull(), F.lit("refused")).otherwise(F.col("status"))
+        decided = intake.intake_decision(known.select("id", status.alias("status"), "admitted"))
+        rest = suggestions.select(F.col("event_id").alias("id")).join(decided, "id", "left_anti")
+        limited = rest.join(good.select(F.col("event_id").alias("id")), "id", "left_semi").select("id", F.lit("rate-limited").alias("decision"))
+        all_ = decided.union(limited).union(rest.join(limited, "id", "left_anti").select("id", F.lit("invalid").alias("decision")))
+        self.decisions.put(all_, batch_id)
+        self.windows.put(self._windows(numbered, windows), batch_id)
+        self.days.put(self._days(granted, days), batch_id)
+
+    def _windows(self, numbered: DataFrame, old: DataFrame | None) -> DataFrame:
+        """The last window (key, start, n) of each key that has not been over for a window's length."""
+        width = self.rate[0]
+        last = numbered.groupBy("key").agg(F.max(F.struct("at_ms", "n"))["n"].alias("n"), F.max("at_ms").alias("at"))
+        began = numbered.filter("n = 1").groupBy("key").agg(F.max("at_ms").alias("start"))
+        new = last.join(began, "key", "left")
+        if old is None:
+            return new.select("key", "start", "n")
+        both = new.join(old.select("key", F.col("start").alias("old_start"), F.col("n").alias("old_n")), "key", "full_outer")
+        kept = both.select("key", F.coalesce("start", "old_start").alias("start"), F.coalesce("n", "old_n").alias("n"))
+        latest = numbered.agg(F.max("at_ms")).first()[0]
+        return kept if latest is None else kept.filter(F.col("start") > latest - 2 * width)
+
+    def _days(self, granted: DataFrame, old: DataFrame | None) -> DataFrame:
+        """(day, n): admissions so far."""
+        new = granted.filter("admitted").groupBy(F.floor(F.col("at_ms") / DAY).alias("day")).agg(F.count("*").alias("n"))
+        return (new if old is None else new.union(old.select("day", "n"))).groupBy("day").agg(F.sum("n").alias("n"))
 
+    def read(self) -> DataFrame:
+        """(id, decision) of all batches."""
+        done = self.decisions
+        return done.spark.read.parquet(*[f"{done.folder}/{n}" for n in done.ids()])
 
-class RunningStats:
-    """Counters kept by deltas in ``foreachBatch``: each batch writes a new version named after it, so a replayed batch
-    finds its version written and is not applied twice."""
-
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder, self.version = spark, folder, None
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        path = f"{self.folder}/{batch_id}"
-        by_p = batch.groupBy("p").agg(F.count("*").alias("v"))
-        change = by_p.select(F.concat(F.lit("p:"), "p").alias("k"), "v").union(by_p.select(F.lit("triples").alias("k"), "v"))
-        change = change.groupBy("k").agg(F.sum("v").alias("v"))
-        old = self.spark.read.parquet(f"{self.folder}/{self.version}") if self.version is not None else change.limit(0)
-        stats.apply(old, change).write.mode("overwrite").parquet(path)
-        self.version = batch_id
+class RunningStats:
+    """Counters (k, v) kept by signed deltas in ``foreachBatch``: each batch writes a new version named after it. The newest older
+    version is found in the folder, also after a restart, and a replayed batch whose version is complete is not applied twice.
+    """
+
+    def __init__(self, spark, folder: str, start: DataFrame | None = None):
+        self.versions = Versions(spark, folder)
+        if start is not None and not self.versions.ids():
+            self.versions.put(start, -1)
+
+    def __call__(self, old: DataFrame, new: DataFrame, batch_id: int) -> None:
+        """Triples ``old`` are replaced by ``new``, both those of the same people."""
+        if self.versions.has(batch_id):
+            return
+        change = stats.delta(old, new)
+        before = self.versions.before(batch_id)
+        self.versions.put(stats.apply(before if before is not None else change.limit(0), change), batch_id)
 
     def read(self) -> DataFrame:
-        return stats.visible(self.spark.read.parquet(f"{self.folder}/{self.version}"))
+        return stats.visible(self.versions.before(1 << 62))
