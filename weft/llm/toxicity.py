@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
 A text is folded character by character (case, accents, homoglyphs, digits and signs that stand
-for letters), so a match keeps its place. Terms count as whole words; a match inside an exception phrase
+for letters; marks and characters without width are passed over), and each folded character knows its place, so a match does. Terms count as whole words,
+also where blanks or signs stand between all their letters; a match inside an exception phrase
 does not count. The weights of the matches, as a sum and normalised by the text's length, give a score between 0 and
 1. Weights and the two coefficients are fitted to labelled rows.
 """
@@ -52,20 +53,23 @@ THRESHOLD = 0.3
 #: Word stems that are looked for in toxic training rows without a known term: their lengths, the rows that must have
 #: one (and the share of those rows), and the share of the training rows with it that must be toxic.
 STEM_LENGTHS, STEM_ROWS, STEM_SHARE, STEM_PRECISION = (4, 5, 6), 4, 0.005, 0.8
-MOST_STEMS = 2_000
+#: Letters in a row, each by itself, that are read as spelled-out words.
+SPELLED = 4
 
 
 @lru_cache(maxsize=1)
 def _folding() -> np.ndarray:
-    """Code point -> folded byte; 0x7F for what folds to nothing known."""
+    """Code point -> folded byte; 0x7F for what folds to nothing known, 0 for what is passed over."""
     table = np.full(0x110000, 0x7F, np.uint8)
-    for code in range(0x2000):
+    for code in range(0x110000):
         c = chr(code)
-        base = unicodedata.normalize("NFKD", c)[:1].lower()
-        if base.isascii() and base:
-            table[code] = ord(base)
-    for code in range(0xFF01, 0xFF5F):  # full-width forms
-        table[code] = ord(chr(code - 0xFEE0).lower())
+        kind = unicodedata.category(c)
+        if kind in ("Mn", "Me", "Cf"):
+            table[code] = 0
+        elif code < 128 or unicodedata.decomposition(c):
+            base = unicodedata.normalize("NFKD", c)[:1].lower()
+            if base.isascii():
+                table[code] = ord(base) or 0x7F
     for code in [*range(9, 14), 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000]:
         table[code] = 32
     for letter, like in LOOKALIKES.items():
@@ -123,24 +127,28 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
         own = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), first - first[0])
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         folded = _folding()[points]
+        place = np.flatnonzero(folded)  # of each folded character, among all
+        zero, own = own, np.searchsorted(place, own)
+        points, folded = points[place], folded[place]
         blank = np.append(folded == 32, True)
         begins = np.append(True, blank[:-1][: len(points)]) if len(points) else np.zeros(1, bool)
         begins = begins[: len(points)].copy()
         begins[own[:-1][own[:-1] < len(points)]] = True
         n_words = np.diff(np.append(0, np.cumsum(begins & ~blank[:-1]))[own]) if len(points) else np.zeros(len(part), int)
         matches: list[list[tuple[int, int, float]]] = [[] for _ in range(len(part))]
+        inside = _inside_word()[points]
         hits = [
             (end + 1 - length, end + 1, weight, stem)
             for end, (length, weight, stem) in automaton.iter(folded.tobytes().decode("latin-1"))
         ]
-        if hits:
-            inside = _inside_word()
+        spelled = _spelled(automaton, folded, inside, own)
+        if hits or spelled:
             rows = np.searchsorted(own, [h[0] for h in hits], "right") - 1
             covers: dict[int, list[tuple[int, int]]] = {}
-            whole = []
+            whole = [(int(np.searchsorted(own, start, "right")) - 1, start, end, weight) for start, end, weight in spelled]
             for row, (start, end, weight, stem) in zip(rows.tolist(), hits):
                 low, high = own[row], own[row + 1]
-                if end > high or start > low and inside[points[start - 1]] or not stem and end < high and inside[points[end]]:
+                if end > high or start > low and inside[start - 1] or not stem and end < high and inside[end]:
                     continue
                 if weight is None:
                     covers.setdefault(row, []).append((start, end))
@@ -168,8 +176,8 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
                     "matches": [
                         {
                             "term": folded[s:e].tobytes().decode("latin-1"),
-                            "start": int(s - own[row]),
-                            "end": int(e - own[row]),
+                            "start": int(place[s] - zero[row]),
+                            "end": int(place[e - 1] + 1 - zero[row]),
                             "weight": w,
                         }
                         for s, e, w in found
@@ -179,6 +187,27 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
     return out
 
 
+def _spelled(automaton, folded: np.ndarray, inside: np.ndarray, own: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of terms whose letters stand one by one, with one other character between each two."""
+    n = len(folded)
+    if n < 2 * SPELLED - 1:
+        return []
+    edge = np.zeros(n + 1, bool)
+    edge[own] = True
+    before = np.append(True, ~inside[:-1]) | edge[:-1]
+    after = np.append(~inside[1:], True) | edge[1:]
+    single = np.flatnonzero(inside & before & after)
+    text = np.searchsorted(own, single, "right")
+    joins = (np.diff(single) == 2) & (text[1:] == text[:-1])
+    out = []
+    for run in np.split(single, np.flatnonzero(~joins) + 1):
+        if len(run) >= SPELLED:
+            for end, (length, weight, stem) in automaton.iter(folded[run].tobytes().decode("latin-1")):
+                if weight is not None and not stem and length >= SPELLED:
+                    out.append((int(run[end + 1 - length]), int(run[end]) + 1, weight))
+    return out
+
+
 KIND = "struct<score:double,weight:double,n_words:long,matches:array<struct<term:string,start:long,end:long,weight:double>>>"
 
 
@@ -211,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexico
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
     known = bounded_sample(known, rows, known.count(), "doc_id", "toxic")  # bounded, so it may be broadcast
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))
+    # A doc_id can stand on many rows.
+    sample = cut(bounded_sample(sample, rows, sample.count(), "doc_id", "text", "toxic").select("text", "toxic"))
     start = Lexicon()
     found = score(sample, start)
     terms = found.select("toxic", F.explode(F.array_distinct("toxicity.matches.term")).alias("term"))
@@ -244,10 +275,12 @@ def _stems(missed: DataFrame, good: DataFrame) -> list[tuple[str, int, int]]:
     in_good = good.select(stem).groupBy("stem").agg(F.count("*").alias("m"))
     few = in_missed.filter(F.col("n") >= least).join(in_good, "stem", "left").na.fill(0)
     few = few.filter(F.col("n") >= STEM_PRECISION * (F.col("n") + F.col("m") + 1))
-    counts = {r.stem: (r.n, r.m) for r in few.orderBy(F.desc("n"), F.desc(F.length("stem")), "stem").limit(MOST_STEMS).collect()}
+    few = cut(few)  # each marks a share of a bounded number of rows, so they are few
+    counts = {r.stem: (r.n, r.m) for r in few.collect()}
     # A greedy cover: each stem must mark rows that the stems before it do not.
-    own = missed.select(F.filter(F.array_distinct(cuts), lambda s: s.isin(list(counts)))).collect() if counts else []
-    open_rows, chosen = [set(r[0]) for r in own if r[0]], []
+    marked = missed.select(F.monotonically_increasing_id().alias("row"), stem).join(F.broadcast(few.select("stem")), "stem")
+    own = marked.groupBy("row").agg(F.collect_set("stem").alias("stems")).collect() if counts else []
+    open_rows, chosen = [set(r.stems) for r in own], []
     while open_rows:
         left = Counter(stem for row in open_rows for stem in row)
         best = max(left, key=lambda stem: (left[stem], len(stem), stem))
