@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from .common import spaced_words
@@ -95,21 +96,30 @@ def merge_parts(parts: DataFrame, key: str, column: str = "sketch", k: int = K)
 def with_next(docs: DataFrame, order: str, columns: dict[str, str], tie: Column, prepare=None) -> DataFrame:
     """``docs`` with the next row's values by ascending ``order``, ties by ``tie``; the first row follows the last.
 
-    columns: {existing column: name for the next row's value}. Rows go by one shuffle to buckets of neighbouring
+    columns: {existing column: name for the next row's value}. ``tie`` is a long, a hash. Rows go by one shuffle to buckets of neighbouring
     keys; each bucket also gets a copy of the first row of the next, so no order over all rows in
-    one task is needed. prepare(df) may add columns after the shuffle. Null keys come first.
+    one task is needed. A key of very many rows is cut into buckets by ranges of ``tie``. prepare(df) may add columns after the shuffle. Null keys come first.
     """
     count = docs.count()
     buckets = max(1, min(1 << 16, -(-count // ROWS_PER_BUCKET)))
-    cuts = docs.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    docs = docs.withColumn("__bucket", _bucket(F.col(order), sorted({int(c) for c in cuts})))
+    even = max(ROWS_PER_BUCKET, -(-count // buckets))
+    large = {r[0]: -(-r["n"] // even) for r in docs.groupBy(order).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * even).collect()}
+    # A large key, of which there are fewer than buckets, is a cut and so the last of its bucket.
+    cuts = sorted({*_cuts(docs, order, buckets, count), *(k for k in large if k is not None)})
+    docs = docs.withColumn("__bucket", _bucket(F.col(order), cuts))
+    kind = docs.schema[order].dataType.simpleString()
+    sizes = docs.sparkSession.createDataFrame(list(large.items()), f"__large {kind}, __pieces long")
+    share = (F.shiftright(tie, 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+    piece = F.when(F.col("__pieces").isNull(), 0).otherwise(1 + F.least(F.floor(share * F.col("__pieces")), F.col("__pieces") - 1))
+    docs = docs.join(F.broadcast(sizes), F.col(order).eqNullSafe(F.col("__large")), "left")
+    docs = docs.withColumn("__bucket", F.col("__bucket") * F.lit(1 << 32) + piece).drop("__large", "__pieces")
     heads = docs.groupBy("__bucket").agg(F.min(F.struct(F.col(order).isNotNull(), F.col(order), tie)).alias("head"))
     known = sorted((r["__bucket"], *r["head"][1:]) for r in heads.collect())  # one row for each bucket
     spark = docs.sparkSession
     to = {b: known[i - 1][0] for i, (b, *_) in enumerate(known)}
     rows = [(b, to[b], k, t) for b, k, t in known]
     kinds = dict(docs.select(F.col(order).alias("key"), tie.alias("tie")).dtypes)
-    head = spark.createDataFrame(rows, f"__bucket int, __to int, __key {kinds['key']}, __tie {kinds['tie']}")
+    head = spark.createDataFrame(rows, f"__bucket long, __to long, __key {kinds['key']}, __tie {kinds['tie']}")
     marked = docs.withColumn("__tie_of", tie).join(F.broadcast(head), "__bucket", "left")
     first = F.col(order).eqNullSafe(F.col("__key")) & F.col("__tie_of").eqNullSafe(F.col("__tie"))
     places = F.when(
@@ -130,16 +140,27 @@ def with_next(docs: DataFrame, order: str, columns: dict[str, str], tie: Column,
     return dealt.filter("__copy = 0").drop("__bucket", "__copy", "__tie_of")
 
 
-def _bucket(key: Column, cuts: list[int], block: int = 256) -> Column:
-    """Number of cuts below the key: first the block of cuts, then the place in it. Null keys are in bucket 0."""
+def _cuts(docs: DataFrame, order: str, buckets: int, count: int) -> list:
+    """Ascending keys between buckets of about even rows; any keys would do."""
+    if buckets < 2:
+        return []
+    if isinstance(docs.schema[order].dataType, NumericType):
+        found = docs.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.2 / buckets)
+        return sorted({int(c) for c in found})
+    some = sorted(r[0] for r in docs.select(order).dropna().sample(min(1.0, 20 * buckets / count), seed=1).collect())
+    return sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []
+
+
+def _bucket(key: Column, cuts: list, block: int = 256) -> Column:
+    """1 and the number of cuts below the key: first the block of cuts, then the place in it. Null keys are in bucket 0."""
     if not cuts:
-        return F.lit(0)
+        return F.when(key.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
     blocks = [cuts[i : i + block] for i in range(0, len(cuts), block)]
     below = lambda marks: F.size(F.filter(marks, lambda c: c < key))
     at = below(F.lit([b[-1] for b in blocks]))
     inner = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.least(at, F.lit(len(blocks) - 1)) + 1)
     place = F.when(at == len(blocks), F.lit(len(cuts))).otherwise(at * block + below(inner))
-    return F.when(key.isNull(), F.lit(0)).otherwise(place).cast("int")
+    return F.when(key.isNull(), F.lit(0)).otherwise(place + 1).cast("long")
 
 
 def op2(docs: DataFrame) -> DataFrame:
