@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.operators.tables import cut  # noqa: F401
+
 #: A driver-side lookup is broadcast up to this many rows; beyond it the operators join by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -25,23 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    place = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not place:
-        place = tempfile.mkdtemp(prefix="weft-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so lost executors cost no recomputation of the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, _UPPER, _UPPER.lower())
