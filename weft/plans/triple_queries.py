@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.operators import gates, stats, tables, triples
 from weft.plans.views import KNOWS, NAME, NOW, PERSON, RDF_TYPE
 from weft.registry import query
+from weft.streaming import run
 
 _GATE = "gate AS (SELECT webid, doc_url FROM v_tombstone UNION SELECT webid, doc_url FROM v_doc WHERE state = 'tombstone')"
 _SERVED = f"""WITH {_GATE}, served AS (SELECT * FROM v_triple t WHERE NOT EXISTS (SELECT 1 FROM gate g WHERE g.webid = t.webid)
@@ -262,20 +263,28 @@ def schema_evolve(v):
 
 @query("SELECT event_id, doc_url, status, retry_after, fetched_at FROM v_fetch")
 def fetch_log_source(v):
-    from weft.sources.logs import parse_fetch_log
+    """JSON lines land as files and come back as a stream."""
+    from weft.sources.logs import read_fetch_stream
 
-    raw = v.fetch.select(F.to_json(F.struct("event_id", "doc_url", "status", "retry_after", "fetched_at")).alias("value"))
-    return parse_fetch_log(raw, "event_id long, doc_url string, status int, retry_after string, fetched_at long")
+    folder = run.shared_folder(v.spark)
+    v.fetch.select(F.to_json(F.struct("event_id", "doc_url", "status", "retry_after", "fetched_at")).alias("value")).write.text(folder)
+    return run.rows_of(read_fetch_stream(v.spark, folder, "event_id long, doc_url string, status int, retry_after string, fetched_at long"))
 
 
-@query("SELECT event_id, type IN ('Announce', 'Offer', 'Add') AS accepted, n_objects FROM v_suggest")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'media-type' WHEN event_id % 7 = 0 THEN 'json' END AS reject,
+  event_id % 5 > 0 AND event_id % 7 > 0 AND type IN ('Announce', 'Offer', 'Add') AS accepted, CASE WHEN event_id % 7 = 0 THEN 0 ELSE n_objects END AS n_objects FROM v_suggest""")
 def suggestion_source(v):
-    from weft.sources.logs import parse_suggestions
+    """Notifications land as files and come back as a stream; every seventh body is cut short, every fifth of another media type."""
+    from weft.sources.logs import read_suggestion_stream
 
     objects = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.concat(F.lit("https://c"), F.col("event_id") + i))
     body = F.to_json(F.struct(F.col("type"), F.slice(objects, 1, F.col("n_objects").cast("int")).alias("object")))
-    rows = parse_suggestions(v.suggest.select("event_id", F.lit("application/activity+json").alias("content_type"), body.alias("body")))
-    return rows.select("event_id", (F.col("reject").isNull() & F.col("accepted")).alias("accepted"), F.size("objects").cast("long").alias("n_objects"))
+    body = F.when(F.col("event_id") % 7 == 0, F.substring(body, 1, 9)).otherwise(body)
+    media = F.when(F.col("event_id") % 5 == 0, F.lit("text/html")).otherwise(F.lit("Application/Activity+JSON; charset=utf-8"))
+    folder = run.shared_folder(v.spark)
+    v.suggest.select("event_id", "at_ms", media.alias("content_type"), body.alias("body")).write.parquet(folder)
+    rows = run.rows_of(read_suggestion_stream(v.spark, folder))
+    return rows.select("event_id", "reject", (F.col("reject").isNull() & F.col("accepted")).alias("accepted"), F.size("objects").cast("long").alias("n_objects"))
 
 
 from weft.plans.scalar_queries import SLUG_SQL  # noqa: E402

@@ -36,11 +36,11 @@ def parse_suggestions(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_fetch_stream(spark, folder: str, schema: str):
-    """Landed crawl results as a stream of Parquet files."""
-    return spark.readStream.schema(schema).parquet(folder)
+def read_fetch_stream(spark, folder: str, schema: str) -> DataFrame:
+    """Crawl results that land in ``folder`` as text files of JSON lines, as a stream of rows."""
+    return parse_fetch_log(spark.readStream.text(folder), schema)
 
 
-def read_suggestion_stream(spark, folder: str):
-    """Landed notifications (content_type, body, event_id, at_ms) as a stream of Parquet files."""
-    return spark.readStream.schema("event_id long, at_ms long, content_type string, body string").parquet(folder)
+def read_suggestion_stream(spark, folder: str) -> DataFrame:
+    """Notifications (event_id, at_ms, content_type, body) that land in ``folder`` as Parquet files, as a stream of parsed ones."""
+    return parse_suggestions(spark.readStream.schema("event_id long, at_ms long, content_type string, body string").parquet(folder))
