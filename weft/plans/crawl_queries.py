@@ -27,7 +27,7 @@ def claim_batch(v):
     return crawl.claim(v.doc, NOW, 8, "run1").select("doc_url", "state", "claimed_at", "attempts", "claim_token")
 
 
-@query()
+@query(f"SELECT doc_url, CAST(CAST(concat('0x', substr(sha256(doc_url), 1, 8)) AS BIGINT) % 4 AS INT) AS worker FROM v_doc WHERE {_ELIGIBLE}")
 def claim_partition(v):
     return crawl.claim_partition(crawl.eligible(v.doc, NOW), 4).select("doc_url", "worker")
 

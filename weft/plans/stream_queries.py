@@ -77,10 +77,20 @@ def late_discard(v):
     return run.rows_of(streams.late_discard(_fetches(v).select("event_id", "doc_url", "claim_token"), v.doc).select("event_id", "kept"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'view')")
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('signup', 'view', 'purchase')),
+seen AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ms END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM e)
+SELECT event_id, concat('u', user_id) AS key, coalesce(ms < ended + {_DAY}, false) AS rests FROM seen WHERE event_type <> 'purchase'""")
 def cooldown_stream(v):
+    kind = F.when(F.col("event_type") == "purchase", "ended").otherwise("suggested").alias("kind")
+    events = _events(v).filter("event_type IN ('signup', 'view', 'purchase')")
+    return run.rows_of(streams.cooldown_stream(events.select(F.concat(F.lit("u"), "user_id").alias("key"), "event_id", "at_ms", kind), _DAY))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'view')")
+def repeat_stream(v):
+    """The events span less than the time within which a repeat is dropped."""
     moments = _events(v).filter("event_type IN ('signup', 'view')").withColumn("at", F.timestamp_millis("at_ms"))
-    return run.rows_of(streams.cooldown_stream(moments, "at", ["user_id"]))
+    return run.rows_of(streams.once_within(moments, "at", ["user_id"]))
 
 
 @query("SELECT event_type, (epoch_us(ts) // 3600000000) * 3600000 AS start_ms, count(*) AS n FROM events GROUP BY ALL")

@@ -118,9 +118,43 @@ def nonce_stream(events: DataFrame, ttl: int = DAY) -> DataFrame:
     )
 
 
-def cooldown_stream(suggestions: DataFrame, time: str, keys: list[str], days: int = 7) -> DataFrame:
-    """Suggestions without those of the same keys within ``days`` after one that passed."""
-    return suggestions.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark(keys).select(*keys)
+class CooldownProcessor(StatefulProcessor):
+    """Suggestions of a key rest for ``cooldown`` after its document has ended; what is forgotten after twice that no longer matters."""
+
+    def __init__(self, cooldown: int):
+        self.cooldown = cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("ended", "at long", ttlDurationMs=2 * self.cooldown)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ended = self.state.get()[0] if self.state.exists() else None
+        events = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
+        ids, rests = [], []
+        for event, at, kind in zip(events["event_id"], events["at_ms"], events["kind"]):
+            if kind == "ended":
+                ended = int(at)
+                continue
+            ids.append(event)
+            rests.append(ended is not None and at < ended + self.cooldown)
+        if ended is not None:
+            self.state.update((ended,))
+        yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "key": key[0], "rests": pd.Series(rests, dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_stream(events: DataFrame, cooldown: int = intake.COOLDOWN) -> DataFrame:
+    """(event_id, key, rests) of each suggestion among events (key, event_id, at_ms, kind: ended or suggested)."""
+    return events.groupBy("key").transformWithStateInPandas(
+        CooldownProcessor(cooldown), "event_id long, key string, rests boolean", "Append", "ProcessingTime"
+    )
+
+
+def once_within(rows: DataFrame, time: str, keys: list[str], within: str = "7 days") -> DataFrame:
+    """``rows`` without repeats of the same keys within a time after one that passed: the cheap form for plain repeats."""
+    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
 def late_discard(completions: DataFrame, docs: DataFrame) -> DataFrame:
