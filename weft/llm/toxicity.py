@@ -241,8 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexico
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
     known = bounded_sample(known, rows, known.count(), "doc_id", "toxic")  # bounded, so it may be broadcast
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))
-    # A doc_id can stand on many rows.
-    sample = cut(bounded_sample(sample, rows, sample.count(), "doc_id", "text", "toxic").select("text", "toxic"))
+    if (found := sample.count()) > rows:  # a doc_id can stand on many rows
+        sample = cut(bounded_sample(sample, rows, found, "doc_id", "text", "toxic").repartition(-(-rows // 500)))
     start = Lexicon()
     found = score(sample, start)
     terms = found.select("toxic", F.explode(F.array_distinct("toxicity.matches.term")).alias("term"))
