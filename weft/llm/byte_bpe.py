@@ -27,9 +27,9 @@ from .common import Recent, held, with_struct
 #: Words that a worker process remembers.
 KNOWN_WORDS = 300_000
 #: Bytes of words contracted by one recursive query, about.
-BYTES_PER_QUERY = 1 << 17
+BYTES_PER_QUERY = 1 << 16
 #: Bytes of text whose distinct words are looked up together, about.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Words of more bytes are contracted by a query that takes several of a word's pairs in one step.
 LONG_WORD = 400
 
@@ -158,7 +158,7 @@ class Codec:
 
         self.ranks, self.pattern = ranks, pattern
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         pair, rank_of = array("q"), array("q")
         alone = set()
         for token, rank in ranks.items():
@@ -210,14 +210,14 @@ class Codec:
             k, ids = (rest["w"].to_numpy() << 32) | rest["place"].to_numpy(), rest["id"].to_numpy()
         return out
 
-    def learn(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as 32-bit numbers, decoded bytes) of distinct words."""
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
+    def learn(self, words: list[bytes]) -> list[bytes | tuple[bytes, bytes]]:
+        """Ids as 32-bit numbers of distinct words; with the decoded bytes where these are not the word itself."""
+        out: list[bytes | tuple[bytes, bytes]] = [b""] * len(words)
         hard = []
         for n, raw in enumerate(words):
             rank = self.ranks.get(raw)
             if rank is not None:
-                out[n] = np.int32(rank).tobytes(), raw
+                out[n] = np.int32(rank).tobytes()
             else:
                 hard.append((len(raw), n))
         hard.sort()
@@ -230,7 +230,7 @@ class Codec:
                 end += 1
             part = [n for _, n in hard[at:end]]
             for n, (ids, decoded) in zip(part, self._contract([words[n] for n in part], long), strict=True):
-                out[n] = ids, words[n] if decoded == words[n] else decoded  # one copy of equal bytes
+                out[n] = ids if decoded == words[n] else (ids, decoded)
             at = end
         return out
 
@@ -266,7 +266,8 @@ class Codec:
             starts, ends, own = self._tokens(data, first - first[0])
             words, word = tb.encode_words(np.frombuffer(data, np.uint8), starts, ends)
             found = self.known.get_all(words, self.learn)
-            ids, decoded = [x for x, _ in found], [x for _, x in found]
+            ids = [x if isinstance(x, bytes) else x[0] for x in found]
+            decoded = [w if isinstance(x, bytes) else x[1] for w, x in zip(words, found)]
             offsets = lambda x: np.concatenate([[0], np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))])
             first_id, ids = tb.gather(offsets(ids) // 4, np.frombuffer(b"".join(ids), np.int32), word)
             first_byte, decoded = tb.gather(offsets(decoded), np.frombuffer(b"".join(decoded), np.uint8), word)

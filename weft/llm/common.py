@@ -17,7 +17,7 @@ from weft.operators.tables import cut  # noqa: F401
 BROADCAST_ROWS = 100_000
 
 #: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -52,17 +52,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return free memory to the system: Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``batches``; then the worker, which Spark keeps for later tasks, gives its free memory back."""
+    """``batches``; now and then, and at the end, the worker gives its free memory back."""
     try:
-        yield from batches
+        for n, batch in enumerate(batches):
+            yield batch
+            if n % 4 == 3:
+                give_back()
     finally:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        give_back()
 
 
 _held: dict[str, tuple[Hashable, object]] = {}
