@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.tables import cut
+
 #: Keys are broadcast up to this many rows and bytes; beyond either the joins shuffle.
 BROADCAST_KEYS, BROADCAST_BYTES = 100_000, 16 << 20
 
@@ -25,20 +27,33 @@ def small(keys: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCA
     return F.broadcast(keys) if n <= most and total <= most_bytes else keys
 
 
+def _people(gate: DataFrame) -> DataFrame:
+    return small(gate.select("webid").distinct())
+
+
+def _without_subjects(triples: DataFrame, people: DataFrame) -> DataFrame:
+    return triples.join(people, "webid", "left_anti")
+
+
+def _without_objects(triples: DataFrame, people: DataFrame) -> DataFrame:
+    keys = people.select(F.col("webid").alias("gated"))
+    return triples.join(keys, (F.col("o") == F.col("gated")) & F.col("o_is_iri"), "left_anti")
+
+
 def gate_subject(triples: DataFrame, gate: DataFrame) -> DataFrame:
     """Triples whose owner is not gated; a null owner passes."""
-    return triples.join(small(gate.select("webid").distinct()), "webid", "left_anti")
+    return _without_subjects(triples, _people(gate))
 
 
 def gate_object(triples: DataFrame, gate: DataFrame) -> DataFrame:
     """Triples whose IRI object is no gated person; literals pass."""
-    keys = gate.select(F.col("webid").alias("gated")).distinct()
-    return triples.join(small(keys), (F.col("o") == F.col("gated")) & F.col("o_is_iri"), "left_anti")
+    return _without_objects(triples, _people(gate))
 
 
 def served(triples: DataFrame, gate: DataFrame) -> DataFrame:
-    """Triples that may be shown."""
-    return gate_object(gate_subject(triples, gate), gate)
+    """Triples that may be shown. The gated people are written once, as they are asked for twice."""
+    people = small(cut(gate.select("webid").distinct()))
+    return _without_objects(_without_subjects(triples, people), people)
 
 
 def gate_variant_key(people: DataFrame, gate: DataFrame) -> DataFrame:
