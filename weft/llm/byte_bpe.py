@@ -53,26 +53,38 @@ WITH RECURSIVE state(n, k, id, next) AS (
 )
 """
 
-#: The same contraction with several steps in one, so that a long word takes as many as it has ranks, not pairs. Once the leftmost pair of minimum rank is
-#: one token, the next leftmost pair of that rank is next, unless the new token makes a pair of lower rank: ``alone`` marks tokens that ever can.
-#: So all pairs of the minimum rank are taken, every other one in a run of overlapping pairs, and of ``alone`` ones the leftmost.
+#: The same contraction with several steps in one, so that a long word takes about as many as it has ranks, not pairs. When the leftmost pair of minimum
+#: rank has become one token, the next leftmost pair of that rank is next, unless the new token makes a pair of lower rank with a neighbour. So the pairs
+#: of the minimum rank are taken from the left, every other one in a run of overlapping pairs, up to the first whose token does.
 CONTRACT_LONG = """
-WITH RECURSIVE state(n, k, id, next, pair) AS (
-  SELECT 0, k, id, lead(k) OVER w, (id << 32) | lead(id) OVER w FROM positions WINDOW w AS (PARTITION BY k >> 32 ORDER BY k)
+WITH RECURSIVE state(n, k, id, next, after, pair, before, beyond) AS (
+  SELECT 0, k, id, lead(k) OVER w, lead(k, 2) OVER w, (id << 32) | lead(id) OVER w, lag(id) OVER w, lead(id, 2) OVER w
+  FROM positions WINDOW w AS (PARTITION BY k >> 32 ORDER BY k)
   UNION ALL
-  (WITH found AS (SELECT k, next, rank, alone FROM state JOIN merges USING (pair) WHERE n < {steps}),
+  (WITH found AS (SELECT state.*, rank FROM state JOIN merges USING (pair) WHERE n < {steps}),
   least AS (SELECT k >> 32 AS w, min(rank) AS rank FROM found GROUP BY k >> 32),
   ties AS (
-    SELECT k, next, found.rank, alone, row_number() OVER o AS place, lag(next) OVER o IS NOT DISTINCT FROM k AS follows
+    SELECT found.*, row_number() OVER o AS place, lag(next) OVER o IS NOT DISTINCT FROM k AS follows
     FROM found JOIN least ON k >> 32 = w AND found.rank = least.rank WINDOW o AS (PARTITION BY k >> 32 ORDER BY k)
   ),
   runs AS (SELECT *, max(CASE WHEN follows THEN 0 ELSE place END) OVER (PARTITION BY k >> 32 ORDER BY k) AS head FROM ties),
-  taken AS (SELECT k, next, rank FROM runs WHERE CASE WHEN alone THEN place = 1 ELSE (place - head) % 2 = 0 END),
+  every AS (
+    SELECT *, CASE WHEN lag(after) OVER (PARTITION BY k >> 32 ORDER BY k) IS NOT DISTINCT FROM k THEN rank ELSE before END AS left_id
+    FROM runs WHERE (place - head) % 2 = 0
+  ),
+  judged AS (
+    SELECT every.k, every.next, every.rank,
+           max(CASE WHEN a.rank < every.rank OR b.rank < every.rank THEN 1 ELSE 0 END)
+             OVER (PARTITION BY every.k >> 32 ORDER BY every.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop
+    FROM every LEFT JOIN merges a ON a.pair = (left_id << 32) | every.rank LEFT JOIN merges b ON b.pair = (every.rank << 32) | beyond
+  ),
+  taken AS (SELECT k, next, rank FROM judged WHERE coalesce(stop, 0) = 0),
   moved AS (
     SELECT n + 1 AS n, state.k, coalesce(taken.rank, id) AS id
     FROM state JOIN least ON state.k >> 32 = w LEFT JOIN taken ON state.k = taken.k ANTI JOIN taken AS gone ON state.k = gone.next
   )
-  SELECT n, k, id, lead(k) OVER w, (id << 32) | lead(id) OVER w FROM moved WINDOW w AS (PARTITION BY k >> 32 ORDER BY k))
+  SELECT n, k, id, lead(k) OVER w, lead(k, 2) OVER w, (id << 32) | lead(id) OVER w, lag(id) OVER w, lead(id, 2) OVER w
+  FROM moved WINDOW w AS (PARTITION BY k >> 32 ORDER BY k))
 )
 """
 
@@ -160,18 +172,13 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         pair, rank_of = array("q"), array("q")
-        alone = set()
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pair.append(left << 32 | right)
                     rank_of.append(rank)
-                    alone.update(x for x in (left, right) if rank < x)
-        rank_of = np.frombuffer(rank_of, np.int64)
-        self._load(
-            "merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": rank_of, "alone": np.isin(rank_of, sorted(alone))})
-        )
+        self._load("merges", pa.table({"pair": np.frombuffer(pair, np.int64), "rank": np.frombuffer(rank_of, np.int64)}))
         self._load(
             "vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "digits": [token.hex() for token in ranks]})
         )
