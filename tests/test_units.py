@@ -282,6 +282,15 @@ def test_one_form_of_paths_and_hosts(spark):
     assert column(spark, urls.canonical_doc_url, list(cases)) == list(cases.values())
 
 
+def test_quick_keys_are_the_keys(spark):
+    rng = random.Random(12)
+    parts = ["/", "//", "a", "b.c", ".", "..", "...", "?", "?q=/", "x", "#", "#me", "%2e", "é", ":443", "0", "@"]
+    some = ["https://x.org" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(600)]
+    assert sum(column(spark, lambda c: c.rlike(urls._PLAIN), some)) > 100
+    for own, whole in ((urls.canonical_doc_url, False), (urls.canonical_webid, True)):
+        assert column(spark, own, some) == column(spark, lambda c, w=whole: urls._canonical(c, w), some)
+
+
 def test_addresses_of_one_kind_inside_another(spark):
     private = ["::127.0.0.1", "::a00:1", "::7f00:1", "0::1", "::ffff:10.0.0.1", "0:0:0:0:0:ffff:a00:1", "64:ff9b::10.0.0.1", "2002:a00:1::", "fe80::1", "::"]
     public = ["::ffff:8.8.8.8", "64:ff9b::808:808", "2002:808:808::1", "2606:4700::1111"]

@@ -40,41 +40,53 @@ def let(value: Column, use) -> Column:
 def _clean(url: Column) -> Column:
     """A url without blanks around it, tabs and line ends, and with slashes for back slashes before the query."""
     text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    head = F.regexp_extract(text, r"^([^?#]*)", 1)
-    return F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(text, F.length(head) + 1, F.length(text)))
+    parts = lambda t: let(F.regexp_extract(t, r"^([^?#]*)", 1), lambda head: F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(t, F.length(head) + 1, F.length(t))))
+    return F.when(url.rlike(r"^[\x00-\x20]|[\x00-\x20]$|[\t\n\r\\]"), let(text, parts)).otherwise(url)
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(_clean(url), _URL, n)
+_PARTS = ["scheme", "authority", "path", "query", "fragment"]
+
+
+def _with_parts(url: Column, use) -> Column:
+    """``use(parts)`` with the parts of a url as a struct, found once."""
+    return let(_clean(url), lambda t: let(F.struct(*[F.regexp_extract(t, _URL, n + 1).alias(p) for n, p in enumerate(_PARTS)], t.alias("text")), use))
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    return F.lower(F.regexp_extract(_clean(url), _URL, 1))
 
 
 def authority(url: Column) -> Column:
-    return _part(url, 2)
+    return F.regexp_extract(_clean(url), _URL, 2)
 
 
-def _userinfo(url: Column) -> Column:
-    return F.regexp_extract(authority(url), "^(.*)@", 1)
+def _userinfo(authority_: Column) -> Column:
+    return F.regexp_extract(authority_, "^(.*)@", 1)
 
 
-def hostname(url: Column) -> Column:
-    """Host without userinfo and port, in lower case and ASCII, an IPv4 address as a dotted quad; empty where there is none."""
-    raw = F.regexp_extract(authority(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
+def _host(authority_: Column) -> Column:
+    raw = F.regexp_extract(authority_, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
 
     def normal(host: Column) -> Column:
         plain = F.when(host.contains("%"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host)
         # Only the JVM's own library knows how international names are written.
-        ascii_ = F.when(plain.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain), plain)).otherwise(plain)
-        return let(F.lower(ascii_), lambda h: F.when(h.rlike(_NUMERIC), ip_normalise(h)).otherwise(h))
+        ascii_ = lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), x), x)).otherwise(x)
+        return let(F.lower(let(plain, ascii_)), lambda h: F.when(h.rlike(_NUMERIC), ip_normalise(h)).otherwise(h))
+
+    return F.when(raw.rlike("^[a-z.-]*$"), raw).otherwise(let(raw, normal))
 
-    return let(raw, normal)
+
+def _port(authority_: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(authority_, r":([0-9]*)$", 1), "^0+(?=[0-9])", "")
+
+
+def hostname(url: Column) -> Column:
+    """Host without userinfo and port, in lower case and ASCII, an IPv4 address as a dotted quad; empty where there is none."""
+    return let(authority(url), _host)
 
 
 def port(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(authority(url), r":([0-9]*)$", 1), "^0+(?=[0-9])", "")
+    return _port(authority(url))
 
 
 def _percent(text: Column, signs: str) -> Column:
@@ -99,27 +111,49 @@ def _without_dots(path: Column) -> Column:
 
 
 def _canonical(url: Column, fragment: bool) -> Column:
-    path = _without_dots(_percent(_part(url, 3), _IN_PATH))
-    clean = let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(F.regexp_replace(p, "^(.+)/$", "$1")))
-    query = F.concat(F.substring(_part(url, 4), 1, 1), _percent(F.substring(_part(url, 4), 2, 1 << 30), _IN_QUERY))
-    keep_port = F.when(port(url).isin("", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port(url)))
-    tail = F.concat(query, F.substring(_part(url, 5), 1, 1), _percent(F.substring(_part(url, 5), 2, 1 << 30), _IN_FRAGMENT)) if fragment else query
-    valid = (scheme(url) == "https") & _userinfo(url).isin("", ":") & F.coalesce(port(url).try_cast("int") < 65536, port(url) == "")
+    encoded = lambda part, signs: F.concat(F.substring(part, 1, 1), _percent(F.substring(part, 2, 1 << 30), signs))
+    slash = lambda p: F.when(p == "", F.lit("/")).when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
 
-    def put(host: Column) -> Column:
-        return F.when(valid & host.rlike(_HOST) & ~(host.rlike(_NUMERIC) & ~is_ipv4(host)), F.concat(F.lit("https://"), host, keep_port, clean, tail))
+    def key(parts: Column) -> Column:
+        path = let(let(_percent(parts["path"], _IN_PATH), _without_dots), slash)
+        tail = F.concat(encoded(parts["query"], _IN_QUERY), encoded(parts["fragment"], _IN_FRAGMENT)) if fragment else encoded(parts["query"], _IN_QUERY)
+        named = F.struct(_host(parts["authority"]).alias("host"), _port(parts["authority"]).alias("port"))
 
-    return let(hostname(url), put)
+        def put(at: Column) -> Column:
+            host, port_ = at["host"], at["port"]
+            good = _userinfo(parts["authority"]).isin("", ":") & F.coalesce(port_.try_cast("int") < 65536, port_ == "")
+            good = good & host.rlike(_HOST) & ~(host.rlike(_NUMERIC) & ~is_ipv4(host))
+            keep = F.when(port_.isin("", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port_))
+            return F.when(good, F.concat(F.lit("https://"), host, keep, path, tail))
+
+        return F.when(F.lower(parts["scheme"]) == "https", let(named, put))
+
+    return _with_parts(url, key)
+
+
+#: Urls that are canonical but for an empty path or one slash too many: most of them, and cheap to tell.
+_SIGNS = r"\w~!$&()*+,;=:@."
+_PLAIN = (
+    r"^https://(?:[a-z0-9-]+\.)*[a-z][a-z0-9-]*(?:/(?!\.{1,2}(?:[/?#]|$))[" + _SIGNS + r"-]*)*"
+    r"(?:\?[" + _SIGNS + r"/?-]*)?(?:#[" + _SIGNS + r"/?-]*)?$"
+)
+
+
+def _quick(url: Column, fragment: bool) -> Column:
+    """The key of a url that is _PLAIN."""
+    whole = F.regexp_replace(F.regexp_extract(url, "^([^#]*)", 1), r"^(https://[^/?]*)(?=\?|$)", "$1/")
+    key = F.regexp_replace(whole, r"^(https://[^/?]+/[^?]*)/(?=\?|$)", "$1")
+    return F.concat(key, F.regexp_extract(url, "(#.*)$", 1)) if fragment else key
 
 
 def canonical_doc_url(url: Column) -> Column:
     """Document key: https only, no userinfo, one form of host and path, no port 443, one trailing slash less, no fragment; else null."""
-    return _canonical(url, False)
+    return F.when(url.rlike(_PLAIN), _quick(url, False)).otherwise(_canonical(url, False))
 
 
 def canonical_webid(url: Column) -> Column:
     """Person key: as the document key, with the fragment."""
-    return _canonical(url, True)
+    return F.when(url.rlike(_PLAIN), _quick(url, True)).otherwise(_canonical(url, True))
 
 
 def host_of(url: Column) -> Column:
@@ -277,17 +311,23 @@ def host_denied(host: Column, denied: list[str] = DENIED_HOSTS) -> Column:
 
 def admission_reason(url: Column, denied: list[str] = DENIED_HOSTS) -> Column:
     """Why a candidate url is refused: parse, scheme, userinfo, port, denied or address; null if admitted."""
-    bare = F.regexp_replace(hostname(url), r"^\[|\]$", "")
 
     def by_host(names: Column) -> Column:
         host, norm = names["host"], names["norm"]
         literal = is_ipv4(norm) | norm.contains(":")
         return F.when(host_denied(host, denied) | host_denied(norm, denied), F.lit("denied")).when(literal & ~ip_public(norm), F.lit("address"))
 
-    return (
-        F.when(url.isNull() | ~_clean(url).rlike(_URL) | (bare == "") | bare.rlike(_NUMERIC) & ~is_ipv4(bare) & ~bare.contains(":"), F.lit("parse"))
-        .when(scheme(url) != "https", F.lit("scheme"))
-        .when(~_userinfo(url).isin("", ":"), F.lit("userinfo"))
-        .when(~port(url).isin("", "443"), F.lit("port"))
-        .otherwise(let(let(bare, lambda h: F.struct(h.alias("host"), ip_normalise(h).alias("norm"))), by_host))
-    )
+    def judge(parts: Column) -> Column:
+        def of(bare: Column) -> Column:
+            return (
+                F.when((bare == "") | bare.rlike(_NUMERIC) & ~is_ipv4(bare) & ~bare.contains(":"), F.lit("parse"))
+                .when(F.lower(parts["scheme"]) != "https", F.lit("scheme"))
+                .when(~_userinfo(parts["authority"]).isin("", ":"), F.lit("userinfo"))
+                .when(~_port(parts["authority"]).isin("", "443"), F.lit("port"))
+                .otherwise(let(F.struct(bare.alias("host"), ip_normalise(bare).alias("norm")), by_host))
+            )
+
+        bare = F.regexp_replace(_host(parts["authority"]), r"^\[|\]$", "")
+        return F.when(~parts["text"].rlike(_URL), F.lit("parse")).otherwise(let(bare, of))
+
+    return F.when(url.isNull(), F.lit("parse")).otherwise(_with_parts(url, judge))
