@@ -1,4 +1,4 @@
-"""Operators for training-data pipelines: ten corpus operators and their queries.
+"""Operators for training-data pipelines: corpus operators and their queries.
 
 Nothing outside this folder imports it.
 """

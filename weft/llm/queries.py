@@ -9,6 +9,7 @@ from . import (
     licenses,
     near_dedup,
     pii,
+    prefix_trie,
     sharding,
     token_counts,
     toxicity,
@@ -57,6 +58,10 @@ def op10_pii(spark, sf_dir):
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.op11(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,7 +75,8 @@ QUERIES = {
         op8_token_counts,
         op9_byte_bpe,
         op10_pii,
+        op11_prefix_trie,
     )
 }
 
-ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_near_dedup": near_dedup.OP5_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_near_dedup": near_dedup.OP5_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
