@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import (
+    alignment,
     byte_bpe,
     decontaminate,
     fingerprints,
+    language_id,
     licenses,
     near_dedup,
     pii,
@@ -62,6 +64,14 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.op11(table(spark, sf_dir, "conversations"))
 
 
+def op12_alignment(spark, sf_dir):
+    return alignment.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark, sf_dir):
+    return language_id.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +86,8 @@ QUERIES = {
         op9_byte_bpe,
         op10_pii,
         op11_prefix_trie,
+        op12_alignment,
+        op13_language_id,
     )
 }
 
