@@ -55,6 +55,34 @@ def lease_fence(completions: DataFrame, docs: DataFrame) -> tuple[DataFrame, Dat
     return completions.join(current, ["doc_url", "claim_token"], "left_semi"), completions.join(current, ["doc_url", "claim_token"], "left_anti")
 
 
+def lease_history(events: DataFrame, lease: int, horizon: int) -> DataFrame:
+    """(doc_url, at_ms, event) of claims and completions (doc_url, event_id, at_ms, kind) up to a time, with the ends of leases and due times between them.
+
+    Kinds are `claim`, and `done` or `failed` with the time of the next fetch after a colon. A completion counts only if the event before it is a claim whose
+    lease lasts. A lease is over, or a document due, where no claim has come before; that is told up to ``horizon``, or up to the document's last event if that is later.
+    """
+    doc = Window.partitionBy("doc_url")
+    order = doc.orderBy("at_ms", "event_id")
+    claim = F.col("kind") == "claim"
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    seen = events.select(
+        "doc_url", "at_ms", "kind",
+        F.coalesce((F.lag("kind").over(order) == "claim") & (F.col("at_ms") < F.lag("at_ms").over(order) + lease), F.lit(False)).alias("counts"),
+        F.lead("at_ms").over(order).alias("next"),
+        F.min(F.when(claim, F.col("at_ms"))).over(after).alias("next_claim"),
+        F.max("at_ms").over(doc).alias("last"),
+    )
+    outcome = F.substring_index("kind", ":", 1)
+    told = F.when(claim, "claimed").when(F.col("counts"), outcome).otherwise("late")
+    due = F.greatest(F.substring_index("kind", ":", -1).try_cast("long"), F.col("at_ms") + 1)
+    until = F.when(claim, F.col("at_ms") + lease).when(F.col("counts"), due)
+    free = F.when(claim, F.col("next").isNull() | (F.col("next") >= until)).otherwise(F.col("next_claim").isNull() | (F.col("next_claim") >= until))
+    ends = seen.filter(free & (until <= F.greatest(F.lit(horizon), "last")))
+    return seen.select("doc_url", "at_ms", told.alias("event")).unionByName(
+        ends.select("doc_url", until.alias("at_ms"), F.when(claim, "lease over").otherwise("due").alias("event"))
+    )
+
+
 #: Columns of a document that a completion replaces, and those that it replaces only where it has a value.
 SET = {"http_status": "int", "fail_class": "string", "error": "string", "next_eligible_at": "long"}
 FILLED = {

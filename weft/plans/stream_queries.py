@@ -93,25 +93,45 @@ def repeat_stream(v):
     return run.rows_of(streams.once_within(moments, "at", ["user_id"]))
 
 
-@query("SELECT event_type, (epoch_us(ts) // 3600000000) * 3600000 AS start_ms, count(*) AS n FROM events GROUP BY ALL")
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 1000 AS ms FROM events),
+w AS (SELECT event_type, (ms // 3600000) * 3600000 AS start_ms, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT * FROM w WHERE start_ms + 3600000 <= (SELECT max(ms) - 3600000 FROM e)""")
 def activity_windows(v):
+    """Windows that the watermark has passed; it ends an hour before the last event."""
     found = streams.tumbling(_events(v).withColumn("at", F.timestamp_millis("at_ms")), "at", "event_type")
-    counts = found.select("event_type", F.unix_millis("window.start").alias("start_ms"), "n")
-    folder = run.shared_folder(v.spark)
-    run.drain(counts, "complete", lambda batch, _: batch.write.mode("overwrite").parquet(folder))
-    return v.spark.read.schema(counts.schema).parquet(folder)
+    return run.rows_of(found.select("event_type", F.unix_millis("window.start").alias("start_ms"), "n"))
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events),
 marked AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 1800000 THEN 0 ELSE 1 END AS fresh FROM e),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS session FROM marked)
-SELECT user_id, min(ms) AS start_ms, count(*) AS n FROM numbered GROUP BY user_id, session""")
+SELECT user_id, min(ms) AS start_ms, count(*) AS n FROM numbered GROUP BY user_id, session HAVING max(ms) + 1800000 <= (SELECT max(ms) - 3600000 FROM e)""")
 def activity_sessions(v):
+    """Sessions that the watermark has passed."""
     found = streams.sessions(_events(v).withColumn("at", F.timestamp_millis("at_ms")), "at", "user_id")
-    counts = found.select("user_id", F.unix_millis("session_window.start").alias("start_ms"), "n")
-    folder = run.shared_folder(v.spark)
-    run.drain(counts, "complete", lambda batch, _: batch.write.mode("overwrite").parquet(folder))
-    return v.spark.read.schema(counts.schema).parquet(folder)
+    return run.rows_of(found.select("user_id", F.unix_millis("session_window.start").alias("start_ms"), "n"))
+
+
+_LEASE = 6 * 3_600_000
+
+
+@query(f"""WITH e AS (SELECT concat('https://c', user_id, '.example/card') AS doc_url, event_id, event_type, epoch_us(ts) // 1000 AS t FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+s AS (SELECT *, event_type = 'view' AS claim, lag(event_type) OVER w AS before, lag(t) OVER w AS before_at, lead(t) OVER w AS next, max(t) OVER (PARTITION BY doc_url) AS last,
+    min(CASE WHEN event_type = 'view' THEN t END) OVER (PARTITION BY doc_url ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_claim,
+    (SELECT max(t) - 3600000 FROM e) AS horizon
+  FROM e WINDOW w AS (PARTITION BY doc_url ORDER BY t, event_id)),
+c AS (SELECT *, NOT claim AND coalesce(before = 'view' AND t < before_at + {_LEASE}, false) AS counts FROM s),
+u AS (SELECT *, CASE WHEN claim THEN t + {_LEASE} WHEN counts THEN t + CASE event_type WHEN 'click' THEN 86400000 ELSE 3600000 END END AS until FROM c)
+SELECT doc_url, t AS at_ms, CASE WHEN claim THEN 'claimed' WHEN NOT counts THEN 'late' WHEN event_type = 'click' THEN 'done' ELSE 'failed' END AS event FROM u
+UNION ALL SELECT doc_url, until, CASE WHEN claim THEN 'lease over' ELSE 'due' END FROM u
+WHERE until <= greatest(horizon, last) AND coalesce(CASE WHEN claim THEN next ELSE next_claim END >= until, true)""")
+def lease_stream(v):
+    """A view claims a document, a click completes it until the next day, a purchase fails it for an hour."""
+    due = lambda name, wait: F.concat(F.lit(name + ":"), (F.col("at_ms") + wait).cast("string"))
+    kind = F.when(F.col("event_type") == "view", F.lit("claim")).when(F.col("event_type") == "click", due("done", _DAY)).otherwise(due("failed", 3_600_000))
+    events = _events(v).filter("event_type IN ('view', 'click', 'purchase')")
+    rows = events.select(F.concat(F.lit("https://c"), "user_id", F.lit(".example/card")).alias("doc_url"), "event_id", "at_ms", kind.alias("kind"))
+    return run.rows_of(streams.lease_stream(rows, _LEASE))
 
 
 @query(_contribution("v_new"))

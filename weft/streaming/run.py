@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,11 @@ class Versions:
         older = [n for n in self.ids() if n < batch_id]
         return self.spark.read.parquet(f"{self.folder}/{older[-1]}") if older else None
 
+    def all(self, kind: str) -> DataFrame:
+        """Rows of all versions; none, of the columns ``kind``, where there is no version."""
+        ids = self.ids()
+        return self.spark.read.parquet(*[f"{self.folder}/{n}" for n in ids]) if ids else self.spark.createDataFrame([], kind)
+
     def put(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
 
@@ -54,16 +60,26 @@ def landed(spark: SparkSession, sf_dir: str, name: str, files: int | None = None
     return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Run ``stream`` until all landed rows are through; returns the folder that holds its output as Parquet.
+class Drained(NamedTuple):
+    """What a run of a stream has done: the folder of its output, how many batches this run took, and how many rows it
+    left out because the watermark had passed them."""
+
+    out: str
+    batches: int
+    late_rows: int
+
+
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> Drained:
+    """Run ``stream`` until all landed rows are through; its output is Parquet in a folder, or with ``each`` goes to each(batch, batch_id).
 
-    With ``each`` a batch goes to each(batch, batch_id) instead of the folder. State is kept in RocksDB, in as many
-    partitions as the session shuffles into.
+    ``folder`` names a durable place in the shared file system for the stream's progress, state and output. Another run of the same stream with that folder, after
+    its end or a failure, goes on where the last one stopped: files read and rows put out are not read or put out again, and a batch that had not ended is
+    run again under its old number. Without a name the run is one by itself. State is kept in RocksDB, in as many partitions as the session shuffles into when
+    the folder is new. The counts are of this run's last 10,000 batches at most.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
-    # State that expires by the clock would ask for batches without data for ever.
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    folder = folder or shared_folder(spark)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.numRecentProgressUpdates": "10000"}
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -73,14 +89,16 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
         running = writer.start()
         try:
             running.awaitTermination()
+            told = [p for p in running.recentProgress]
         finally:
             running.stop()
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return f"{folder}/out"
+    late = sum(operator["numRowsDroppedByWatermark"] for p in told for operator in p["stateOperators"])
+    return Drained(f"{folder}/out", len({p["batchId"] for p in told}), late)
 
 
-def rows_of(stream: DataFrame) -> DataFrame:
-    """The rows that an append-mode stream puts out for what has landed."""
-    return stream.sparkSession.read.schema(stream.schema).parquet(drain(stream))
+def rows_of(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows that an append-mode stream has put out for what has landed, in all runs with ``folder``."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(drain(stream, folder=folder).out)

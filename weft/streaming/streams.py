@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from weft.functions.crawl import MAX_ATTEMPTS, RECRAWL_OTHER
+from weft.functions.crawl import LEASE, MAX_ATTEMPTS, RECRAWL_OTHER
 from weft.functions.urls import admission_reason, canonical_doc_url, canonical_webid
 from weft.operators import intake, stats
 from weft.operators.tables import cut
@@ -19,137 +21,228 @@ DAY = 86_400_000
 REST = 2 * RECRAWL_OTHER
 
 
-class RateProcessor(StatefulProcessor):
-    """Fixed window anchored at a key's first hit; refused hits count. A key that rests for two windows is forgotten."""
+class EventTimeProcessor(StatefulProcessor):
+    """Folds the events (key, at, at_ms, id, kind) of each key in order of (at_ms, id) and keeps state only until the watermark says that it no longer matters.
 
-    def __init__(self, window: int, limit: int):
-        self.window, self.limit = window, limit
+    Everything is told by event time, so a stream that stands still for days and then reads its backlog, or reads it in other pieces, gives
+    the same rows. A key's events of one batch that come in several frames are laid down in the state store by time and folded one stretch after the other, so
+    no more than a frame and a stretch of them are held at once. An event that comes in a later batch than newer ones, but before the watermark, is folded when it comes.
+    """
+
+    STATE = ""
+    OUTPUT = ""
+    #: Milliseconds that are folded at once of a key with several frames.
+    STRETCH = 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start long, n long", ttlDurationMs=2 * self.window)
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE)
+        self.laid = handle.getMapState("laid", "stretch long, n long", "rows binary")
+
+    def step(self, state: tuple | None, at: int, event: int, kind: str | None) -> tuple[tuple | None, list[tuple]]:
+        """State and output rows, without the key, after an event."""
+        raise NotImplementedError
+
+    def ends(self, state: tuple) -> int:
+        """From when on a state is as good as none, or has a row to put out."""
+        raise NotImplementedError
+
+    def ended(self, state: tuple) -> list[tuple]:
+        """Rows to put out when a state ends."""
+        return []
+
+    def _in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = next(frames, None), next(frames, None)
+        if second is None:
+            if first is not None:
+                yield first.sort_values(["at_ms", "id"])
+            return
+        places: dict[int, int] = {}
+        for frame in chain((first, second), frames):
+            for stretch, part in frame.groupby(frame["at_ms"] // self.STRETCH):
+                n = places[int(stretch)] = places.get(int(stretch), 0) + 1
+                self.laid.updateValue((int(stretch), n), (pickle.dumps(part),))
+        for stretch in sorted(places):
+            keys = [(stretch, n + 1) for n in range(places[stretch])]
+            parts = [pickle.loads(self.laid.getValue(key)[0]) for key in keys]
+            for key in keys:
+                self.laid.removeKey(key)
+            yield pd.concat(parts).sort_values(["at_ms", "id"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, n = self.state.get() if self.state.exists() else (None, 0)
-        hits = pd.concat(list(rows)).sort_values(["at_ms", "id"])
-        counts = []
-        for at in hits["at_ms"]:
-            if start is None or start + self.window <= at:
-                start, n = int(at), 0
-            n += 1
-            counts.append(n)
-        self.state.update((start, n))
-        yield pd.DataFrame({"key": key[0], "at_ms": hits["at_ms"].to_numpy(), "id": hits["id"].to_numpy(), "n": counts}).assign(
-            granted=lambda d: d["n"] <= self.limit
-        )
+        before = state = tuple(self.state.get()) if self.state.exists() else None
+        for frame in self._in_order(rows):
+            out = []
+            for at, event, kind in zip(frame["at_ms"].tolist(), frame["id"].tolist(), frame["kind"].tolist()):
+                if state is not None and self.ends(state) <= at:
+                    out += self.ended(state)
+                    state = None
+                state, found = self.step(state, at, event, kind)
+                out += found
+            yield self._rows(key, out)
+        old, new = (None if x is None else self.ends(x) for x in (before, state))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+        if state is not None:
+            self.state.update(state)
+        elif before is not None:
+            self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            state = tuple(self.state.get())
+            if self.ends(state) <= expiredTimerInfo.getExpiryTimeInMs():
+                out = self.ended(state)
+                self.state.clear()
+        yield self._rows(key, out)
+
+    def _rows(self, key, out: list[tuple]) -> pd.DataFrame:
+        kinds = {"long": "int64", "boolean": "bool", "string": "object"}
+        fields = [f.split() for f in self.OUTPUT.split(", ")[1:]]
+        columns = {name: pd.Series([r[n] for r in out], dtype=kinds[kind]) for n, (name, kind) in enumerate(fields)}
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), **columns})
 
     def close(self) -> None:
         pass
 
 
-class CrawlProcessor(StatefulProcessor):
+class RateProcessor(EventTimeProcessor):
+    """Fixed window anchored at a key's first hit; refused hits count."""
+
+    STATE, OUTPUT = "start long, n long", "key string, at_ms long, id long, n long, granted boolean"
+
+    def __init__(self, window: int, limit: int):
+        self.window, self.limit = window, limit
+
+    def ends(self, state):
+        return state[0] + self.window
+
+    def step(self, state, at, event, kind):
+        start, n = state or (at, 0)
+        return (start, n + 1), [(at, event, n + 1, n < self.limit)]
+
+
+class CrawlProcessor(EventTimeProcessor):
     """State of a document from its fetch results: transient failures in a row fail it in the end, anything else resets them. Failures
     are forgotten when a document has not been fetched for twice its longest interval."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("failures", "n long", ttlDurationMs=REST)
+    STATE, OUTPUT = "failures long, last long", "key string, event_id long, state string, failures long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures = self.state.get()[0] if self.state.exists() else 0
-        results = pd.concat(list(rows)).sort_values(["fetched_at", "event_id"])
-        states, counts = [], []
-        for outcome, kind in zip(results["next_state"], results["fail_class"]):
-            failures = failures + 1 if kind == "transient" else 0
-            state = "done" if outcome == "parse" else outcome
-            states.append("failed" if kind == "transient" and failures >= MAX_ATTEMPTS else state)
-            counts.append(failures)
-        self.state.update((failures,))
-        yield pd.DataFrame({"event_id": results["event_id"].to_numpy(), "doc_url": key[0], "state": states, "failures": counts})
+    def ends(self, state):
+        return state[1] + REST
 
-    def close(self) -> None:
-        pass
+    def step(self, state, at, event, kind):
+        outcome, transient = kind.rstrip("!"), kind.endswith("!")
+        failures = (state or (0, 0))[0] + 1 if transient else 0
+        name = "failed" if transient and failures >= MAX_ATTEMPTS else "done" if outcome == "parse" else outcome
+        return ((failures, at) if failures else None), [(event, name, failures)]
 
 
-class NonceProcessor(StatefulProcessor):
+class NonceProcessor(EventTimeProcessor):
     """Challenges: the newest replaces earlier ones, expires after ``ttl`` and is used once."""
 
+    STATE, OUTPUT = "issued long, seen boolean", "key string, event_id long, confirmed boolean"
+
     def __init__(self, ttl: int):
         self.ttl = ttl
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("nonce", "issued long, seen boolean", ttlDurationMs=2 * self.ttl)
+    def ends(self, state):
+        return state[0] + self.ttl
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        issued, seen = self.state.get() if self.state.exists() else (None, False)
-        events = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
-        ids, confirmed = [], []
-        for event, at, action in zip(events["event_id"], events["at_ms"], events["action"]):
-            if action == "issue":
-                issued, seen = int(at), False
-                continue
-            ids.append(event)
-            confirmed.append(issued is not None and at < issued + self.ttl and not seen)
-            seen = True
-        if issued is not None:
-            self.state.update((issued, seen))
-        yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "webid": key[0], "confirmed": pd.Series(confirmed, dtype="bool")})
+    def step(self, state, at, event, kind):
+        if kind == "issue":
+            return (at, False), []
+        return (state and (state[0], True)), [(event, state is not None and not state[1])]
 
-    def close(self) -> None:
-        pass
 
+class CooldownProcessor(EventTimeProcessor):
+    """Suggestions of a key rest for ``cooldown`` after its document has ended."""
 
-def rate_stream(hits: DataFrame, window: int, limit: int) -> DataFrame:
-    """Stream form of :func:`weft.operators.intake.rate_limit`."""
-    return hits.groupBy("key").transformWithStateInPandas(
-        RateProcessor(window, limit), "key string, at_ms long, id long, n long, granted boolean", "Append", "ProcessingTime"
-    )
+    STATE, OUTPUT = "at long", "key string, event_id long, rests boolean"
 
+    def __init__(self, cooldown: int):
+        self.cooldown = cooldown
 
-def crawl_state_stream(results: DataFrame) -> DataFrame:
-    """(event_id, doc_url, state, failures) after each fetch result (doc_url, event_id, fetched_at, next_state, fail_class)."""
-    return results.groupBy("doc_url").transformWithStateInPandas(
-        CrawlProcessor(), "event_id long, doc_url string, state string, failures long", "Append", "ProcessingTime"
-    )
+    def ends(self, state):
+        return state[0] + self.cooldown
 
+    def step(self, state, at, event, kind):
+        if kind == "ended":
+            return (max(at, state[0]) if state else at,), []
+        return state, [(event, state is not None)]
 
-def nonce_stream(events: DataFrame, ttl: int = DAY) -> DataFrame:
-    """Stream form of :func:`weft.operators.erase.nonce_consume`."""
-    return events.groupBy("webid").transformWithStateInPandas(
-        NonceProcessor(ttl), "event_id long, webid string, confirmed boolean", "Append", "ProcessingTime"
+
+class LeaseProcessor(EventTimeProcessor):
+    """A document is claimed, its claim completed or its lease over, and it is due again some time after its completion.
+
+    Kinds are `claim`, and `done` or `failed` with the time of the next fetch after a colon. A completion counts only while its claim's lease lasts. When a lease
+    ends or a document is due, a row says so without any event of the document.
+    """
+
+    STATE, OUTPUT = "state string, until long", "key string, at_ms long, event string"
+
+    def __init__(self, lease: int):
+        self.lease = lease
+
+    def ends(self, state):
+        return state[1]
+
+    def ended(self, state):
+        return [(state[1], "lease over" if state[0] == "claimed" else "due")]
+
+    def step(self, state, at, event, kind):
+        if kind == "claim":
+            return ("claimed", at + self.lease), [(at, "claimed")]
+        outcome, _, due = kind.partition(":")
+        if state is None or state[0] != "claimed":
+            return state, [(at, "late")]
+        return (outcome, max(int(due), at + 1)), [(at, outcome)]
+
+
+def _stateful(events: DataFrame, processor: EventTimeProcessor, key: str, at: str, event: str, kind, late: str) -> DataFrame:
+    rows = events.select(
+        F.col(key).cast("string").alias("key"), F.timestamp_millis(at).alias("at"), F.col(at).cast("long").alias("at_ms"), F.col(event).cast("long").alias("id"), kind.alias("kind")
     )
+    return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(processor, processor.OUTPUT, "Append", "EventTime")
 
 
-class CooldownProcessor(StatefulProcessor):
-    """Suggestions of a key rest for ``cooldown`` after its document has ended; what is forgotten after twice that no longer matters."""
+#: How late an event may come.
+LATE = "1 hour"
 
-    def __init__(self, cooldown: int):
-        self.cooldown = cooldown
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ended", "at long", ttlDurationMs=2 * self.cooldown)
+def rate_stream(hits: DataFrame, window: int, limit: int, late: str = LATE) -> DataFrame:
+    """Stream form of :func:`weft.operators.intake.rate_limit`."""
+    return _stateful(hits, RateProcessor(window, limit), "key", "at_ms", "id", F.lit(None).cast("string"), late)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ended = self.state.get()[0] if self.state.exists() else None
-        events = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
-        ids, rests = [], []
-        for event, at, kind in zip(events["event_id"], events["at_ms"], events["kind"]):
-            if kind == "ended":
-                ended = int(at)
-                continue
-            ids.append(event)
-            rests.append(ended is not None and at < ended + self.cooldown)
-        if ended is not None:
-            self.state.update((ended,))
-        yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "key": key[0], "rests": pd.Series(rests, dtype="bool")})
 
-    def close(self) -> None:
-        pass
+def crawl_state_stream(results: DataFrame, late: str = LATE) -> DataFrame:
+    """(event_id, doc_url, state, failures) after each fetch result (doc_url, event_id, fetched_at, next_state, fail_class)."""
+    kind = F.concat(F.coalesce("next_state", F.lit("")), F.when(F.col("fail_class") == "transient", "!").otherwise(""))
+    told = _stateful(results, CrawlProcessor(), "doc_url", "fetched_at", "event_id", kind, late)
+    return told.select("event_id", F.col("key").alias("doc_url"), "state", "failures")
+
 
+def lease_stream(events: DataFrame, lease: int = LEASE, late: str = LATE) -> DataFrame:
+    """(doc_url, at_ms, event) of documents' claims and completions (doc_url, event_id, at_ms, kind), with rows for leases that end and documents that become due.
 
-def cooldown_stream(events: DataFrame, cooldown: int = intake.COOLDOWN) -> DataFrame:
+    Batch form: :func:`weft.operators.crawl.lease_history`.
+    """
+    return _stateful(events, LeaseProcessor(lease), "doc_url", "at_ms", "event_id", F.col("kind"), late).withColumnRenamed("key", "doc_url")
+
+
+def nonce_stream(events: DataFrame, ttl: int = DAY, late: str = LATE) -> DataFrame:
+    """Stream form of :func:`weft.operators.erase.nonce_consume`."""
+    told = _stateful(events, NonceProcessor(ttl), "webid", "at_ms", "event_id", F.col("action"), late)
+    return told.select("event_id", F.col("key").alias("webid"), "confirmed")
+
+
+def cooldown_stream(events: DataFrame, cooldown: int = intake.COOLDOWN, late: str = LATE) -> DataFrame:
     """(event_id, key, rests) of each suggestion among events (key, event_id, at_ms, kind: ended or suggested)."""
-    return events.groupBy("key").transformWithStateInPandas(
-        CooldownProcessor(cooldown), "event_id long, key string, rests boolean", "Append", "ProcessingTime"
-    )
+    return _stateful(events, CooldownProcessor(cooldown), "key", "at_ms", "event_id", F.col("kind"), late).select("event_id", "key", "rests")
 
 
 def once_within(rows: DataFrame, time: str, keys: list[str], within: str = "7 days") -> DataFrame:
@@ -164,12 +257,13 @@ def late_discard(completions: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tumbling(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(key, window, n): counts in tumbling windows; ``time`` is a timestamp."""
+    """(key, window, n): counts in tumbling windows; ``time`` is a timestamp. In append mode a window's count is put out, and its state
+    dropped, when the watermark passes its end; later rows of it are left out and counted by :func:`weft.streaming.run.drain`."""
     return events.withWatermark(time, late).groupBy(key, F.window(time, width)).agg(F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """(key, session_window, n): counts in sessions that end after ``gap`` without an event."""
+    """(key, session_window, n): counts in sessions that end after ``gap`` without an event; put out as those of :func:`tumbling`."""
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap)).agg(F.count("*").alias("n"))
 
 
@@ -223,9 +317,8 @@ class Intake:
         return (new if old is None else new.union(old.select("day", "n"))).groupBy("day").agg(F.sum("n").alias("n"))
 
     def read(self) -> DataFrame:
-        """(id, decision) of all batches."""
-        done = self.decisions
-        return done.spark.read.parquet(*[f"{done.folder}/{n}" for n in done.ids()])
+        """(id, decision) of all batches; no rows before the first."""
+        return self.decisions.all("id long, decision string")
 
 
 class RunningStats:
@@ -247,4 +340,5 @@ class RunningStats:
         self.versions.put(stats.apply(before if before is not None else change.limit(0), change), batch_id)
 
     def read(self) -> DataFrame:
-        return stats.visible(self.versions.before(1 << 62))
+        newest = self.versions.before(1 << 62)
+        return stats.visible(newest if newest is not None else self.versions.all("k string, v long"))
