@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,12 +102,17 @@ def test_sharding(docs, texts):
 def test_schedule_is_longest_first():
     random.seed(3)
     sizes = [(n, random.randint(1, 1000)) for n in range(300)]
-    placed = sharding.schedule(sizes, 8)
+    counts = sorted(Counter(size for _, size in sizes).items(), reverse=True)
+    placed = {}
+    for size, first, end, order in sharding.schedule(counts, 8):
+        for n in range(first, end):
+            placed[size, n] = order[(n - first) % len(order)]
     loads = [0] * 8
-    for item, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
-        best = loads.index(min(loads))
-        assert placed[item] == best
-        loads[best] += size
+    for size, count in counts:
+        for n in range(count):
+            best = loads.index(min(loads))
+            assert placed[size, n] == best
+            loads[best] += size
 
 
 def test_hot_group_keeps_slots_gapless(spark):
@@ -147,7 +153,8 @@ def test_near_duplicates_against_all_pairs(docs, texts):
 @pytest.mark.parametrize("size", [90, 700])
 def test_drifting_copies(spark, size, monkeypatch):
     """A group of copies of copies, in which the first and the last have little in common, over several blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 32)
     random.seed(size)
     words = [f"w{random.randrange(10**6)}" for _ in range(120)]
     rows, sets = [], []

@@ -126,7 +126,7 @@ class Pieces:
 
     def rows(self, log_p: np.ndarray, others: list[bytes]) -> np.ndarray:
         """Log probabilities by the ids of a lattice; the last row is for -1."""
-        made = [log_p[self.n_pieces + np.frombuffer(c, np.uint8)].sum(0) for c in others]
+        made = [log_p[self.n_pieces + np.frombuffer(c, np.uint8).astype(np.int64)].sum(0) for c in others]
         return np.concatenate([log_p, np.array(made).reshape(-1, log_p.shape[1]), np.full((1, log_p.shape[1]), LOW)])
 
 
