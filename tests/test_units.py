@@ -350,6 +350,22 @@ def test_rate_limit_of_busy_keys(spark, folded, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_windows_of_a_long_run_take_few_rounds(spark, monkeypatch):
+    """Two thousand windows of one key are found in rounds of doubled pointers, not one by one."""
+    rounds = []
+    plain = intake.cut
+    monkeypatch.setattr(intake, "cut", lambda df: rounds.append(1) or plain(df))
+    monkeypatch.setattr(intake, "FOLDED", 10)
+    rng = random.Random(6)
+    hits, at = [], 0
+    for i in range(6_000):
+        at += rng.choice([0, 1, 30, 45, 99])
+        hits.append(("a", at, i))
+    got = intake.rate_limit(spark.createDataFrame(hits, "key string, at_ms long, id long"), 100, 3)
+    assert sorted(map(tuple, got.collect())) == _windows(hits, 100, 3)
+    assert len(rounds) <= 2 * 12 + 5
+
+
 def test_intake_in_one_or_several_batches(spark, tmp_path):
     from weft.streaming import streams
 

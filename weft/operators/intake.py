@@ -51,7 +51,7 @@ def suggestion_status(candidates: DataFrame, docs: DataFrame, tombstones: DataFr
 
 #: Slices of a window whose hits are numbered by one task each, and salts of a day's rows.
 SLICES, SALTS = 64, 32
-#: Hits in a row without a gap of a window's length that one task folds; longer runs are followed in rounds.
+#: Hits in a row without a gap of a window's length that one task folds; in longer runs pointers are doubled.
 FOLDED = 100_000
 
 
@@ -59,8 +59,8 @@ def _window_starts(times: DataFrame, window: int) -> DataFrame:
     """(key, start) of all windows of ``times`` (key, at_ms).
 
     A gap of a window's length always begins a window, so a key's times are first cut at such gaps, which its first and last times in each era of a
-    window's length show. A run of up to FOLDED hits is then folded over its distinct times, and a longer one is followed window by window: the next
-    start is the smallest time from the last one's end on, for all such runs at once.
+    window's length show. A run of up to FOLDED hits is then folded over its distinct times; in a longer one each time points to
+    the first one that a window begun by it leaves out, and the pointers are doubled.
     """
     times = times.withColumn("era", F.floor(F.col("at_ms") / window))
     eras = times.groupBy("key", "era").agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high"), F.count("*").alias("n"))
@@ -75,13 +75,42 @@ def _window_starts(times: DataFrame, window: int) -> DataFrame:
     starts = few.select("key", F.explode(F.aggregate("t", none, lambda done, t: F.when(F.size(done) == 0, F.array(t)).otherwise(step(done, t)))).alias("start"))
     if runs.filter(F.col("hits") > FOLDED).isEmpty():
         return starts
-    many = cut(owned.filter(F.col("hits") > FOLDED).select("key", "run", "at_ms").distinct())
-    last = cut(many.groupBy("key", "run").agg(F.min("at_ms").alias("start")))
-    while not last.isEmpty():
-        starts = starts.union(last.select("key", "start"))
-        after = many.join(last, ["key", "run"]).filter(F.col("at_ms") >= F.col("start") + window)
-        last = cut(after.groupBy("key", "run").agg(F.min("at_ms").alias("start")))
-    return starts
+    many = owned.filter(F.col("hits") > FOLDED).select("key", "run", "at_ms").distinct()
+    return starts.union(_followed(cut(many), window))
+
+
+def _next_starts(times: DataFrame, window: int) -> DataFrame:
+    """(key, run, at_ms, next): for each of the distinct ``times`` (key, run, at_ms) the first one from a window's length later on, where there is one.
+
+    A run's times are cut into cells of a part of a window, so a cell is one task's work; what a cell lacks is the first time of the next cell that has any.
+    """
+    cell = F.floor(F.col("t") / max(1, window // SLICES)).alias("cell")
+    points = times.select("key", "run", F.col("at_ms").alias("t"), F.col("at_ms").alias("point"), F.lit(None).cast("long").alias("asks"))
+    asks = times.select("key", "run", (F.col("at_ms") + window).alias("t"), F.lit(None).cast("long").alias("point"), F.col("at_ms").alias("asks"))
+    both = points.union(asks).select("*", cell)
+    later = Window.partitionBy("key", "run").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy("key", "run", "cell").agg(F.min("point").alias("low")).select("key", "run", "cell", F.min("low").over(later).alias("after"))
+    # From the cell's end back, a time before those that ask for it.
+    back = Window.partitionBy("key", "run", "cell").orderBy(F.desc("t"), F.col("point").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("inside", F.min("point").over(back)).filter("asks IS NOT NULL").join(cells, ["key", "run", "cell"])
+    return found.select("key", "run", F.col("asks").alias("at_ms"), F.coalesce("inside", "after").alias("next")).filter("next IS NOT NULL")
+
+
+def _followed(times: DataFrame, window: int) -> DataFrame:
+    """(key, start) of all windows of runs of distinct ``times`` (key, run, at_ms), by doubling pointers.
+
+    Known starts are followed by the pointers, and the pointers by themselves, so each round knows twice as many starts of every run and pointers reach twice as far: as many rounds as
+    the logarithm of the windows of the longest run.
+    """
+    known = times.groupBy("key", "run").agg(F.min("at_ms").alias("at_ms"))
+    pointers = cut(_next_starts(times, window))
+    while True:
+        more = cut(known.join(pointers, ["key", "run", "at_ms"]).select("key", "run", F.col("next").alias("at_ms")))
+        if more.isEmpty():
+            return known.select("key", F.col("at_ms").alias("start"))
+        known = known.union(more)
+        far = pointers.select("key", "run", F.col("at_ms").alias("next"), F.col("next").alias("far"))
+        pointers = cut(pointers.join(far, ["key", "run", "next"]).select("key", "run", "at_ms", F.col("far").alias("next")))
 
 
 def rate_limit(hits: DataFrame, window: int, limit: int, carried: DataFrame | None = None) -> DataFrame:

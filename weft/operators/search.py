@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.operators.gates import small
-from weft.operators.tables import cut
 
 #: English words that are not indexed.
 STOP_WORDS = """a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so that the
@@ -60,13 +59,6 @@ def match(queries: DataFrame, index: DataFrame, hidden: DataFrame | None = None)
     return found.filter("n = n_terms").select("query_id", "doc_url")
 
 
-def asked_postings(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Postings of the terms of ``queries`` alone, made from ``docs`` once and kept: only their words are shuffled, and frequencies and matches read the same rows."""
-    wanted = query_terms(queries).select("term").distinct()
-    each = _words_of(docs).join(small(wanted), "term", "left_semi")
-    return cut(_counted(each))
-
-
 def rank(queries: DataFrame, index: DataFrame, sizes: DataFrame, label_weight: float = LABEL_WEIGHT, hidden: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_url, rank): BM25 of weighted term counts, to six decimals, of documents that hold all terms and are not ``hidden``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import search
+from weft.operators import search, text_index
 from weft.operators.search import STOP_WORDS
 from weft.registry import query
 
@@ -52,31 +52,32 @@ def _hidden(v):
     return v.text.filter("state = 'tombstone'")
 
 
-def _rank(v, queries, **more):
-    return search.rank(queries, search.asked_postings(queries, v.text), search.lengths(v.text), hidden=_hidden(v), **more)
+def _index(v):
+    """The stored index of all texts, made by the first query that asks for it."""
+    return text_index.stored(v.text.select("doc_url", "label", "body"), "v_text 1")
 
 
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url FROM ranked")
 def search_match(v):
-    return search.match(_one(v), search.asked_postings(_one(v), v.text), _hidden(v))
+    return text_index.match(_one(v), _index(v), _hidden(v))
 
 
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url, rank FROM ranked")
 def search_rank(v):
-    return _rank(v, _one(v))
+    return text_index.rank(_one(v), _index(v), hidden=_hidden(v))
 
 
 @query(_ranked(_ONE, 0) + "SELECT query_id, doc_url, rank FROM ranked")
 def search_unweighted(v):
-    return _rank(v, _one(v), label_weight=0.0)
+    return text_index.rank(_one(v), _index(v), 0.0, _hidden(v))
 
 
 @query(_ranked(_ONE, 10) + "SELECT query_id, doc_url, rank FROM ranked WHERE rank < 2.0 OR (rank = 2.0 AND doc_url > 'https://d5') ORDER BY rank DESC, doc_url LIMIT 21")
 def search_page(v):
-    return search.page(_rank(v, _one(v)), 20, (2.0, "https://d5"))
+    return search.page(text_index.rank(_one(v), _index(v), hidden=_hidden(v)), 20, (2.0, "https://d5"))
 
 
 @query(_ranked(_MANY, 10) + "SELECT query_id, doc_url, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_url) AS place FROM ranked) WHERE place <= 10")
 def bulk_search(v):
     queries = v.text.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), search.terms(F.col("label")).alias("words"))
-    return search.top(_rank(v, queries), 10)
+    return text_index.best(queries, _index(v), 10, hidden=_hidden(v))
