@@ -300,6 +300,23 @@ def test_addresses_of_one_kind_inside_another(spark):
     assert column(spark, urls.admission_reason, [f"https://[{a}]/" for a in public]) == [None] * len(public)
 
 
+def test_one_form_of_addresses(spark):
+    forms = {
+        "2001:db8:0:0:0:0:0:1": "2001:db8::1", "2001:DB8::1": "2001:db8::1", "2001:0db8:0:0:1:0:0:0": "2001:db8:0:0:1::", "2001:db8:0:1:1:1:1:1": "2001:db8:0:1:1:1:1:1",
+        "0:0:0:0:0:0:0:0": "::", "1::": "1::", "::1": "::1", "1:0:0:2:0:0:3:4": "1::2:0:0:3:4", "fe80:0:0:0:10:0:0:0": "fe80::10:0:0:0", "::ffff:1.2.3.4": "::ffff:102:304",
+    }
+    assert column(spark, urls.canonical_doc_url, [f"https://[{a}]/c" for a in forms]) == [f"https://[{a}]/c" for a in forms.values()]
+    assert column(spark, urls.canonical_doc_url, ["https://[1:2:3]/", "https://[1::2::3]/", "https://[zz::1]/", "https://a:b/"]) == [None] * 4
+
+
+def test_broken_hosts_are_not_admitted(spark):
+    broken = ["https://x y.org/", "https://x<y/", "https://a%00b/", "https://a^b/", "https://a|b/", "https://[::1/", "https://[1:2:3]/", "https://a.org:65536/", "https://a.org:9z/", "https://a%20b.org/"]
+    assert column(spark, urls.admission_reason, broken) == ["parse"] * len(broken)
+    fine = ["https://a.org/", "https://A.org:443/x", "https://a_b.example/", "https://8.8.8.8/", "https://[2606:4700::1]/", "https://bücher.example/"]
+    assert column(spark, urls.admission_reason, fine) == [None] * len(fine)
+    assert column(spark, urls.admission_reason, ["https://a.org:8443/", "http://a.org/", "https://u@a.org/", "https://[::1]/", "ftp://x/"]) == ["port", "scheme", "userinfo", "address", "scheme"]
+
+
 def test_odd_retry_after(spark):
     asked = ["1e30", "Infinity", "NaN", "1d", "-1e30", "2.5", "", "0x10"]
     got = column(spark, lambda c: crawl.retry_after_ms(c, F.lit(0).cast("long")), asked)

@@ -10,6 +10,8 @@ DAY = 86_400_000
 LEASE, HOST_DELAY, MAX_ATTEMPTS = 360_000, 1_000, 5
 BACKOFF_BASE, BACKOFF_MAX, FAILED_COOLDOWN = 60_000, 21_600_000, DAY
 RECRAWL_SOLID, RECRAWL_OTHER, NEVER = 14 * DAY, 30 * DAY, 365 * DAY
+#: For a completion that names no next time.
+RECRAWL_DEFAULT = 14 * DAY
 PROFILE_BYTES, INBOX_BYTES, TRIPLES_PER_DOC = 256 * 1024, 64 * 1024, 50_000
 MAX_TOKENS, MAX_TOKEN_LENGTH = 8, 32
 #: Robots directives that allow indexing, and media types of documents.

@@ -76,6 +76,31 @@ def _host(authority_: Column) -> Column:
     return F.when(raw.rlike("^[a-z.-]*$"), raw).otherwise(let(raw, normal))
 
 
+def ipv6_text(hextets: Column) -> Column:
+    """The one short form of an address: numbers without leading zeros, and the first of its longest runs of zeros, if of two or more, as two colons."""
+
+    def short(full: Column) -> Column:
+        out = full
+        for n in range(2, 9):
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+            out = F.when(full.rlike(run), F.regexp_replace(full, run, "$1::$2")).otherwise(out)
+        return out
+
+    return let(F.array_join(F.transform(hextets, lambda h: F.lower(F.hex(h))), ":"), short)
+
+
+def _one_form(host: Column) -> Column:
+    """A host with an IPv6 address in its one form; a host in brackets that is no address, and any sign that no host has, give null."""
+    address = let(ipv6_hextets(F.regexp_replace(host, r"^\[|\]$", "")), lambda h: F.when(h.isNotNull(), F.concat(F.lit("["), ipv6_text(h), F.lit("]"))))
+    return F.when(host.startswith("["), address).when(host.rlike(_HOST) & ~(host.rlike(_NUMERIC) & ~is_ipv4(host)), host)
+
+
+def _port_good(authority_: Column) -> Column:
+    """Is what follows the host nothing, or a colon and a number that a port can have, if any?"""
+    rest = F.regexp_extract(authority_, r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
+    return rest.rlike("^(:[0-9]*)?$") & F.coalesce(_port(authority_).try_cast("int") < 65536, _port(authority_) == "")
+
+
 def _port(authority_: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(authority_, r":([0-9]*)$", 1), "^0+(?=[0-9])", "")
 
@@ -121,10 +146,9 @@ def _canonical(url: Column, fragment: bool) -> Column:
 
         def put(at: Column) -> Column:
             host, port_ = at["host"], at["port"]
-            good = _userinfo(parts["authority"]).isin("", ":") & F.coalesce(port_.try_cast("int") < 65536, port_ == "")
-            good = good & host.rlike(_HOST) & ~(host.rlike(_NUMERIC) & ~is_ipv4(host))
+            good = _userinfo(parts["authority"]).isin("", ":") & _port_good(parts["authority"])
             keep = F.when(port_.isin("", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port_))
-            return F.when(good, F.concat(F.lit("https://"), host, keep, path, tail))
+            return F.when(good, F.concat(F.lit("https://"), _one_form(host), keep, path, tail))
 
         return F.when(F.lower(parts["scheme"]) == "https", let(named, put))
 
@@ -320,13 +344,14 @@ def admission_reason(url: Column, denied: list[str] = DENIED_HOSTS) -> Column:
     def judge(parts: Column) -> Column:
         def of(bare: Column) -> Column:
             return (
-                F.when((bare == "") | bare.rlike(_NUMERIC) & ~is_ipv4(bare) & ~bare.contains(":"), F.lit("parse"))
+                F.when((bare == "") | F.lower(parts["scheme"]).isin("https", "http") & broken, F.lit("parse"))
                 .when(F.lower(parts["scheme"]) != "https", F.lit("scheme"))
                 .when(~_userinfo(parts["authority"]).isin("", ":"), F.lit("userinfo"))
                 .when(~_port(parts["authority"]).isin("", "443"), F.lit("port"))
                 .otherwise(let(F.struct(bare.alias("host"), ip_normalise(bare).alias("norm")), by_host))
             )
 
+        broken = let(_host(parts["authority"]), _one_form).isNull() | ~_port_good(parts["authority"])
         bare = F.regexp_replace(_host(parts["authority"]), r"^\[|\]$", "")
         return F.when(~parts["text"].rlike(_URL), F.lit("parse")).otherwise(let(bare, of))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.crawl import ENDED, HOST_DELAY, LEASE
+from weft.functions.crawl import ENDED, HOST_DELAY, LEASE, RECRAWL_DEFAULT
+from weft.functions.urls import slug
+from weft.operators.tables import cut
 
 
 def frontier_depth(docs: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def mark_done(docs: DataFrame, completions: DataFrame, gate: DataFrame) -> DataF
     """``docs``, whole rows, after completions (doc_url, claim_token, next_state, fetched_at, event_id, and any of SET and FILLED).
 
     Completions of superseded leases and for gated documents are dropped; of several for one document the latest
-    counts. It ends the lease, replaces the columns SET, and of FILLED those for which it has a value; terminal_at is set when a document ends and else
+    counts. It ends the lease, replaces the columns SET, and of FILLED those for which it has a value; without a next time the document is due again
+    two weeks after the fetch, and with a webid its slug is that webid's; terminal_at is set when a document ends and else
     stays. Documents without a completion stay as they are. Columns that ``docs`` lacks are added.
     """
     from weft.operators.gates import open_only
@@ -103,7 +106,11 @@ def mark_done(docs: DataFrame, completions: DataFrame, gate: DataFrame) -> DataF
     last = Window.partitionBy("doc_url").orderBy(F.desc("fetched_at"), F.desc("event_id"))
     kept = kept.withColumn("__n", F.row_number().over(last)).filter("__n = 1")
     allowed = open_only(docs.select("doc_url", "webid"), gate).select("doc_url")
-    given = [c for c in (*SET, *FILLED) if c in completions.columns]
+    due = F.col("next_eligible_at") if "next_eligible_at" in completions.columns else F.lit(None)
+    kept = kept.withColumn("next_eligible_at", F.coalesce(due, F.col("fetched_at") + RECRAWL_DEFAULT).cast("long"))
+    if "webid" in completions.columns:
+        kept = kept.withColumn("slug", slug(F.col("webid")))
+    given = [c for c in (*SET, *FILLED) if c in kept.columns]
     state = F.when(F.col("next_state") == "parse", F.lit("done")).otherwise(F.col("next_state"))
     new = kept.join(allowed, "doc_url", "left_semi").select(
         "doc_url", state.alias("new_state"), F.col("fetched_at").alias("new_at"), *[F.col(c).alias(f"new_{c}") for c in given]
@@ -118,6 +125,19 @@ def mark_done(docs: DataFrame, completions: DataFrame, gate: DataFrame) -> DataF
     return both.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in [*docs.columns, *missing]])
 
 
+def complete(docs: DataFrame, completions: DataFrame, gate: DataFrame, triples: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, triples, statistics) after completions as of :func:`mark_done`: what a document that ends as a tombstone has projected is cleared with it, if the completion
+    names a webid; that is the webid's triples, from wherever they are, and those of all others projected from the document."""
+    from weft.operators.erase import projected_from, projection_clear
+
+    after = cut(mark_done(docs, completions, gate))
+    was = docs.select("doc_url", F.col("state").alias("__was"), F.col("claim_token").alias("__token"))
+    ended = after.filter("state = 'tombstone'").join(was, "doc_url").filter("__was != 'tombstone' AND __token IS NOT NULL AND claim_token IS NULL").select("doc_url")
+    named = completions.filter("next_state = 'tombstone' AND webid IS NOT NULL").join(ended, "doc_url", "left_semi")
+    people = named.select("webid").union(projected_from(triples, named.select("doc_url"))).distinct()
+    return after, *projection_clear(triples, counters, people)
+
+
 def host_update(results: DataFrame, hosts: DataFrame, delay: int = HOST_DELAY) -> DataFrame:
     """(host, next_allowed_at, consecutive_errors) after a batch of results (host, fetched_at, event_id, fail_class, retry_ms).
 

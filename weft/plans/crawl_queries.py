@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import crawl as rules
-from weft.operators import crawl, graph
+from weft.operators import crawl, graph, stats
 from weft.plans.graph_queries import _EDGES
-from weft.plans.scalar_queries import _OUTCOME, _RETRY, outcomes
+from weft.plans.scalar_queries import _OUTCOME, _RETRY, SLUG_SQL, outcomes
 from weft.plans.triple_queries import _GATE, gate
 from weft.plans.views import NOW
 from weft.registry import query
@@ -58,10 +58,10 @@ def lease_fence(v):
 @query(f"""{_OUTCOME}, {_GATE}, latest AS (SELECT o.* FROM o JOIN v_doc d ON o.doc_url = d.doc_url AND o.claim_token = d.claim_token
   WHERE d.webid NOT IN (SELECT webid FROM gate) AND d.doc_url NOT IN (SELECT doc_url FROM gate) QUALIFY row_number() OVER (PARTITION BY o.doc_url ORDER BY fetched_at DESC, event_id DESC) = 1),
 docs AS (SELECT *, CAST(200 + c_custkey % 3 * 100 AS INT) AS http_status, CASE WHEN c_custkey % 4 = 0 THEN 1690000000000 + c_custkey END AS terminal_at FROM v_doc)
-SELECT d.doc_url, d.c_custkey, d.webid, d.host, d.depth, d.attempts, d.noindex, d.label, d.root_seed, d.is_solid, CASE WHEN l.next_state = 'parse' THEN 'done' ELSE coalesce(l.next_state, d.state) END AS state,
+SELECT d.doc_url, d.c_custkey, CASE WHEN l.next_state = 'parse' THEN concat(d.webid, 2) ELSE d.webid END AS webid, CASE WHEN l.next_state = 'parse' THEN {SLUG_SQL.format("concat(d.webid, 2)")} END AS slug, d.host, d.depth, d.attempts, d.noindex, d.label, d.root_seed, d.is_solid, CASE WHEN l.next_state = 'parse' THEN 'done' ELSE coalesce(l.next_state, d.state) END AS state,
   coalesce(l.etag, d.etag) AS etag, CASE WHEN l.next_state = 'parse' THEN concat('n', l.event_id) ELSE d.content_hash END AS content_hash,
   CASE WHEN l.doc_url IS NULL THEN d.http_status ELSE CAST(l.status AS INT) END AS http_status, l.fail_class, CASE WHEN l.fail_class IS NOT NULL THEN concat('HTTP ', l.status) END AS error,
-  CASE WHEN l.doc_url IS NULL THEN d.next_eligible_at ELSE l.fetched_at + 1000 END AS next_eligible_at, l.fetched_at AS last_crawled,
+  CASE WHEN l.doc_url IS NULL THEN d.next_eligible_at WHEN l.event_id % 3 = 0 THEN l.fetched_at + 1209600000 ELSE l.fetched_at + 1000 END AS next_eligible_at, l.fetched_at AS last_crawled,
   CASE WHEN l.next_state IN ('parse', 'done', 'tombstone', 'skipped') THEN l.fetched_at ELSE d.terminal_at END AS terminal_at,
   CASE WHEN l.doc_url IS NULL THEN d.claim_token END AS claim_token, CASE WHEN l.doc_url IS NULL THEN d.claimed_at END AS claimed_at FROM docs d LEFT JOIN latest l ON l.doc_url = d.doc_url""")
 def mark_done(v):
@@ -69,10 +69,21 @@ def mark_done(v):
     docs = v.doc.withColumns({"http_status": (200 + F.col("c_custkey") % 3 * 100).cast("int"), "terminal_at": old})
     done = outcomes(v).select(
         "doc_url", "claim_token", "next_state", "etag", "fetched_at", "event_id", "fail_class", F.col("status").cast("int").alias("http_status"),
-        F.when(F.col("fail_class").isNotNull(), F.concat(F.lit("HTTP "), "status")).alias("error"), (F.col("fetched_at") + 1000).alias("next_eligible_at"),
+        F.when(F.col("fail_class").isNotNull(), F.concat(F.lit("HTTP "), "status")).alias("error"), F.when(F.col("event_id") % 3 != 0, F.col("fetched_at") + 1000).alias("next_eligible_at"),
         F.when(F.col("next_state") == "parse", F.concat(F.lit("n"), "event_id")).alias("content_hash"),
+        F.when(F.col("next_state") == "parse", F.concat("doc_url", F.lit("#me2"))).alias("webid"),
     )
-    return crawl.mark_done(docs, done, gate(v)).drop("last_modified", "body", "slug")
+    return crawl.mark_done(docs, done, gate(v)).drop("last_modified", "body")
+
+
+@query(f"""{_OUTCOME}, {_GATE}, latest AS (SELECT o.*, d.webid, d.state AS was FROM o JOIN v_doc d ON o.doc_url = d.doc_url AND o.claim_token = d.claim_token
+  WHERE d.webid NOT IN (SELECT webid FROM gate) AND d.doc_url NOT IN (SELECT doc_url FROM gate) QUALIFY row_number() OVER (PARTITION BY o.doc_url ORDER BY fetched_at DESC, event_id DESC) = 1),
+gone AS (SELECT doc_url, webid FROM latest WHERE next_state = 'tombstone' AND was <> 'tombstone')
+SELECT s, p, o, o_is_iri, webid, doc_url FROM v_triple WHERE webid NOT IN (SELECT webid FROM gone) AND doc_url NOT IN (SELECT doc_url FROM gone)""")
+def complete(v):
+    """Triples that stay when documents end as tombstones."""
+    done = outcomes(v).select("doc_url", "claim_token", "next_state", "fetched_at", "event_id", F.concat("doc_url", F.lit("#me")).alias("webid"))
+    return crawl.complete(v.doc, done, gate(v), v.triple, stats.contributions(v.triple))[1].select("s", "p", "o", "o_is_iri", "webid", "doc_url")
 
 
 @query(f"""{_OUTCOME}, {_HOSTS}, r AS (SELECT *, {_RETRY} AS retry_ms, coalesce(fail_class = 'transient', false) AS bad FROM o),

@@ -30,6 +30,15 @@ def canonical_webid(v):
     return v.url.select("page_id", u.canonical_webid(F.col("url")).alias("webid"))
 
 
+@query("""SELECT event_id, concat('https://[::ffff:', lower(hex(CAST(split_part(dotted, '.', 1) AS INT) * 256 + CAST(split_part(dotted, '.', 2) AS INT))), ':',
+  lower(hex(CAST(split_part(dotted, '.', 3) AS INT) * 256 + CAST(split_part(dotted, '.', 4) AS INT))), ']/card') AS doc_key FROM v_ip""")
+def canonical_address(v):
+    """An address in any of three spellings has one key."""
+    tail = F.concat(F.lit(":"), "dotted", F.lit("]:443/card"))
+    head = F.element_at(F.lit(["::FFFF", "0:0:0:0:0:ffff", "0000::0:fFfF"]), (F.col("event_id") % 3 + 1).cast("int"))
+    return v.ip.select("event_id", u.canonical_doc_url(F.concat(F.lit("https://["), head, tail)).alias("doc_key"))
+
+
 _BOTH = _CANONICAL.replace("FROM v_url", "FROM (SELECT page_id, url, plain FROM v_url UNION ALL SELECT page_id, url, url FROM pages)")
 
 
@@ -100,7 +109,8 @@ def host_denied(v):
 @query(f"""
 SELECT event_id, CASE WHEN form = 7 AND event_id % 7 <> 4 THEN 'parse' WHEN event_id % 7 = 1 THEN 'scheme' WHEN event_id % 7 = 2 THEN 'userinfo' WHEN event_id % 7 = 3 THEN 'port'
   WHEN event_id % 7 = 4 THEN 'denied' WHEN form <> 4 AND NOT {_V4} THEN 'address' END AS reason FROM ({_OCTETS})
-UNION ALL SELECT event_id, CASE WHEN NOT CASE WHEN inner_v4 THEN {_V4} ELSE known END THEN 'address' END FROM ({_OCTETS}) JOIN v_ip6 USING (event_id)""")
+UNION ALL SELECT event_id, CASE WHEN NOT CASE WHEN inner_v4 THEN {_V4} ELSE known END THEN 'address' END FROM ({_OCTETS}) JOIN v_ip6 USING (event_id)
+UNION ALL SELECT event_id, 'parse' FROM v_ip""")
 def admission_gate(v):
     k = F.col("event_id") % 7
     url = (
@@ -111,6 +121,10 @@ def admission_gate(v):
         .otherwise(F.concat(F.lit("https://"), "host", F.lit(":443/x?y#z")))
     )
     urls = v.ip.select("event_id", url.alias("url")).union(v.ip6.select("event_id", F.concat(F.lit("https://["), "host", F.lit("]/"))))
+    # Hosts and ports that no parser takes.
+    broken = ["x %s.example/", "x<%s/", "a%%00%s/", "x%s.example:65536/", "x%s.example:8a/", "[1:2:%s]/", "x^%s/", "a|%s/", "[::1%s/"]
+    which = F.element_at(F.lit(broken), (F.col("event_id") % len(broken) + 1).cast("int"))
+    urls = urls.union(v.ip.select("event_id", F.concat(F.lit("https://"), F.replace(F.replace(which, F.lit("%s"), F.col("event_id").cast("string")), F.lit("%%"), F.lit("%")))))
     return urls.select("event_id", u.admission_reason(F.col("url")).alias("reason"))
 
 
