@@ -233,8 +233,17 @@ def test_dump(spark, tmp_path):
     numbered = triples.number_pages(rows.select(*triples.TERMS), triples.TERMS, 2)
     pages = dump.manifest(numbered).orderBy("page_no").collect()
     assert [(r.page_no, r.n, r.next_page) for r in pages] == [(0, 2, 1), (1, 1, None)]
-    dump.write_dump(numbered, f"{tmp_path}/dump")
-    assert spark.read.text(f"{tmp_path}/dump").count() == 3
+
+
+def test_dump_in_files_of_bounded_rows(spark, tmp_path):
+    rows = spark.range(2_500).select(
+        F.format_string("urn:s%04d", F.col("id") % 400).alias("s"), F.format_string("urn:p%02d", F.col("id") % 7).alias("p"), F.col("id").cast("string").alias("o"), (F.col("id") % 2 == 0).alias("o_is_iri")
+    )
+    dump.write_dump(rows.union(rows.limit(100)), f"{tmp_path}/dump", 300)
+    pages = dump.written_manifest(spark, f"{tmp_path}/dump").orderBy("page_no").collect()
+    assert sum(r.n for r in pages) == 2_500 and max(r.n for r in pages) <= 300 and len(pages) >= 9
+    assert all(a.last < b.first and a.next_file == b.file for a, b in zip(pages, pages[1:])) and pages[-1].next_file is None
+    assert {r.value for r in dump.read_dump(spark, f"{tmp_path}/dump").collect()} == {r.value for r in triples.to_ntriples(rows).collect()}
 
 
 def test_lookup(spark):

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weft.operators import stats
 from weft.operators.gates import small
+from weft.operators.tables import Snapshots
 
 DAY = 86_400_000
 
@@ -101,6 +102,13 @@ def erase(index: Index, people: DataFrame) -> Index:
     return Index(redact_docs(index.docs, people), kept, counters, tombstone_merge(index.tombstones, people), inbox, objects)
 
 
+def erase_stored(snapshots: Snapshots, people: DataFrame) -> Index:
+    """Erase ``people`` from the newest snapshot of an index: all six tables change at once for its readers, or none does."""
+    version = snapshots.version()
+    after = erase(Index(**snapshots.read(version)), people)
+    return Index(**snapshots.read(snapshots.commit(after._asdict(), version)))
+
+
 def projected_from(triples: DataFrame, urls: DataFrame) -> DataFrame:
     """(webid) of the people with triples from documents ``urls`` (doc_url)."""
     return triples.join(small(urls.select("doc_url").distinct()), "doc_url", "left_semi").select("webid").filter("webid IS NOT NULL").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,99 @@ def newest_page(rows: DataFrame, time: str, key: str, size: int, after: tuple |
     if after:
         rows = rows.filter((F.col(time) < after[0]) | ((F.col(time) == after[0]) & (F.col(key) < after[1])))
     return rows.orderBy(F.col(time).desc(), F.col(key).desc()).limit(size + 1)
+
+
+# Tables in the shared folder.
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def store_parts(rows: DataFrame, folder: str, key: str, parts: int) -> None:
+    """Write a table in ``parts`` folders by a hash of its key, so that an upsert can replace few of them. Each part is written by as many tasks as its rows ask for."""
+    rows.withColumn("part", _part(key, parts)).repartition("part", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16))).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows")
+    rows.sparkSession.createDataFrame([(parts,)], "parts int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/head")
+
+
+def stored_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rows").drop("part")
+
+
+def upsert_parts(folder: str, changes: DataFrame, key: str, version: str) -> list[int]:
+    """:func:`upsert` into a table of :func:`store_parts`: only the parts that hold a changed key are read and written. Returns their numbers.
+
+    The new rows of those parts are written out before the old ones are replaced, so they do not depend on what they replace; changes have no columns that the table lacks. Run again after a
+    failure it gives the same table.
+    """
+    spark = changes.sparkSession
+    parts = spark.read.parquet(f"{folder}/head").first()[0]
+    changes = cut(changes.withColumn("part", _part(key, parts)))
+    touched = sorted(r[0] for r in changes.select("part").distinct().collect())  # as many as parts, at most
+    if touched:
+        old = spark.read.parquet(f"{folder}/rows").filter(F.col("part").isin(touched))
+        new = cut(upsert(old, changes, key, version))
+        spread = new.repartition("part", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/rows")
+    return touched
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed since the snapshot that a commit starts from."""
+
+
+class Snapshots:
+    """Several tables that change together. A commit writes all of them to new folders and then one small file that names them; readers take the newest such file.
+
+    A writer that dies before that file leaves nothing that a reader sees, and of two writers that start from one snapshot the second is refused.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def version(self) -> int:
+        """Number of the newest snapshot, 0 before the first."""
+        fs, path = _path(self.spark, f"{self.folder}/commits")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def read(self, version: int | None = None) -> dict[str, DataFrame]:
+        """The tables of a snapshot by name, the newest if none is named; none before the first."""
+        version = version or self.version()
+        if not version:
+            return {}
+        lines = [r.value for r in self.spark.read.text(f"{self.folder}/commits/{version}").collect()]
+        return {name: self.spark.read.parquet(place) for name, place in (line.split("\t") for line in lines)}
+
+    def commit(self, tables: dict[str, DataFrame], after: int) -> int:
+        """Make ``tables``, all of them, the snapshot that follows ``after``."""
+        own = f"{self.folder}/data/{after + 1}-{uuid.uuid4().hex}"
+        for name, rows in tables.items():
+            rows.write.parquet(f"{own}/{name}")
+        text = "".join(f"{name}\t{own}/{name}\n" for name in sorted(tables))
+        # A file is written elsewhere first and then renamed, which does not replace one that is there.
+        fs, draft = _path(self.spark, f"{own}/_commit")
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        _, place = _path(self.spark, f"{self.folder}/commits/{after + 1}")
+        fs.mkdirs(place.getParent())
+        if fs.exists(place) or not fs.rename(draft, place):
+            raise Conflict(f"snapshot {after + 1} is there already")
+        return after + 1
+
+
+def store_sorted(rows: DataFrame, folder: str, by: list[str], bloom: dict[str, int], group_bytes: int = 16 << 20) -> None:
+    """Write rows in order of ``by``, with Bloom filters on the columns of ``bloom`` for about so many values in a row group.
+
+    A lookup by the first of ``by`` opens only row groups whose range holds the value, one by a filtered column only those whose filter may.
+    """
+    writer = rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("parquet.block.size", group_bytes)
+    for column, values in bloom.items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", values)
+    writer.parquet(folder)

@@ -11,6 +11,7 @@ from weft.plans.scalar_queries import SLUG_SQL
 from weft.plans.triple_queries import _GATE, _SERVED, _contribution, gate, served
 from weft.plans.views import ISSUER, KNOWS, NAME, NOW, STORAGE
 from weft.registry import query
+from weft.streaming import run
 
 _DAY = 86_400_000
 
@@ -200,10 +201,12 @@ SELECT 'tombstone', webid, reason FROM ({_MERGED}) UNION ALL SELECT 'inbox', CAS
 SELECT 'object', CAST(event_id AS VARCHAR), object FROM v_suggest_object WHERE object NOT IN (SELECT webid FROM v_person WHERE c_custkey % 10 = 7) UNION ALL
 SELECT 'stats', k, CAST(v AS VARCHAR) FROM (WITH kept AS ({_KEPT}) {_contribution('kept')})""", name="erase")
 def erase_people(v):
+    """The index is written as a snapshot, and what is left is read from the snapshot that the erasure commits."""
     inbox, objects = _inbox(v)
     docs = v.doc.filter("c_custkey % 20 != 7").select("doc_url", "state", "webid", "label")
-    before = erase.Index(docs, _projected(v), stats.contributions(_projected(v)), v.tombstone, inbox, objects)
-    after = erase.erase(before, _erased(v))
+    snapshots = tables.Snapshots(v.spark, run.shared_folder(v.spark))
+    snapshots.commit(erase.Index(docs, _projected(v), stats.contributions(_projected(v)), v.tombstone, inbox, objects)._asdict(), 0)
+    after = erase.erase_stored(snapshots, _erased(v))
     row = lambda df, name, key, value: df.select(F.lit(name).alias("surface"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
     return (
         row(after.docs, "doc", "doc_url", "state")

@@ -163,6 +163,16 @@ def paged_dump(v):
     return manifest(triples.number_pages(served(v).select(*triples.TERMS).distinct(), triples.TERMS, 1000))
 
 
+@query(_SERVED + "SELECT DISTINCT concat('<', s, '> <', p, '> ', CASE WHEN o_is_iri THEN concat('<', o, '>') ELSE concat('\"', o, '\"') END, ' .') AS value FROM served")
+def dump_files(v):
+    """What a dump in files holds, read back from them."""
+    from weft.sources import dump
+
+    folder = run.shared_folder(v.spark)
+    dump.write_dump(served(v), folder, 1000)
+    return dump.read_dump(v.spark, folder).select("value")
+
+
 @query(f"""
 WITH pats AS (SELECT c_custkey AS pattern_id, CASE WHEN c_custkey % 3 < 2 THEN webid END AS s, CASE WHEN c_custkey % 3 > 0 THEN '{KNOWS}' END AS p,
   CASE WHEN c_custkey % 3 <> 1 THEN concat('https://c', c_custkey + 1, '.example/card#me') END AS o FROM v_person)
@@ -249,6 +259,26 @@ def doc_upsert(v):
     return tables.upsert(existing, changes, "doc_url", "fetched_at")
 
 
+@query(f"""WITH {_CHANGES}, latest AS (SELECT * FROM changes WHERE fetched_at % 10 = 0 QUALIFY row_number() OVER (PARTITION BY doc_url ORDER BY fetched_at DESC, event_id DESC) = 1)
+SELECT doc_url, label, fetched_at FROM latest UNION ALL SELECT doc_url, label, NULL FROM v_doc WHERE doc_url NOT IN (SELECT doc_url FROM latest)""")
+def stored_upsert(v):
+    """As ``doc_upsert`` with fewer changes, in a stored table of which only the parts with a changed document are written."""
+    folder = run.shared_folder(v.spark)
+    tables.store_parts(v.doc.select("doc_url", "label", F.lit(None).cast("long").alias("fetched_at")), folder, "doc_url", 32)
+    changes = v.fetch.filter("k % 2 = 0 AND fetched_at % 10 = 0").select("doc_url", "fetched_at", F.concat(F.lit("label"), "event_id").alias("label"))
+    tables.upsert_parts(folder, changes, "doc_url", "fetched_at")
+    return tables.stored_parts(v.spark, folder)
+
+
+@query("SELECT s, p, o, o_is_iri FROM v_triple WHERE o = 'https://c7.example/card#me' UNION ALL SELECT s, p, o, o_is_iri FROM v_triple WHERE s = 'https://c7.example/card#me'")
+def stored_lookup(v):
+    """Triples kept in order of s with filters on o: what names a person, and what a person names."""
+    folder = run.shared_folder(v.spark)
+    tables.store_sorted(v.triple.select(*triples.TERMS), folder, triples.TERMS, {"o": 100_000})
+    kept, who = v.spark.read.parquet(folder), "https://c7.example/card#me"
+    return kept.filter(F.col("o") == who).union(kept.filter(F.col("s") == who))
+
+
 @query("SELECT DISTINCT concat(doc_url, k % 3) AS doc_url FROM v_fetch WHERE k % 3 > 0 UNION SELECT doc_url FROM v_fetch WHERE k % 3 = 0 AND doc_url NOT IN (SELECT doc_url FROM v_doc)")
 def insert_if_absent(v):
     url = F.when(F.col("k") % 3 > 0, F.concat("doc_url", F.col("k") % 3)).otherwise(F.col("doc_url"))
