@@ -24,8 +24,10 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["secret", "contact"]
 KINDS = BASE_KINDS + ADDED_KINDS
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is looked for at each run of its first signs and a following @, an IP address only from the start of a run of digits: it is there, or nowhere in the run.
+#: No run is gone through twice, so long ones take no longer than others of as many characters.
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]++(@?)"), re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -153,7 +155,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the exact patterns in code points, leftmost and without overlap in each kind."""
     out = []
     if "@" in text:
-        out += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+        out += _emails(text)
     out += [(*m.span(), "ip") for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -165,6 +167,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    """Matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+` from the left."""
+    out, end = [], 0
+    for m in LOCAL.finditer(text):
+        start = max(m.start(), end)
+        domain = DOMAIN.match(text, m.end()) if m[1] and start < m.end() - 1 else None
+        if domain:
+            end = domain.end()
+            out.append((start, end, "email"))
+    return out
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"

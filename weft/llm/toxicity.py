@@ -144,25 +144,24 @@ def search(lexicon: Lexicon, automaton, texts: pa.Array) -> list[dict]:
         spelled = _spelled(automaton, folded, inside, own)
         if hits or spelled:
             rows = np.searchsorted(own, [h[0] for h in hits], "right") - 1
-            covers: dict[int, list[tuple[int, int]]] = {}
+            reach = np.zeros(len(points) + 1, np.int64)  # by place, the furthest end of the exceptions that begin there
             whole = [(int(np.searchsorted(own, start, "right")) - 1, start, end, weight) for start, end, weight in spelled]
             for row, (start, end, weight, stem) in zip(rows.tolist(), hits):
                 low, high = own[row], own[row + 1]
                 if end > high or start > low and inside[start - 1] or not stem and end < high and inside[end]:
                     continue
                 if weight is None:
-                    covers.setdefault(row, []).append((start, end))
+                    reach[start] = max(reach[start], end)
                 else:
                     whole.append((row, start, end, weight))
             # Of overlapping matches the heaviest counts, then the shortest.
-            taken: dict[int, list[tuple[int, int]]] = {}
+            reach = np.maximum.accumulate(reach)
+            taken = bytearray(len(points))
             for row, start, end, weight in sorted(whole, key=lambda h: (h[0], -h[3], h[2] - h[1], h[1])):
-                near = taken.setdefault(row, [])
-                if any(a <= start and end <= b for a, b in covers.get(row, ())):
+                if end <= reach[start] or 1 in taken[start:end]:
                     continue
-                if not any(a < end and start < b for a, b in near):
-                    near.append((start, end))
-                    matches[row].append((start, end, weight))
+                taken[start:end] = b"\1" * (end - start)
+                matches[row].append((start, end, weight))
             for found in matches:
                 found.sort()
         totals = np.array([sum(w for *_, w in m) for m in matches])
