@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import crawl as c
+from weft.functions import sql
 from weft.functions import urls as u
 from weft.plans.views import KNOWS, NOW
 from weft.registry import query
@@ -106,12 +107,14 @@ def host_denied(v):
     return hosts.select("host", u.host_denied(F.col("host"), ["c7.example", ".tionsh.example.net"]).alias("denied"))
 
 
-@query(f"""
+_ADMISSION = f"""
 SELECT event_id, CASE WHEN form = 7 AND event_id % 7 <> 4 THEN 'parse' WHEN event_id % 7 = 1 THEN 'scheme' WHEN event_id % 7 = 2 THEN 'userinfo' WHEN event_id % 7 = 3 THEN 'port'
   WHEN event_id % 7 = 4 THEN 'denied' WHEN form <> 4 AND NOT {_V4} THEN 'address' END AS reason FROM ({_OCTETS})
 UNION ALL SELECT event_id, CASE WHEN NOT CASE WHEN inner_v4 THEN {_V4} ELSE known END THEN 'address' END FROM ({_OCTETS}) JOIN v_ip6 USING (event_id)
-UNION ALL SELECT event_id, 'parse' FROM v_ip""")
-def admission_gate(v):
+UNION ALL SELECT event_id, 'parse' FROM v_ip"""
+
+
+def _candidates(v):
     k = F.col("event_id") % 7
     url = (
         F.when(k == 1, F.concat(F.lit("http://"), "host", F.lit("/")))
@@ -124,8 +127,44 @@ def admission_gate(v):
     # Hosts and ports that no parser takes.
     broken = ["x %s.example/", "x<%s/", "a%%00%s/", "x%s.example:65536/", "x%s.example:8a/", "[1:2:%s]/", "x^%s/", "a|%s/", "[::1%s/"]
     which = F.element_at(F.lit(broken), (F.col("event_id") % len(broken) + 1).cast("int"))
-    urls = urls.union(v.ip.select("event_id", F.concat(F.lit("https://"), F.replace(F.replace(which, F.lit("%s"), F.col("event_id").cast("string")), F.lit("%%"), F.lit("%")))))
-    return urls.select("event_id", u.admission_reason(F.col("url")).alias("reason"))
+    return urls.union(v.ip.select("event_id", F.concat(F.lit("https://"), F.replace(F.replace(which, F.lit("%s"), F.col("event_id").cast("string")), F.lit("%%"), F.lit("%")))))
+
+
+@query(_ADMISSION)
+def admission_gate(v):
+    return _candidates(v).select("event_id", u.admission_reason(F.col("url")).alias("reason"))
+
+
+def _from_sql(v, names, text, **frames):
+    """Rows of SQL that calls the session's functions ``names``."""
+    sql.register(v.spark, names)
+    return v.spark.sql(text, **frames)
+
+
+@query(_CANONICAL + "SELECT page_id, doc_key, doc_key || frag AS webid FROM keys")
+def sql_canonical(v):
+    """Both keys by SQL functions."""
+    text = "SELECT page_id, weft_canonical_doc_url(url) AS doc_key, weft_canonical_webid(url) AS webid FROM {u}"
+    return _from_sql(v, ["canonical_doc_url", "canonical_webid"], text, u=v.url)
+
+
+@query(f"SELECT {SLUG_SQL.format('webid')} AS slug, true AS valid, count(*) AS n FROM v_person GROUP BY webid")
+def sql_slug(v):
+    """Slugs as keys of a grouping in SQL."""
+    text = "SELECT weft_slug(webid) AS slug, weft_slug_valid(weft_slug(webid)) AS valid, count(*) AS n FROM {p} GROUP BY 1, 2"
+    return _from_sql(v, ["slug", "slug_valid"], text, p=v.person)
+
+
+@query(_ADMISSION)
+def sql_admission(v):
+    return _from_sql(v, ["admission_reason"], "SELECT event_id, weft_admission_reason(url) AS reason FROM {c}", c=_candidates(v))
+
+
+@query(f"SELECT event_id, {_V4} AS public FROM ({_OCTETS}) WHERE NOT starts_with(dotted, '127.')")
+def sql_ip_public(v):
+    """A rule in the filter and one in the output of SQL."""
+    text = "SELECT event_id, weft_ip_public(dotted) AS public FROM {i} WHERE NOT weft_ip_loopback(dotted)"
+    return _from_sql(v, ["ip_public", "ip_loopback"], text, i=v.ip)
 
 
 @query(r"""
