@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from weft.functions.crawl import ENDED, HOST_DELAY, LEASE, RECRAWL_DEFAULT
 from weft.functions.urls import slug
-from weft.operators.tables import cut
+from weft.operators.tables import ROWS_PER_RANGE, cut, number_groups
 
 
 def frontier_depth(docs: DataFrame) -> DataFrame:
@@ -43,12 +43,12 @@ def host_gate(due: DataFrame, hosts: DataFrame, now: int) -> DataFrame:
     return due.join(known, "host", "left").withColumn("wait_until", wait).drop("next_allowed_at")
 
 
-def host_schedule(due: DataFrame, hosts: DataFrame, now: int, delay: int = HOST_DELAY) -> DataFrame:
-    """``due`` documents with fetch_at: those of one host follow each other at the crawl delay."""
+def host_schedule(due: DataFrame, hosts: DataFrame, now: int, delay: int = HOST_DELAY, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``due`` documents with fetch_at: those of one host follow each other at the crawl delay. A host of any number of documents is numbered by ranges, not in one task."""
     first = F.greatest(F.lit(now), F.coalesce("next_allowed_at", F.lit(0)))
-    order = Window.partitionBy("host").orderBy("depth", "next_eligible_at", "doc_url")
-    timed = due.join(hosts.select("host", "next_allowed_at"), "host", "left")
-    return timed.withColumn("fetch_at", first + (F.row_number().over(order) - 1) * delay).drop("next_allowed_at")
+    placed = number_groups(due, ["host"], ["depth", "next_eligible_at", "doc_url"], "__place", per_range)
+    timed = placed.join(hosts.select("host", "next_allowed_at"), "host", "left")
+    return timed.withColumn("fetch_at", first + F.col("__place") * delay).drop("next_allowed_at", "__place")
 
 
 def lease_fence(completions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.functions.urls import canonical_webid, slug_valid
 from weft.operators.gates import gate_object
@@ -16,16 +17,20 @@ MOST_KNOWS = 500
 
 
 def profile_rollup(triples: DataFrame, most: int = MOST_KNOWS) -> DataFrame:
-    """(webid, name, photo, issuers, storages, knows) of each person; lists are sorted and distinct, knows has ``most`` at most."""
+    """(webid, name, photo, issuers, storages, knows) of each person; lists are sorted and distinct, knows has ``most`` at most.
+
+    The first ``most`` people are chosen before they are gathered, in each task first, so no list of all that a person knows is made.
+    """
     one = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
     many = lambda p: F.array_sort(F.collect_set(F.when((F.col("p") == p) & F.col("o_is_iri"), F.col("o"))))
-    return triples.groupBy("webid").agg(
-        one(FOAF + "name").alias("name"),
-        one(FOAF + "img").alias("photo"),
-        many(SOLID + "oidcIssuer").alias("issuers"),
-        many(PIM + "storage").alias("storages"),
-        F.slice(many(FOAF + "knows"), 1, most).alias("knows"),
+    links = triples.filter((F.col("p") == FOAF + "knows") & F.col("o_is_iri")).select("webid", "o").distinct()
+    first = links.withColumn("n", F.row_number().over(Window.partitionBy("webid").orderBy("o"))).filter(F.col("n") <= most)
+    known = first.groupBy(F.col("webid").alias("__webid")).agg(F.array_sort(F.collect_list("o")).alias("__knows"))
+    rest = triples.groupBy("webid").agg(
+        one(FOAF + "name").alias("name"), one(FOAF + "img").alias("photo"), many(SOLID + "oidcIssuer").alias("issuers"), many(PIM + "storage").alias("storages")
     )
+    joined = rest.join(known, F.col("webid").eqNullSafe(F.col("__webid")), "left")
+    return joined.select(*rest.columns, F.coalesce("__knows", F.array().cast("array<string>")).alias("knows"))
 
 
 def knows_visible(profiles: DataFrame, gate: DataFrame) -> DataFrame:

@@ -183,3 +183,30 @@ def store_sorted(rows: DataFrame, folder: str, by: list[str], bloom: dict[str, i
     for column, values in bloom.items():
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", values)
     writer.parquet(folder)
+
+
+#: Rows of a range, about, that one task puts in order.
+ROWS_PER_RANGE = 200_000
+
+
+def number_groups(rows: DataFrame, group: list[str], order: list[str], into: str, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``rows`` with their number from 0 among those of the same ``group`` (none: all), in the order of ``order``, in column ``into``.
+
+    Spark cuts the rows into as many ranges as their number asks for, by group and order, so that a large group lies in several; each range is sorted
+    by itself, and a group that goes on from earlier ranges is counted on by the number of its rows in them. Nulls are a group of their own.
+    """
+    rows = cut(rows)
+    parts = -(-rows.count() // per_range) or 1
+    # Cut again: bounds of ranges come from samples, and counts and numbers must see the same ranges.
+    ranged = cut(rows.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*group, "__range").agg(F.count("*").alias("n"))
+    # Only the first group of a range can go on from earlier ones, so this has at most one row for each range.
+    starts = counts.withColumn("__first", F.sum("n").over(before)).filter("__first > 0")
+    starts = starts.select(F.col("__range").alias("__at"), *[F.col(g).alias(f"__g_{g}") for g in group], "__first")
+    same = F.col("__range") == F.col("__at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    own = Window.partitionBy("__range", *group).orderBy(*order)
+    place = F.coalesce("__first", F.lit(0)) + F.row_number().over(own) - 1
+    return ranged.join(F.broadcast(starts), same, "left").select(*rows.columns, place.cast("long").alias(into))

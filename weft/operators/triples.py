@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weft.functions.crawl import TRIPLES_PER_DOC
 from weft.functions.urls import let
-from weft.operators.tables import cut
+from weft.operators.tables import ROWS_PER_RANGE, number_groups
 
 TERMS = ["s", "p", "o", "o_is_iri"]
 _ISSUER = "http://www.w3.org/ns/solid/terms#oidcIssuer"
@@ -108,16 +108,22 @@ def indexable(terms: DataFrame) -> DataFrame:
     return kept.withColumn("o_is_iri", F.col("o_kind") == "iri").drop("s_kind", "p_kind", "o_kind", "line")
 
 
-def content_hashes(triples: DataFrame) -> DataFrame:
-    """(doc_url, hash): sha-256 of a document's sorted distinct statements, each ended by a newline."""
+def content_hashes(triples: DataFrame, most: int = TRIPLES_PER_DOC) -> DataFrame:
+    """(doc_url, hash): sha-256 of a document's sorted distinct statements, each ended by a newline.
+
+    A document of more than ``most`` statements, which is refused as too large before it could be stored, has a null hash: its lines are counted, not gathered.
+    """
     lines = triples.select("doc_url", _lines(triples).alias("line")).distinct()
+    over = lines.groupBy("doc_url").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("doc_url")
     body = F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit("\n"))
-    return lines.groupBy("doc_url").agg(F.sha2(body, 256).alias("hash"))
+    hashed = lines.join(over, "doc_url", "left_anti").groupBy("doc_url").agg(F.sha2(body, 256).alias("hash"))
+    return hashed.union(over.select("doc_url", F.lit(None).cast("string")))
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` (doc_url, hash) that are absent or different in ``old``."""
-    return new.join(old, ["doc_url", "hash"], "left_anti")
+    """Rows of ``new`` (doc_url, hash) that are absent or different in ``old``; two null hashes are alike."""
+    was = old.select(F.col("doc_url").alias("__url"), F.col("hash").alias("__hash"))
+    return new.join(was, (F.col("doc_url") == F.col("__url")) & F.col("hash").eqNullSafe(F.col("__hash")), "left_anti")
 
 
 def solid(triples: DataFrame) -> DataFrame:
@@ -133,23 +139,37 @@ def pattern(triples: DataFrame, s=None, p=None, o=None, o_is_iri=None) -> DataFr
     return triples
 
 
+#: Patterns without any bound term that are answered by one scan.
+WHOLE_PER_SCAN = 1_000
+
+
 def bulk_patterns(patterns: DataFrame, triples: DataFrame) -> DataFrame:
-    """(pattern_id, s, p, o, o_is_iri) for many patterns (pattern_id, s, p, o) at once, null terms being variables.
+    """(pattern_id, s, p, o, o_is_iri) for many patterns (pattern_id, s, p, o) at once, null terms being variables; repeated patterns and triples count once.
 
-    Patterns are grouped by which terms they bind, at most eight shapes, with an equi-join for each. A pattern without any
-    bound term, which asks for the whole table, is joined on a constant and should be rare.
+    A pattern's shape is which terms it binds. A triple stands once for each shape that is asked, with the terms of the shape, and one equi-join finds the
+    patterns of all shapes. Patterns without any bound term ask for the whole table and are put to each of its rows; their ids, and no
+    others, come to the driver.
     """
-    wanted = patterns.select("pattern_id", *[F.col(c).alias("b_" + c) for c in "spo"])
-    facts, out = triples.select(*TERMS).distinct(), None
-    for shape in range(8):
-        bound = [c for n, c in enumerate("spo") if shape >> n & 1]
-        own = wanted.filter(" AND ".join(f"b_{c} IS {'NOT ' if c in bound else ''}NULL" for c in "spo"))
-        on = [F.col("b_" + c) == F.col(c) for c in bound] or [F.lit(True)]
-        if not bound:
-            if own.isEmpty():
-                continue
-        found = facts.join(own, on).select("pattern_id", *TERMS)
-        out = found if out is None else out.union(found)
+    bits = [F.when(F.col(c).isNotNull(), 1 << n).otherwise(0) for n, c in enumerate("spo")]
+    wanted = patterns.select("pattern_id", (bits[0] + bits[1] + bits[2]).alias("b_shape"), *[F.col(c).alias("b_" + c) for c in "spo"])
+    shapes = sorted(r[0] for r in wanted.select("b_shape").distinct().collect())  # eight at most
+    facts, kind = triples.select(*TERMS), patterns.schema["pattern_id"].dataType
+    out = triples.sparkSession.createDataFrame([], facts.schema).select(F.lit(None).cast(kind).alias("pattern_id"), *TERMS)
+    keyed = [s for s in shapes if s]
+    if keyed:
+        none = F.lit(None).cast("string")
+        key = lambda shape: F.struct(F.lit(shape).alias("shape"), *[(F.col(c) if shape >> n & 1 else none).alias(c) for n, c in enumerate("spo")])
+        each = facts.select(*TERMS, F.explode(F.array(*map(key, keyed))).alias("k"))
+        on = F.col("k.shape") == F.col("b_shape")
+        for c in "spo":
+            on = on & F.col(f"k.{c}").eqNullSafe(F.col("b_" + c))
+        out = out.union(each.join(wanted, on).select("pattern_id", *TERMS).distinct())
+    if 0 in shapes:
+        ids = [r[0] for r in wanted.filter("b_shape = 0").select("pattern_id").distinct().toLocalIterator()]
+        whole = facts.distinct()
+        for at in range(0, len(ids), WHOLE_PER_SCAN):
+            some = F.array(*[F.lit(i).cast(kind) for i in ids[at : at + WHOLE_PER_SCAN]])
+            out = out.union(whole.select(F.explode(some).alias("pattern_id"), *TERMS))
     return out
 
 
@@ -161,26 +181,9 @@ def page(triples: DataFrame, size: int, after: tuple | None = None) -> DataFrame
     return rows.orderBy(*TERMS).limit(size + 1)
 
 
-#: Rows of a range, about, that one task puts in order.
-ROWS_PER_RANGE = 200_000
-
-
 def number_pages(rows: DataFrame, order: list[str], size: int, per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``rows``, no two alike in ``order``, with page_no from 0 and its place on the page, in the order of ``order``, in one job for all pages.
-
-    Spark cuts the rows into as many ranges as their number asks for, by all of ``order``, so that rows of one first key can lie in several; each
-    range is sorted by itself, and its first place is the number of rows in the ranges before it.
-    """
-    rows = cut(rows)
-    parts = -(-rows.count() // per_range) or 1
-    # Cut again: bounds of ranges come from samples, and counts and numbers must see the same ranges.
-    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # one row for each range
-    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    own = Window.partitionBy("__range").orderBy(*order)
-    place = F.col("__first") + F.row_number().over(own) - 1
-    numbered = ranged.join(F.broadcast(starts), "__range").withColumn("__place", place)
+    """``rows``, no two alike in ``order``, with page_no from 0 and its place on the page, in the order of ``order``, in one job for all pages."""
+    numbered = number_groups(rows, [], order, "__place", per_range)
     return numbered.select(
         *rows.columns,
         F.floor(F.col("__place") / size).cast("long").alias("page_no"),
@@ -203,14 +206,25 @@ def stale_projections(existing: DataFrame, resolved: DataFrame) -> DataFrame:
     return own.join(now, "doc_url").filter("webid != now_webid").select("webid", "doc_url").distinct()
 
 
-def expanded_json(triples: DataFrame) -> DataFrame:
-    """(s, value): one expanded JSON-LD node for each subject, objects sorted."""
+#: Values of one node object, about.
+VALUES_PER_NODE = 10_000
+
+
+def expanded_json(triples: DataFrame, most: int = VALUES_PER_NODE) -> DataFrame:
+    """(s, value): one expanded JSON-LD node for each subject, objects sorted.
+
+    A subject of more than ``most`` distinct values is several node objects of the same @id, which mean the same as one, so no list
+    grows with a subject. A value's hash tells its node.
+    """
     node = F.when(F.col("o_is_iri"), F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"))))
     values = triples.select("s", "p", node.alias("node")).distinct()
-    by_p = values.groupBy("s", "p").agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("nodes"))
+    large = values.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("s", F.ceil(F.col("n") / most).alias("pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("p", "node"), F.col("pieces")), F.lit(0))
+    dealt = values.join(large, "s", "left").select("s", piece.alias("piece"), "p", "node")
+    by_p = dealt.groupBy("s", "piece", "p").agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("nodes"))
     quoted = lambda x: F.to_json(F.array(x))
     name = F.regexp_extract(quoted(F.col("p")), r"^\[(.*)\]$", 1)
     member = F.concat(name, F.lit(":["), "nodes", F.lit("]"))
-    by_s = by_p.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))
+    by_s = by_p.groupBy("s", "piece").agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))
     own = F.regexp_extract(quoted(F.col("s")), r"^\[(.*)\]$", 1)
     return by_s.select("s", F.concat(F.lit('{"@id":'), own, F.lit(","), "members", F.lit("}")).alias("value"))
