@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -369,6 +370,33 @@ def test_url_rules_are_mined(spark):
     assert {tuple(r.rule_tokens) for r in found if r.rule_tokens} == {("path=buy",)}
 
 
+def test_rules_are_those_of_all_combinations(spark):
+    """Mined rules against every combination of tokens counted one by one; a rule of items stands for one of any of their tokens."""
+    random.seed(11)
+    twins = {"path=a": "path=a2", "host=b": "host=b2"}  # tokens that always come together
+    rows = []
+    for _ in range(900):
+        own = [t for t in ["path=a", "host=b", "query=c", "query=d", "path=e"] if random.random() < 0.35]
+        bad = random.random() < (0.9 if {"path=a", "query=c"} <= set(own) else 0.7 if "host=b" in own else 0.1)
+        rows.append(([*own, *[twins[t] for t in own if t in twins]], bad))
+    rules, items = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    name = {r.token: r["item"] for r in items.collect()}
+    assert {t for t, i in name.items() if t != i} == {"path=a2", "host=b2"}
+    got = {tuple(r.antecedent): (round(r.confidence, 9), round(r.support, 9)) for r in rules.collect()}
+    share, seen = sum(b for _, b in rows) / len(rows), {}
+    for n in range(1, 6):
+        for combination in itertools.combinations(sorted(set(name.values())), n):
+            with_all = [b for own, b in rows if set(combination) <= set(own)]
+            if sum(with_all) >= url_filter.MIN_ROWS and sum(with_all) / len(with_all) >= max(0.5, 1.5 * share):
+                seen[combination] = (round(sum(with_all) / len(with_all), 9), round(sum(with_all) / len(rows), 9))
+    kept = {c: v for c, v in seen.items() if not any(set(s) < set(c) and w[0] >= v[0] for s, w in seen.items())}
+    assert got == kept and len(got) > 2
+    pages = spark.createDataFrame([(t,) for t in (["host=b2"], ["path=a2", "query=c"], ["path=a2"], ["query=c"], [], ["path=new"])], "tokens array<string>")
+    fits = {tuple(r.tokens): r.rule_tokens is not None for r in url_filter.match(pages, rules, items).collect()}
+    want = {tuple(r.tokens): any(set(c) <= {name.get(t) for t in r.tokens} for c in kept) for r in pages.collect()}
+    assert fits == want and True in fits.values() and False in fits.values()
+
+
 @pytest.mark.parametrize(
     ("url", "rule", "verdict"),
     [

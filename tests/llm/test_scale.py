@@ -184,11 +184,21 @@ def test_op1_over_the_table(spark):
         assert r.verdict == (best[0] if best else "block" if r.rule_tokens else "allow")
 
 
-def test_long_urls_are_mined_in_baskets(spark):
-    tokens = sorted(f"query=k{n:02d}" for n in range(40))
+def test_long_urls_are_mined_whole(spark):
+    """Forty tokens that recur together are one item; a pair far apart in the order of tokens, each half of which is harmless, is a rule."""
+    tokens = [f"query=k{n:02d}" for n in range(40)]
     rows = [(tokens + ["host=bad"], True)] * 60 + [(["host=good", f"path=p{n}"], False) for n in range(200)]
-    found = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
-    assert {t for r in found for t in r.antecedent} == {*tokens, "host=bad"} and all(len(r.antecedent) == 1 for r in found)
+    rules, items = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert [r.antecedent for r in rules.collect()] == [["host=bad"]]
+    assert {(r.token, r["item"]) for r in items.collect()} == {(t, "host=bad") for t in [*tokens, "host=bad"]}
+    pages = spark.createDataFrame([([t],) for t in [*tokens, "host=good"]], "tokens array<string>")
+    assert {r.tokens[0] for r in url_filter.match(pages, rules, items).collect() if r.rule_tokens} == set(tokens)
+
+    own = lambda n: [f"path=x{n}-{k}" for k in range(38)]
+    rows = [(["host=a", *own(n), "query=z"], True) for n in range(60)]
+    rows += [([t, *own(n + 100)], False) for n in range(90) for t in ("host=a", "query=z")]
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert [(r.antecedent, r.confidence) for r in rules.collect()] == [(["host=a", "query=z"], 1.0)]
 
 
 FOLDED = {
