@@ -246,6 +246,27 @@ def test_license_notices(spark):
     assert found == [(n, family) for n, (_, family) in enumerate(NOTICES) if family]
 
 
+def test_notices_over_many_lines(spark):
+    """However many lines a notice is wrapped to, also a word a line; told once, and where it stands."""
+    model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    notices = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "GPL",
+    }
+    cases = []
+    for notice, family in notices.items():
+        words = notice.split()
+        for per_line in (1, 2, 4, 9):
+            lines = [" ".join(words[k : k + per_line]) for k in range(0, len(words), per_line)]
+            cases.append((family, ["a tale of rain", "and of the sea.", "", *lines, "", "the end of it"], len(lines)))
+    docs = spark.createDataFrame([(n, "\n".join(lines)) for n, (_, lines, _) in enumerate(cases)], "doc_id long, text string")
+    found = licenses.scan(docs, model).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.family) for r in found] == [(n, family) for n, (family, *_) in enumerate(cases)]
+    assert all(3 <= r.number and r.number + r.lines - 1 <= 2 + cases[r.doc_id][2] for r in found)
+    two = spark.createDataFrame([(1, "\n".join([*cases[1][1], *["some words of prose"] * 3, *cases[1][1]]))], "doc_id long, text string")
+    assert [r.family for r in licenses.scan(two, model).collect()] == ["CC-BY", "CC-BY"]
+
+
 def test_telling_words_lose_no_notice():
     """What has no telling word of a template's set holds too little of every template."""
     telling = set(licenses.telling_words([t for ts in licenses.notices().values() for t in ts]))

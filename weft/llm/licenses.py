@@ -4,7 +4,7 @@ Word n-grams of a paragraph are hashed to a sparse vector, and a multinomial log
 on other paragraphs, names a family. A calibrated threshold sends unsure paragraphs to the unknown class, and comparison
 with the templates of all families confirms the rest.
 
-A paragraph is a line, or up to WRAPPED lines from one that does not end a sentence, so that wrapped notices are found too.
+A paragraph is a line, or one that does not end a sentence with the lines after it that a notice could reach, so that wrapped notices are found too.
 """
 
 from __future__ import annotations
@@ -137,8 +137,8 @@ FEATURES = 1 << 14
 TEMPLATE_SHARE = 0.6
 #: Words of templates that are in most other paragraphs too.
 COMMON = "the of a and to in is by any this that with or it for under you are may not at use".split()
-#: Lines of a wrapped notice, at most.
-WRAPPED = 4
+#: Words after a notice's first line are read up to so many times the words of the longest template, however many lines they take.
+REACH = 1.5
 #: Share of the unknown paragraphs held out from the fit that the threshold turns away.
 TURNED_AWAY = 0.99
 
@@ -182,32 +182,46 @@ def vectors(paragraphs: DataFrame, text: str = "paragraph") -> DataFrame:
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, number of the first line from 0, lines and paragraph: a row for each line, and for each that does
-    not end a sentence another one of it and the next ones, up to WRAPPED lines or a blank one; those only that hold a telling word of any template. All
-    others hold too little of every template to be confirmed.
+    not end a sentence another one of it and the next ones, up to a line without words or the reach of a notice that begins in it (REACH); those only that
+    hold a telling word of any template. All others hold too little of every template to be confirmed.
     """
     rest = [c for c in docs.columns if c not in (text, "number", "lines", "paragraph")]
     split = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
     telling = F.lit(telling_words([t for ts in notices().values() for t in ts]))
     told = lambda lines: F.transform(lines, lambda line: F.arrays_overlap(F.split(ascii_lower(line), _BETWEEN), telling))
-    units = let(split, lambda lines: let(told(lines), lambda marks: F.when(F.exists(marks, lambda m: m), _units(lines, marks))))
+    sizes = lambda lines: F.transform(lines, lambda line: F.size(words(line)))
+    units = let(split, lambda lines: let(told(lines), lambda marks: F.when(F.exists(marks, lambda m: m), let(sizes(lines), lambda n: _units(lines, marks, n)))))
     each = docs.select(*rest, F.explode(units).alias("u"))
     return each.select(*rest, F.col("u.number").alias("number"), F.col("u.lines").alias("lines"), F.col("u.paragraph").alias("paragraph"))
 
 
-def _units(lines: Column, marks: Column) -> Column:
+def reach() -> int:
+    """Words after its first line that a notice can have."""
+    return int(REACH * max(len(re.findall(r"\w+", t)) for ts in notices().values() for t in ts))
+
+
+def _units(lines: Column, marks: Column, sizes: Column) -> Column:
+    """Structs (number, lines, paragraph) of the lines of one text; ``marks`` tell which hold a telling word, ``sizes`` how many words."""
+    most = reach()
     unit = lambda n, size, value: F.struct(n.alias("number"), size.cast("int").alias("lines"), value.alias("paragraph"))
+    start = F.struct(F.lit(1).alias("lines"), F.lit(0).alias("words"), F.lit(True).alias("on"))
+
+    def take(held: Column, size: Column) -> Column:
+        on = held["on"] & (size > 0) & (held["words"] < most)
+        return F.struct((held["lines"] + on.cast("int")).alias("lines"), (held["words"] + F.when(on, size).otherwise(0)).alias("words"), on.alias("on"))
 
-    def wrapped(line: Column, n: Column) -> Column:
-        more = F.slice(lines, n + 1, WRAPPED)
-        ends = F.filter(F.sequence(F.lit(1), F.size(more)), lambda k: F.element_at(more, k.cast("int")).rlike(r"^\s*$"))
-        some = F.slice(more, 1, F.coalesce(F.element_at(F.when(F.size(ends) > 0, ends), 1) - 1, F.size(more)).cast("int"))
-        wraps = ~line.rlike(r"""[.!?:;]["')\]]*\s*$|^\s*$""")
-        return F.when(wraps & (F.size(some) > 1), unit(n, F.size(some), F.array_join(some, " ")))
+    def wrapped(n: Column) -> Column:
+        # Each line that is taken has a word, so no more than ``most`` are asked.
+        taken = F.aggregate(F.slice(sizes, n + 2, most), start, take)["lines"]
+        joined = lambda size: F.when(
+            (size > 1) & F.exists(F.slice(marks, n + 1, size), lambda m: m), unit(n, size, F.array_join(F.slice(lines, n + 1, size), " "))
+        )
+        return let(taken, joined)
 
     def units(line: Column, n: Column) -> Column:
         alone = F.when(F.element_at(marks, n + 1), unit(n, F.lit(1), line))
-        joined = F.when(F.exists(F.slice(marks, n + 1, WRAPPED), lambda m: m), wrapped(line, n))
-        return F.array_compact(F.array(alone, joined))
+        wraps = (F.element_at(sizes, n + 1) > 0) & ~line.rlike(r"""[.!?:;]["')\]]*\s*$""")
+        return F.array_compact(F.array(alone, F.when(wraps & F.exists(F.slice(marks, n + 1, most + 1), lambda m: m), wrapped(n))))
 
     return F.flatten(F.transform(lines, units))
 
@@ -280,11 +294,12 @@ def scan(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFra
 
     The classifier's family must have a template that the paragraph holds TEMPLATE_SHARE of, and no other family one that it holds more of; a grant
     that is taken back is none. Paragraphs that hold none of the telling words of any template are not judged, as they could not be confirmed.
-    Of lines and wrapped notices of one family that overlap the line is given, or else the first.
+    Of lines and wrapped notices of one family that overlap the line is given, or else what holds most of the template in the fewest lines.
     Null and empty texts have no paragraphs. Repeated rows each give theirs. Columns named like the added ones are replaced.
     """
     added = {
-        "number", "lines", "paragraph", "grams", "features", "family", "probability", "similarity", "place", "prediction", "rawPrediction", "chance", "alike", "row",
+        "number", "lines", "paragraph", "grams", "features", "family", "probability", "similarity", "place", "prediction", "rawPrediction", "chance", "alike", "row", "inside", "opens",
+        "notice", "nth",
     }
     rest = [c for c in docs.columns if c != text and c not in added]
     each = paragraphs(docs.select(*rest, text, F.monotonically_increasing_id().alias("row")), text)
@@ -298,10 +313,15 @@ def scan(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFra
     denied = rf"(?i)(?<!\p{{L}})({'|'.join(DENIALS)})\W+(\w+\W+){{0,3}}({'|'.join(GRANTS)})(?!\p{{L}})"
     found = found.filter(~F.col("paragraph").rlike(denied))
     near = Window.partitionBy("row", "family").orderBy("number")
-    line_inside = F.count(F.when(F.col("lines") == 1, 1)).over(near.rangeBetween(0, WRAPPED - 1)) > 0
-    kept = found.withColumn("inside", line_inside).filter("lines = 1 OR NOT inside")
-    wrapped_before = F.count(F.when(F.col("lines") > 1, 1)).over(near.rangeBetween(-(WRAPPED - 1), -1)) > 0
-    kept = kept.withColumn("before", wrapped_before).filter("lines = 1 OR NOT before")
+    last = F.col("number") + F.col("lines") - 1
+    next_line = F.min(F.when(F.col("lines") == 1, F.col("number"))).over(near.rangeBetween(0, Window.unboundedFollowing))
+    kept = found.withColumn("inside", F.coalesce(next_line <= last, F.lit(False))).filter("lines = 1 OR NOT inside")
+    # Wrapped ones that overlap one after the other are one notice, and what holds most of it in the fewest lines is given.
+    before = F.max(F.when(F.col("lines") > 1, last)).over(near.rangeBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("lines") == 1) | before.isNull() | (before < F.col("number"))
+    kept = kept.withColumn("opens", opens.cast("int")).withColumn("notice", F.sum("opens").over(near.orderBy("number", "lines")))
+    best = Window.partitionBy("row", "family", "notice", F.when(F.col("lines") == 1, F.col("number"))).orderBy(F.desc("similarity"), "lines", "number")
+    kept = kept.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
     return kept.select(*rest, "number", "lines", "paragraph", "family", F.round("chance", 6).alias("probability"), "similarity")
 
 
