@@ -8,6 +8,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from weft.llm import byte_bpe, decontaminate, fingerprints, licenses, near_dedup, sharding, textbytes, token_counts, toxicity, url_filter
@@ -281,3 +282,96 @@ def test_fingerprints_of_repeated_rows_are_alike(spark):
     got = fingerprints.op2(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({r.fingerprint for r in got if r.doc_id == 1}) == 1
     assert all(len(r.edited_sha256) == len(hashlib.sha256().hexdigest()) for r in got)
+
+
+SPOKEN = [
+    ("You cannot use this unless it is licensed under the MIT License.", []), ("It is false that this was released under the MIT License.", []),
+    ("This was previously released under the MIT License.", []), ("It was never, as some say, licensed under the GPLv3.", []),
+    ("It is not a toy and is licensed under the MIT License.", ["MIT"]), ("Previously released under the BSD license, but now licensed under the MIT license.", ["MIT"]),
+    ("MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: (GPL-3.0-only AND ISC) OR BSD-3-Clause", ["BSD", "GPL", "ISC"]),
+    ("NOT AND ALSO", []), ("SPDX-License-Identifier: Frobnicate", []), ("MIT License", ["MIT"]), ("# License: MIT", ["MIT"]), ("GPLv3", ["GPL"]), ("CC0", ["public-domain"]),
+    ("Apache License 2.0", ["Apache-2.0"]), ("This project uses the Apache 2.0 license", ["Apache-2.0"]), ("Licensed under CC BY 3.0", ["CC-BY"]),
+    ("Licensed under CC BY-SA 3.0", ["CC-BY-SA"]), ("Licensed under the EUPL.", ["EUPL"]), ("Released under the WTFPL license.", ["WTFPL"]),
+    ("Released under the Artistic License 2.0.", ["Artistic-2.0"]), ("Released under the MIT licence.", ["MIT"]),
+    ("Er kommt mit dem Zug und geht mit dir.", []), ("The GPLv3 is longer than many novels and is read by few.", []), ("My driving licence was renewed.", []),
+    ("- " * 20_000, []), (" " * 20_000 + "MIT", []), ("not " * 20_000 + "license", []), ("A OR " * 20_000 + "MIT", ["MIT"]),
+]
+
+
+def test_license_names_expressions_and_denials(spark):
+    model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPOKEN)], "doc_id long, text string")
+    found: dict = {i: set() for i in range(len(SPOKEN))}
+    for r in licenses.scan(docs, model).collect():
+        found[r.doc_id].add(r.family)
+    assert {SPOKEN[i][0][:80]: sorted(f) for i, f in found.items()} == {t[:80]: f for t, f in SPOKEN}
+
+
+def license_units(text):
+    """(number of the first line, lines, paragraph) of every line, operand and wrapped paragraph, telling words or not."""
+    lines, out, most = regex.split(r"\r?\n", text or ""), [], licenses.reach()
+    count = [len(license_words(line)) for line in lines]
+    for n, line in enumerate(lines):
+        if regex.search(licenses._EXPRESSION, line):
+            names = regex.split(r"\s+(?:OR|AND)\s+", regex.sub("[()]", "", regex.sub(licenses._HEAD, "", line)))
+            out += [(n, 1, "SPDX-License-Identifier: " + name) for name in names]
+            continue
+        out.append((n, 1, line))
+        if count[n] and not regex.search(r"""[.!?:;]["')\]]*\s*$""", line):
+            size = held = 0
+            while n + size + 1 < len(lines) and count[n + size + 1] and held < most:
+                size, held = size + 1, held + count[n + size + 1]
+            if size:
+                out.append((n, size + 1, " ".join(lines[n : n + size + 1])))
+    return out
+
+
+def license_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", lower.replace("licence", "license")) if w]
+
+
+def license_likeness(text):
+    """Share of the closest template of each family."""
+    own = license_words(text)
+    held = {*own, *(" ".join(p) for p in zip(own, own[1:]))}
+    best = {k: max(len(held & set(g)) / len(g) for g in map(licenses._grams_of, ts)) for k, ts in licenses.TEMPLATES.items()}
+    for k, ts in licenses.named().items():
+        for t in ts:
+            grams = set(licenses._grams_of(t.text))
+            if held >= set(t.must):
+                best[k] = max(best[k], len(held & grams) / len(held | grams if t.heading else grams))
+    return best
+
+
+def test_licenses_brute_force(spark):
+    """Every line and wrapped paragraph of whole texts is judged one by one; only the classifier's chances come from Spark."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.train(docs)
+    wrapped = "This work is licensed\nunder a Creative Commons\nAttribution 4.0 International\nLicense and is\nlicensed under the\nMIT License."
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + [t for t, _ in SPOKEN[:-4]] + [wrapped, "MIT OR ISC\r\n\r\nGPLv3\nGPL-2.0 AND GPL-3.0"]
+    units = [(row, *u, regex.sub(licenses._DENIED, " ", u[2])) for row, text in enumerate(texts) for u in license_units(text)]
+    frame = spark.createDataFrame([(i, u[-1]) for i, u in enumerate(units)], "i long, stands string")
+    found: dict = {}
+    for r in model.model.transform(licenses.vectors(frame, "stands")).select("i", "prediction", "probability").collect():
+        row, number, size, _, stands = units[r.i]
+        family, chance = model.families[int(r.prediction)], r.probability[int(r.prediction)]
+        if r.prediction > 0 and chance >= model.threshold:
+            likeness = license_likeness(stands)
+            if likeness[family] >= max(licenses.TEMPLATE_SHARE, *likeness.values()):
+                found.setdefault((row, family), []).append((number, size, likeness[family]))
+    expected = set()
+    for key, hits in found.items():
+        single = {n for n, size, _ in hits if size == 1}
+        expected |= {(*key, n, 1) for n in single}
+        group: list = []
+        for n, size, share in sorted(h for h in hits if h[1] > 1 and not single & set(range(h[0], sum(h[:2])))):
+            if group and n > max(g[0] + g[1] - 1 for g in group):
+                expected.add((*key, *min(group, key=lambda g: (-g[2], g[1], g[0]))[:2]))
+                group = []
+            group.append((n, size, share))
+        if group:
+            expected.add((*key, *min(group, key=lambda g: (-g[2], g[1], g[0]))[:2]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.family, r.number, r.lines) for r in licenses.scan(rows, model).collect()} == expected
+    assert len(expected) > 20 and any(e[3] > 1 for e in expected)
