@@ -81,3 +81,32 @@ def test_index_is_kept_and_made_anew(spark, docs, tmp_path):
 def test_empty_index(spark, docs, queries, tmp_path):
     index = text_index.build(docs.limit(0), f"{tmp_path}/none")
     assert text_index.rank(queries, index).collect() == [] and text_index.best(queries, index, 3).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [100_000, 7])
+def test_bulk_ranks_as_one_by_one(spark, docs, queries, at_once):
+    """Queries of the same words, of one word, of words that nothing holds, of no words; in one and in several readings."""
+    more = queries.union(queries.filter("query_id < 4").select(F.col("query_id") + 1000, F.reverse("words")))
+    hidden = docs.filter(F.col("doc_url").contains("3"))
+    for weight in (10.0, 0.0):
+        want = search.top(search.rank(more, search.postings(docs), search.lengths(docs), weight, hidden), 7)
+        got = search.bulk(more, docs, 7, weight, hidden, at_once)
+        assert found(got, "query_id", "place", "doc_url", "rank") == found(want, "query_id", "place", "doc_url", "rank")
+    assert search.bulk(more, docs.limit(0), 7).collect() == []
+
+
+def test_bulk_shuffles_no_texts(spark, docs, queries, tmp_path):
+    """What a reading of the documents passes on is narrow: ranked rows of at most k for a set and task."""
+    plan = search.bulk(queries, docs, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_an_index_moves_texts_once_and_then_blocks(spark, docs, tmp_path, monkeypatch):
+    """No single postings are written out or shuffled while an index is made."""
+    from weft.operators import tables
+
+    for module in (text_index, tables):
+        monkeypatch.setattr(module, "cut", lambda df: pytest.fail("postings are written out"))
+    monkeypatch.setattr(text_index, "SLICE_DOCS", 20)
+    index = text_index.build(docs, f"{tmp_path}/index")
+    assert "postings" not in spark.read.parquet(f"{index.folder}/blocks").columns

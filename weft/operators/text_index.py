@@ -18,8 +18,10 @@ from weft.operators.gates import small
 from weft.operators.search import B, BODY_WEIGHT, K1, LABEL_WEIGHT, query_terms, terms, top
 from weft.operators.tables import checkpoint_dir, cut
 
-#: Documents of a slice and postings of a folder, about.
-SLICE_DOCS, BUCKET_POSTINGS = 1024, 4_000_000
+#: Documents of a slice and words of a folder, about.
+SLICE_DOCS, BUCKET_WORDS = 1024, 6_000_000
+#: Slices that one task indexes, and slices whose blocks of one folder one task writes.
+TASK_SLICES, GROUP_SLICES = 2, 512
 #: Fewer folders than this are not made.
 LEAST_BUCKETS = 16
 #: Up to this many terms are asked for by name, so that the scan itself skips the others.
@@ -29,8 +31,9 @@ FIRST_SLICES = 4
 
 
 _BLOCKS = (
-    "term string, slice int, n long, most double, plain double, postings array<struct<doc_url:string,label_tf:long,body_tf:long,words:int>>, bucket int"
+    "term string, slice int, n long, most double, plain double, doc_url array<string>, label_tf array<int>, body_tf array<int>, words array<int>, bucket int"
 )
+_POSTINGS = ["doc_url", "label_tf", "body_tf", "words"]
 
 
 class TextIndex(NamedTuple):
@@ -43,7 +46,7 @@ class TextIndex(NamedTuple):
     buckets: int
 
     def blocks(self, asked: DataFrame) -> DataFrame:
-        """Blocks (term, slice, n, most, plain, postings) of the terms ``asked`` (term)."""
+        """Blocks (term, slice, n, most, plain, and its postings' columns as arrays) of the terms ``asked`` (term)."""
         blocks = self.spark.read.schema(_BLOCKS).parquet(f"{self.folder}/blocks")
         wanted = asked.select("term").distinct()
         named = [r.term for r in wanted.limit(NAMED_TERMS + 1).collect()]
@@ -65,27 +68,32 @@ def _part(label_weight: float, mean: float) -> Column:
 
 
 def build(docs: DataFrame, folder: str) -> TextIndex:
-    """Index documents (doc_url, label, body) in ``folder``, replacing what is there. The documents are read and split into words once; rows that repeat a doc_url with as many words are one document.
+    """Index documents (doc_url, label, body) in ``folder``, replacing what is there. Rows that repeat a doc_url with as many words are one document.
 
-    The head is written last, so an index that was not finished has none.
+    A first reading counts documents and words. In the second, texts are dealt by their slice, so that words are counted and blocks are made where the texts lie, and only finished
+    blocks move on, by folder and group of slices. The head is written last, so an index that was not finished has none.
     """
     spark = docs.sparkSession
-    split = docs.select("doc_url", terms(F.col("label")).alias("label"), terms(F.col("body")).alias("body"))
+    split = lambda rows: rows.withColumns({"label": terms(F.col("label")), "body": terms(F.col("body"))})
+    each = split(docs).select("doc_url", (F.size("label") + F.size("body")).alias("words")).distinct()
+    whole, length = each.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mean, buckets, slices = length / whole if whole else 0.0, max(LEAST_BUCKETS, -(-length // BUCKET_WORDS)), max(1, -(-whole // SLICE_DOCS))
+    dealt = docs.select("doc_url", "label", "body", F.pmod(F.xxhash64("doc_url"), F.lit(slices)).cast("int").alias("slice"))
+    # As many tasks as slices ask for: hashes of few slices would leave some tasks with several times as many as others.
+    dealt = split(dealt.repartitionById(max(1, -(-slices // TASK_SLICES)), F.col("slice")))
     one = lambda column, l, b: F.transform(column, lambda w: F.struct(w.alias("term"), F.lit(l).alias("l"), F.lit(b).alias("b")))  # noqa: E731, E741
-    # The empty word stands for the document itself, so its length is counted in the same reading.
-    words = split.select("doc_url", (F.size("label") + F.size("body")).alias("words"), F.inline(F.concat(one(F.array(F.lit("")), 0, 0), one(F.col("label"), 1, 0), one(F.col("body"), 0, 1))))
-    counted = cut(words.groupBy("term", "doc_url", "words").agg(F.sum("l").alias("label_tf"), F.sum("b").alias("body_tf")))
-    whole, postings, length = counted.agg(F.count(F.when(F.col("term") == "", 1)), F.count("*"), F.coalesce(F.sum(F.when(F.col("term") == "", F.col("words"))), F.lit(0))).first()
-    mean, buckets, slices = length / whole if whole else 0.0, max(LEAST_BUCKETS, -(-postings // BUCKET_POSTINGS)), max(1, -(-whole // SLICE_DOCS))
-    dealt = counted.filter("term != ''").withColumns({"bucket": _bucket(F.col("term"), buckets), "slice": F.pmod(F.xxhash64("doc_url"), F.lit(slices)).cast("int")})
-    blocks = dealt.groupBy("bucket", "term", "slice").agg(
+    words = dealt.select("slice", "doc_url", (F.size("label") + F.size("body")).alias("words"), F.inline(F.concat(one(F.col("label"), 1, 0), one(F.col("body"), 0, 1))))
+    counted = words.groupBy("slice", "term", "doc_url", "words").agg(F.sum("l").cast("int").alias("label_tf"), F.sum("b").cast("int").alias("body_tf"))
+    blocks = counted.groupBy("slice", "term").agg(
         F.count("*").alias("n"),
         F.max(_part(LABEL_WEIGHT, mean)).alias("most"),
         F.max(_part(0.0, mean)).alias("plain"),
-        F.sort_array(F.collect_list(F.struct("doc_url", "label_tf", "body_tf", "words"))).alias("postings"),
+        F.sort_array(F.collect_list(F.struct(*_POSTINGS))).alias("postings"),
     )
-    order = ["bucket", "term", "slice"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
+    # Arrays of numbers and of like urls take a fraction of the room that an array of rows takes.
+    blocks = blocks.select("term", "slice", "n", "most", "plain", *[F.col(f"postings.{c}").alias(c) for c in _POSTINGS], _bucket(F.col("term"), buckets).alias("bucket"))
+    placed = blocks.repartition(F.col("bucket"), F.floor(F.col("slice") / GROUP_SLICES)).sortWithinPartitions("bucket", "term", "slice")
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/blocks")
     spark.createDataFrame([(whole, mean, buckets)], "docs long, mean double, buckets long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/head")
     return TextIndex(spark, folder, whole, mean, buckets)
 
@@ -122,7 +130,7 @@ def _asked(queries: DataFrame, index: TextIndex, label_weight: float) -> DataFra
 def _scored(slices: DataFrame, blocks: DataFrame, index: TextIndex, label_weight: float, hidden: DataFrame | None) -> DataFrame:
     """(query_id, doc_url, rank) of documents of ``slices`` (query_id, n_terms, slice, terms) that hold all terms."""
     each = slices.select("query_id", "n_terms", "slice", F.inline("terms"))
-    met = each.join(blocks.select("term", "slice", "postings"), ["term", "slice"]).select("query_id", "n_terms", "idf", F.inline("postings"))
+    met = each.join(blocks.select("term", "slice", *_POSTINGS), ["term", "slice"]).select("query_id", "n_terms", "idf", F.inline(F.arrays_zip(*_POSTINGS)))
     if hidden is not None:
         met = met.join(small(hidden.select("doc_url").distinct()), "doc_url", "left_anti")
     score = F.col("idf") * _part(label_weight, index.mean)
