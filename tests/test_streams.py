@@ -145,3 +145,15 @@ def test_reading_before_the_first_batch(spark, tmp_path):
     assert streams.RunningStats(spark, f"{tmp_path}/none").read().collect() == []
     empty = spark.createDataFrame([], "webid string, doc_url string, state string, terminal_at long")
     assert streams.Intake(spark, f"{tmp_path}/no", empty, empty, 0, 1, (1, 1)).read().collect() == []
+
+
+def test_an_end_mark_closes_all_windows_and_sessions(spark, tmp_path):
+    """Windows and sessions that the watermark has not passed are put out too, rows of a null key with them; the mark itself is not counted."""
+    kind = "user string, at_ms long"
+    files(spark, tmp_path / "in", kind, [[("a", T0), ("a", T0 + 10 * 60_000), ("b", T0 + 5 * HOUR), (None, T0 + 5 * HOUR), ("b", T0 + 5 * HOUR + 1)]])
+    events = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/b*").select("user", F.timestamp_millis("at_ms").alias("at"))
+    windows = lambda rows: streams.tumbling(rows, "at", "user").select("user", F.unix_millis("window.start").alias("start"), "n")
+    sessions = lambda rows: streams.sessions(rows, "at", "user").select("user", F.unix_millis("session_window.start").alias("start"), "n")
+    want = {("a", T0, 2), ("b", T0 + 5 * HOUR, 2), (None, T0 + 5 * HOUR, 1)}
+    assert set(map(tuple, run.rows_to_end(events, "at", windows).collect())) == want
+    assert set(map(tuple, run.rows_to_end(events, "at", sessions).collect())) == want
