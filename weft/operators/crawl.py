@@ -133,8 +133,9 @@ def complete(docs: DataFrame, completions: DataFrame, gate: DataFrame, triples:
     after = cut(mark_done(docs, completions, gate))
     was = docs.select("doc_url", F.col("state").alias("__was"), F.col("claim_token").alias("__token"))
     ended = after.filter("state = 'tombstone'").join(was, "doc_url").filter("__was != 'tombstone' AND __token IS NOT NULL AND claim_token IS NULL").select("doc_url")
-    named = completions.filter("next_state = 'tombstone' AND webid IS NOT NULL").join(ended, "doc_url", "left_semi")
-    people = named.select("webid").union(projected_from(triples, named.select("doc_url"))).distinct()
+    # Both are few columns of few rows, and each is asked for several times.
+    named = cut(completions.filter("next_state = 'tombstone' AND webid IS NOT NULL").select("doc_url", "webid").join(ended, "doc_url", "left_semi"))
+    people = cut(named.select("webid").union(projected_from(triples, named.select("doc_url"))).distinct())
     return after, *projection_clear(triples, counters, people)
 
 
