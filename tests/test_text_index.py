@@ -110,3 +110,31 @@ def test_an_index_moves_texts_once_and_then_blocks(spark, docs, tmp_path, monkey
     monkeypatch.setattr(text_index, "SLICE_DOCS", 20)
     index = text_index.build(docs, f"{tmp_path}/index")
     assert "postings" not in spark.read.parquet(f"{index.folder}/blocks").columns
+
+
+def test_words_are_counted_by_slice_and_not_as_rows(spark):
+    """Blocks against counting in Python: repeated documents, documents without words or url, characters beyond ASCII; no row is made for a word."""
+    from collections import Counter
+
+    rows = [(f"https://d{n}.example/é", f"w{n % 3} Top", " ".join(["w1"] * (n % 4) + [f"W{n % 5}"])) for n in range(40)]
+    rows += [rows[7], ("https://d7.example/é", "w1", None), ("https://none.example/", None, "the"), (None, "w9", "w9 w1"), (None, None, "")]
+    made = text_index._blocks_of(spark.createDataFrame(rows, "doc_url string, label string, body string"), 4, 2.5)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    want: dict = {}
+    for url, label, body in rows:
+        split = [Counter(w for w in (text or "").lower().split() if w != "the") for text in (label, body)]
+        size = sum(map(sum, (c.values() for c in split)))
+        for term in set(split[0]) | set(split[1]):
+            tf = want.setdefault((term, url, size), [0, 0])
+            tf[0] += split[0][term]
+            tf[1] += split[1][term]
+    got, slices = {}, {}
+    for r in made.collect():
+        postings = list(zip(r.doc_url, r.words, r.label_tf, r.body_tf, strict=True))
+        assert r.n == len(postings) and [p[:2] for p in postings] == sorted((p[:2] for p in postings), key=lambda p: (p[0] or "", p[1]))
+        part = lambda weight: max((t := weight * a + b) * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / 2.5)) for _, n, a, b in postings)
+        assert (r.most, r.plain) == pytest.approx((part(10.0), part(0.0)))
+        for url, n, a, b in postings:
+            assert (r.term, url, n) not in got and slices.setdefault(url, r.slice) == r.slice
+            got[r.term, url, n] = [a, b]
+    assert got == want

@@ -10,8 +10,12 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from weft.operators.gates import small
@@ -30,9 +34,8 @@ NAMED_TERMS = 1_000
 FIRST_SLICES = 4
 
 
-_BLOCKS = (
-    "term string, slice int, n long, most double, plain double, doc_url array<string>, label_tf array<int>, body_tf array<int>, words array<int>, bucket int"
-)
+_MADE = "term string, slice int, n long, most double, plain double, doc_url array<string>, label_tf array<int>, body_tf array<int>, words array<int>"
+_BLOCKS = f"{_MADE}, bucket int"
 _POSTINGS = ["doc_url", "label_tf", "body_tf", "words"]
 
 
@@ -61,10 +64,65 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _part(label_weight: float, mean: float) -> Column:
-    """What a posting adds to a score, but for its term's rarity."""
-    tf = F.lit(label_weight) * F.col("label_tf") + BODY_WEIGHT * F.col("body_tf")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.lit(mean or 1.0)))
+def _part(label_weight: float, mean: float, label_tf, body_tf, words):
+    """What a posting adds to a score, but for its term's rarity; of columns or of arrays."""
+    tf = label_weight * label_tf + BODY_WEIGHT * body_tf
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / (mean or 1.0)))
+
+
+def _slice_blocks(mean: float):
+    """Blocks of the documents (slice, doc_url, words, label, body) of one slice, whose words are split already."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(StructType.fromDDL(_MADE))
+
+    def run(docs: pa.Table) -> pa.Table:
+        urls = docs["doc_url"].combine_chunks().dictionary_encode("encode")
+        order = pc.sort_indices(urls.dictionary, null_placement="at_start")
+        place = np.argsort(order.to_numpy())
+        words = docs["words"].to_numpy().astype(np.int64)
+        # Documents are numbered by url and words; rows that are equal in both are one.
+        width = int(words.max()) + 1
+        known, doc = np.unique(place[urls.indices.to_numpy()] * width + words, return_inverse=True)
+        each = [docs[name].combine_chunks() for name in ("label", "body")]
+        own = np.concatenate([np.repeat(doc, pc.list_value_length(a).to_numpy(zero_copy_only=False)) for a in each])
+        flat = [a.flatten() for a in each]
+        found = pa.concat_arrays(flat).dictionary_encode()
+        if not len(found):
+            return schema.empty_table()
+        key = (found.indices.to_numpy().astype(np.int64) * len(known) + own) * 2
+        key[len(flat[0]) :] += 1
+        key.sort()
+        pair = key >> 1
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        body = np.add.reduceat(key & 1, at)
+        label = np.diff(at, append=len(key)) - body
+        term, doc = np.divmod(pair[at], len(known))
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        size = known[doc] % width
+        ends = pa.array(np.append(first, len(term)).astype(np.int32))
+        most, plain = (np.maximum.reduceat(_part(weight, mean, label, body, size), first) for weight in (LABEL_WEIGHT, 0.0))
+        named = urls.dictionary.take(order.take(pa.array(known // width))).take(pa.array(doc))
+        lists = [pa.ListArray.from_arrays(ends, a) for a in (named, *(pa.array(n.astype(np.int32)) for n in (label, body, size)))]
+        n = np.diff(first, append=len(term))
+        columns = [found.dictionary, pa.array(np.full(len(n), docs["slice"][0].as_py(), np.int32)), pa.array(n), pa.array(most), pa.array(plain), *lists]
+        return pa.Table.from_arrays(columns, schema.names).cast(schema)
+
+    return run
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """``docs`` with label and body as arrays of their words, and how many ``words`` these are."""
+    split = docs.withColumns({"label": terms(F.col("label")), "body": terms(F.col("body"))})
+    return split.withColumn("words", F.size("label") + F.size("body"))
+
+
+def _blocks_of(docs: DataFrame, slices: int, mean: float) -> DataFrame:
+    """Blocks of documents (doc_url, label, body) in so many slices. Texts are dealt by their slice, and a slice's words are counted together: no word becomes a row of its own."""
+    dealt = docs.select("doc_url", "label", "body", F.pmod(F.xxhash64("doc_url"), F.lit(slices)).cast("int").alias("slice"))
+    # As many tasks as slices ask for: hashes of few slices would leave some tasks with several times as many as others.
+    dealt = dealt.repartitionById(max(1, -(-slices // TASK_SLICES)), F.col("slice"))
+    return _split(dealt).groupBy("slice").applyInArrow(_slice_blocks(mean), _MADE)
 
 
 def build(docs: DataFrame, folder: str) -> TextIndex:
@@ -74,24 +132,10 @@ def build(docs: DataFrame, folder: str) -> TextIndex:
     blocks move on, by folder and group of slices. The head is written last, so an index that was not finished has none.
     """
     spark = docs.sparkSession
-    split = lambda rows: rows.withColumns({"label": terms(F.col("label")), "body": terms(F.col("body"))})
-    each = split(docs).select("doc_url", (F.size("label") + F.size("body")).alias("words")).distinct()
+    each = _split(docs).select("doc_url", "words").distinct()
     whole, length = each.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean, buckets, slices = length / whole if whole else 0.0, max(LEAST_BUCKETS, -(-length // BUCKET_WORDS)), max(1, -(-whole // SLICE_DOCS))
-    dealt = docs.select("doc_url", "label", "body", F.pmod(F.xxhash64("doc_url"), F.lit(slices)).cast("int").alias("slice"))
-    # As many tasks as slices ask for: hashes of few slices would leave some tasks with several times as many as others.
-    dealt = split(dealt.repartitionById(max(1, -(-slices // TASK_SLICES)), F.col("slice")))
-    one = lambda column, l, b: F.transform(column, lambda w: F.struct(w.alias("term"), F.lit(l).alias("l"), F.lit(b).alias("b")))  # noqa: E731, E741
-    words = dealt.select("slice", "doc_url", (F.size("label") + F.size("body")).alias("words"), F.inline(F.concat(one(F.col("label"), 1, 0), one(F.col("body"), 0, 1))))
-    counted = words.groupBy("slice", "term", "doc_url", "words").agg(F.sum("l").cast("int").alias("label_tf"), F.sum("b").cast("int").alias("body_tf"))
-    blocks = counted.groupBy("slice", "term").agg(
-        F.count("*").alias("n"),
-        F.max(_part(LABEL_WEIGHT, mean)).alias("most"),
-        F.max(_part(0.0, mean)).alias("plain"),
-        F.sort_array(F.collect_list(F.struct(*_POSTINGS))).alias("postings"),
-    )
-    # Arrays of numbers and of like urls take a fraction of the room that an array of rows takes.
-    blocks = blocks.select("term", "slice", "n", "most", "plain", *[F.col(f"postings.{c}").alias(c) for c in _POSTINGS], _bucket(F.col("term"), buckets).alias("bucket"))
+    blocks = _blocks_of(docs, slices, mean).withColumn("bucket", _bucket(F.col("term"), buckets))
     placed = blocks.repartition(F.col("bucket"), F.floor(F.col("slice") / GROUP_SLICES)).sortWithinPartitions("bucket", "term", "slice")
     placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/blocks")
     spark.createDataFrame([(whole, mean, buckets)], "docs long, mean double, buckets long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/head")
@@ -133,7 +177,7 @@ def _scored(slices: DataFrame, blocks: DataFrame, index: TextIndex, label_weight
     met = each.join(blocks.select("term", "slice", *_POSTINGS), ["term", "slice"]).select("query_id", "n_terms", "idf", F.inline(F.arrays_zip(*_POSTINGS)))
     if hidden is not None:
         met = met.join(small(hidden.select("doc_url").distinct()), "doc_url", "left_anti")
-    score = F.col("idf") * _part(label_weight, index.mean)
+    score = F.col("idf") * _part(label_weight, index.mean, F.col("label_tf"), F.col("body_tf"), F.col("words"))
     kept = met.groupBy("query_id", "n_terms", "doc_url").agg(F.count("*").alias("k"), F.round(F.sum(score), 6).alias("rank"))
     return kept.filter("k = n_terms").select("query_id", "doc_url", "rank")
 
