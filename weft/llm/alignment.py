@@ -13,6 +13,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -64,6 +65,7 @@ class Side:
     def __init__(self, pieces: list[bytes]):
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.pieces = pieces
+        self.piece_first, self.piece_data = np.concatenate([[0], np.cumsum(self.sizes)]), np.frombuffer(b"".join(pieces), np.uint8)
         self.known = Recent(KNOWN_WORDS)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
@@ -72,8 +74,12 @@ class Side:
     def learn(self, words: list[bytes]) -> list[bytes | None]:
         """Ids as 32-bit numbers; one impossible id where they don't give the word's bytes back."""
         found = self.encode(words)
-        good = [b"".join([self.pieces[i] for i in ids]) == word for word, ids in zip(words, found)]
-        return [np.array(ids if ok else [-1], np.int32).tobytes() for ids, ok in zip(found, good)]
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(first[-1]))
+        up, given = tb.gather(self.piece_first, self.piece_data, ids)
+        given, numbers, wrong = given.tobytes(), ids.tobytes(), np.array([-1], np.int32).tobytes()
+        at, own = up[first].tolist(), (4 * first).tolist()
+        return [numbers[x:y] if given[i:j] == word else wrong for word, i, j, x, y in zip(words, at, at[1:], own, own[1:])]
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, ids) of words that tile ``data``: the ids of word w are from ``first[w]`` to ``first[w + 1]``."""
@@ -256,7 +262,8 @@ class Aligner:
 
 def summed(owner: np.ndarray, key: np.ndarray, count: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, keys, counts): distinct keys of each owner in order with their summed counts."""
-    order = np.lexsort((key, owner))
+    # Owners and keys are small enough to be one number together.
+    order = np.argsort(owner.astype(np.int64) * (int(key.max(initial=0)) + 1) + key)
     owner, key, count = owner[order], key[order], count[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))[: len(key)]
     at = np.flatnonzero(new)
@@ -307,7 +314,9 @@ _DOCS = "block long, is_block boolean, doc_id {id}, n_a long, n_b long, n_groups
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    return pa.compress(np.diff(numbers, prepend=0).astype(np.int64).tobytes(), "zstd", asbytes=True)
+    steps = numbers.astype(np.int64)
+    steps[1:] -= numbers[:-1]
+    return pa.compress(steps, "zstd", asbytes=True)
 
 
 def unpack(blob: bytes, size: int) -> np.ndarray:

@@ -92,13 +92,12 @@ class Recent:
     def get_all(self, keys: list, missing: Callable[[list], list]) -> list:
         """The value of each of the distinct ``keys``; those of unknown keys come from ``missing(unknown keys)``."""
         new, old = self.new, self.old
-        out = []
-        for k in keys:
-            v = new.get(k)
-            if v is None and (v := old.get(k)) is not None:
-                new[k] = v
-            out.append(v)
-        unknown = [n for n, v in enumerate(out) if v is None]
+        out, unknown = list(map(new.get, keys)), []
+        for n in [n for n, v in enumerate(out) if v is None]:
+            if (v := old.get(keys[n])) is None:
+                unknown.append(n)
+            else:
+                out[n] = new[keys[n]] = v
         if unknown:
             for n, v in zip(unknown, missing([keys[n] for n in unknown]), strict=True):
                 out[n] = new[keys[n]] = v
