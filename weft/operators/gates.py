@@ -6,13 +6,15 @@ would be a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.tables import cut
 
 #: Keys are broadcast up to this many rows and bytes; beyond either the joins shuffle.
 BROADCAST_KEYS, BROADCAST_BYTES = 100_000, 16 << 20
+#: Hashes of keys are broadcast up to this many.
+BROADCAST_HASHES = 1_000_000
 
 
 def gate_keys(tombstones: DataFrame, docs: DataFrame) -> DataFrame:
@@ -73,3 +75,25 @@ def open_only(people: DataFrame, gate: DataFrame) -> DataFrame:
 def tombstoned_subset(people: DataFrame, gate: DataFrame) -> DataFrame:
     """Those of ``people`` (webid) that are gated."""
     return people.join(small(gate.select("webid").distinct()), "webid", "left_semi")
+
+
+def _hash(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def unhidden(docs: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Wide rows ``docs`` (doc_url, ...) whose url is not among ``hidden`` (doc_url); a null url passes.
+
+    More urls than are broadcast as they are become 64-bit hashes, so that up to ``BROADCAST_HASHES`` of them move no row of ``docs``. A hash that some other url of ``docs`` has too is not used:
+    its urls are compared themselves.
+    """
+    urls = cut(hidden.select("doc_url").filter("doc_url IS NOT NULL").distinct())
+    if urls.count() <= BROADCAST_KEYS:
+        return docs.join(small(urls), "doc_url", "left_anti")
+    most = {"most": BROADCAST_HASHES, "most_bytes": BROADCAST_HASHES * 36}  # a hash has up to 20 characters, and small() counts 16 bytes more
+    hashed = urls.select("doc_url", _hash("doc_url").alias("__hash"))
+    same = docs.select("doc_url", _hash("doc_url").alias("__hash")).join(small(hashed.select("__hash").distinct(), **most), "__hash", "left_semi")
+    shared = small(cut(same.join(urls, "doc_url", "left_anti").select("__hash").distinct()))
+    own = small(cut(hashed.join(shared, "__hash", "left_anti").select("__hash").distinct()), **most)
+    kept = docs.withColumn("__hash", _hash("doc_url")).join(own, "__hash", "left_anti").drop("__hash")
+    return kept.join(small(hashed.join(shared, "__hash", "left_semi").select("doc_url")), "doc_url", "left_anti")

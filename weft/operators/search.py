@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.urls import let
-from weft.operators.gates import small
+from weft.operators import query_sets
+from weft.operators.gates import small, unhidden
 from weft.operators.tables import cut
 
 #: English words that are not indexed.
@@ -96,42 +99,40 @@ SETS_AT_ONCE = 100_000
 def bulk(queries: DataFrame, docs: DataFrame, k: int, label_weight: float = LABEL_WEIGHT, hidden: DataFrame | None = None, at_once: int = SETS_AT_ONCE) -> DataFrame:
     """(query_id, doc_url, rank, place): the ``k`` best of ``docs`` (doc_url, label, body; one row for a url) for each of very many queries, the same as :func:`top` of :func:`rank`.
 
-    Queries of the same words are one set. A set is kept under its rarest word, and a document meets the sets under its own words, so neither texts nor postings are shuffled: words are counted
-    only where all of a set's are there, and each task passes on its ``k`` best for a set. More than ``at_once`` sets take several readings of the documents.
+    Queries of the same words are one set. Sets are broadcast, and a task matches all of them with a block of documents at once (:mod:`weft.operators.query_sets`), so neither texts nor postings
+    are shuffled: only the sets' own words are counted, a block in which a set could not better its ``k`` best so far is passed over for it, and each task passes on its ``k`` best for a set.
+    The documents are read twice for each ``at_once`` sets, first to count in how many of them each word is.
     """
-    split = docs.select("doc_url", terms(F.col("label")).alias("label"), terms(F.col("body")).alias("body"))
     asked = cut(queries.select("query_id", F.array_sort(F.array_distinct("words")).alias("words")).filter("size(words) > 0"))
-    each = asked.select("words").distinct()
-    # The empty word stands for the document itself, so documents and their words are counted in the same reading.
-    wanted = each.select(F.explode("words").alias("term")).union(each.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    held = split.select((F.size("label") + F.size("body")).alias("n"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "label", "body"))).alias("term"))
-    counts = cut(held.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")))
-    number, length = counts.filter("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()  # two numbers
-    mean = length / number if number else 1.0
-    df = counts.filter("term != ''").select("term", "df")
-    idf = F.log(1 + (number - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # A set with a word that no document holds finds nothing and falls out here.
-    term = F.struct("df", "term", idf.alias("idf"))
-    sets = each.select("words", F.explode("words").alias("term")).join(df, "term").groupBy("words").agg(F.sort_array(F.collect_list(term)).alias("terms"))
-    sets = cut(sets.filter(F.size("terms") == F.size("words")).withColumn("part", F.xxhash64("words")))
+    sets = cut(asked.select("words").distinct().select("words", F.monotonically_increasing_id().alias("set"), F.xxhash64("words").alias("part")))
+    texts = docs.select("doc_url", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("label", "body")))
+    shown = unhidden(texts, hidden) if hidden is not None else texts
     parts = max(1, -(-sets.count() // at_once))
-    if hidden is not None:
-        split = split.join(small(hidden.select("doc_url").distinct()), "doc_url", "left_anti")
-    met = split.select("doc_url", "label", "body", F.explode(F.array_distinct(F.concat("label", "body"))).alias("rarest"))
-    times = lambda column, t: F.size(column) - F.size(F.array_remove(column, t["term"]))
-
-    def score(t: Column) -> Column:
-        longer = K1 * (1 - B + B * (F.size("label") + F.size("body")) / F.lit(mean or 1.0))
-        return let(F.lit(label_weight) * times("label", t) + BODY_WEIGHT * times("body", t), lambda tf: t["idf"] * tf * (K1 + 1) / (tf + longer))
-
-    holds = lambda t: F.array_contains("label", t) | F.array_contains("body", t)
     found = None
     for part in range(parts):
-        own = sets.filter(F.pmod("part", F.lit(parts)) == part)
-        own = own.select("words", "terms", F.element_at("terms", 1)["term"].alias("rarest"), F.try_element_at("terms", F.lit(2))["term"].alias("second"))
-        both = met.join(F.broadcast(own), "rarest").filter(F.col("second").isNull() | holds(F.col("second")))
-        full = both.filter((F.size("terms") < 3) | F.forall(F.slice("terms", 3, F.greatest(F.size("terms") - 2, F.lit(0))), lambda t: holds(t["term"])))
-        rank_ = F.round(F.aggregate("terms", F.lit(0.0), lambda done, t: done + score(t)), 6)
-        scored = top(full.select(F.col("words").alias("query_id"), "doc_url", rank_.alias("rank")), k)
+        scored = top(_best_of(sets.filter(F.pmod("part", F.lit(parts)) == part), texts, shown, k, label_weight), k)
         found = scored if found is None else found.union(scored)
-    return asked.join(found.withColumnRenamed("query_id", "words"), "words").select("query_id", "doc_url", "rank", "place")
+    named = asked.join(sets.select("words", "set"), "words").select("query_id", "set")
+    return named.join(found.withColumnRenamed("query_id", "set"), "set").select("query_id", "doc_url", "rank", "place")
+
+
+def _best_of(sets: DataFrame, texts: DataFrame, shown: DataFrame, k: int, label_weight: float) -> DataFrame:
+    """(query_id, doc_url, rank) of the ``k`` best in each task of ``shown`` for ``sets`` (set, words), whose words are counted in ``texts``; both lower-cased."""
+    asked = sets.select("set", "words").toArrow()  # at most as many as are broadcast at once
+    ids, words = asked["set"].to_numpy(), asked["words"].combine_chunks()
+    stop_words, vocabulary = pa.array(STOP_WORDS), words.flatten().unique().drop_null()
+    vocabulary = vocabulary.filter(pc.invert(pc.is_in(vocabulary, stop_words)))
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+    context = texts.sparkSession.sparkContext
+    known = context.broadcast((vocabulary, stop_words))
+    counted = texts.select("label", "body", F.lit(None).cast("string").alias("doc_url")).mapInArrow(lambda batches: query_sets.count(batches, *known.value), "term int, df long, n long")
+    counts = cut(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")))
+    number, length = counts.filter("term = -1").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()  # two numbers
+    idf = F.log(1 + (number - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    rarity = counts.filter("term >= 0").select("term", "df", idf).toArrow()  # a row for each word of the vocabulary
+    df, rare = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary))
+    df[rarity["term"].to_numpy()], rare[rarity["term"].to_numpy()] = rarity["df"].to_numpy(), rarity["idf"].to_numpy()
+    arranged = context.broadcast(query_sets.arrange(ids, words, vocabulary, df, rare))
+    scoring = query_sets.Scoring(length / number if number else 1.0, label_weight, BODY_WEIGHT, K1, B)
+    found = shown.mapInArrow(lambda batches: query_sets.best(batches, arranged.value, known.value[1], scoring, k), "set long, doc_url string, rank double")
+    return found.withColumnRenamed("set", "query_id")
